@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import stored
+
 #: Weights dealt to the sources in order of their names, again and again.
 WEIGHTS = (3, 1, 2)
 
@@ -52,18 +54,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.
     rate is the target over the source's size; a row is taken floor(rate) times, and once more with probability equal to
     the fraction, drawn from the seed, its id, source and text: reruns agree, and repeated rows share their draw. Rows of
     a null source are one source; rows of size 0 change nothing and are taken by the same rule. Clashing columns are
-    replaced. The totals are pre-aggregated before their shuffle, and their join broadcasts a row for each source only if
-    Spark has measured that side below its threshold.
+    replaced. The totals are pre-aggregated before their shuffle and stored, so that Spark knows their size when it plans
+    their join: it broadcasts a row for each source only below its own threshold. Texts are not read after that join.
     """
-    named = docs.withColumn("size", word_count(F.col(text_col)))
+    named = docs.withColumn("size", word_count(F.col(text_col))).withColumn("_draw", draw(F.col(id_col), F.col(source_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), seed=seed))
     totals = named.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("size"))
-    plan = targets(totals, weights, total, most).select(F.col("source").alias("_source"), F.col("size").alias("source_size"), "target")
+    plan = stored(targets(totals, weights, total, most).select(F.col("source").alias("_source"), F.col("size").alias("source_size"), "target"), "targets")
     kept = named.drop("source_size", "target", "rate", "copies")
     out = kept.join(plan, kept[source_col].eqNullSafe(plan["_source"]), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     out = out.withColumn("rate", rate)
-    extra = draw(F.col(id_col), F.col(source_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), seed=seed) < F.col("rate") - F.floor("rate")
-    return out.withColumn("copies", (F.floor("rate") + F.when(extra, 1).otherwise(0)).cast("int"))
+    extra = F.col("_draw") < F.col("rate") - F.floor("rate")
+    return out.withColumn("copies", (F.floor("rate") + F.when(extra, 1).otherwise(0)).cast("int")).drop("_draw")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
