@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, license_scan, mixing, ngram_join, sharding, toxicity, url_filter, warc
+from tessera.llm import decontamination, lattice_lm, license_scan, mixing, ngram_join, sharding, toxicity, url_filter, warc
 
 SHARDS = [f"shard-{k:02d}" for k in range(16)]
 
@@ -54,6 +54,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (toxicity.fold() == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_windows", "worst_start")
 
 
+def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
@@ -109,7 +113,7 @@ SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, 'allow') AS verd
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_sharding, op4_mixing, op5_warc, op7_toxicity, op9_url_filter, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_sharding, op4_mixing, op5_warc, op7_toxicity, op8_lattice_lm, op9_url_filter, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
