@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, lattice_lm, license_scan, mixing, ngram_join, sharding, toxicity, url_filter, warc
+from tessera.llm import decontamination, hilbert_ann, lattice_lm, license_scan, mixing, ngram_join, sharding, toxicity, url_filter, warc
 
 SHARDS = [f"shard-{k:02d}" for k in range(16)]
 
@@ -48,6 +48,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(warc.read_archives(warc.read_folder(spark, path)))
 
 
+def op6_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.nearest(table(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
@@ -113,7 +117,7 @@ SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, 'allow') AS verd
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_sharding, op4_mixing, op5_warc, op7_toxicity, op8_lattice_lm, op9_url_filter, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_sharding, op4_mixing, op5_warc, op6_hilbert_ann, op7_toxicity, op8_lattice_lm, op9_url_filter, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
