@@ -314,6 +314,26 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id bigint, score double, n_windows bigint, worst_start bigint")
 
 
+def below(docs: DataFrame, net: Network, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [np.zeros(0, bool)]
+            for w in word_chunks(batch.column(place), NON_WORD):
+                x = chunk_inputs(w)
+                index, row, _ = window_matrix(x.words, x.bounds)
+                top = np.full(w.hi - w.lo, -np.inf)
+                if len(index):
+                    np.maximum.at(top, row, shared.value.logits(shared.value.embed(x), index))
+                keep.append(shared.value.score(np.maximum(top, -1e30), np.bincount(row, minlength=w.hi - w.lo)) < threshold)
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(id_col: str = "doc_id", folds: int = 4) -> F.Column:
     """crc32 of the id as text, modulo folds; a null id is the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
