@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import new_path
+from tessera.llm.shared import new_path, stored
 
 VERSION = b"WARC/1.1"
 START = re.compile(rb"WARC/\d\.\d\r\n")
 MEMBER = b"\x1f\x8b\x08"
+#: Compressed bytes taken at once.
+STEP = 1 << 14
 EMPTY_DIGEST = base64.b32encode(hashlib.sha1(b"").digest()).decode()
 
 #: Damage: what stands between two valid records, or a record that failed a check.
@@ -48,8 +50,8 @@ def with_record_types(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("_sha", F.sha1("payload"))
     first = rows.groupBy("_sha", "payload_bytes").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where((F.col("_n") > 1) & (F.col("payload_bytes") >= least))
-    # Only digests met twice or more are joined, so the broadcast or shuffle is of the repeats' digests.
-    out = rows.join(first, ["_sha", "payload_bytes"], "left")
+    # Only digests met twice or more are joined; stored, their size is known, and payloads move only if they are many.
+    out = rows.join(stored(first, "repeats"), ["_sha", "payload_bytes"], "left")
     revisit = F.col("_first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("_first")))
     return out.select("page_id", "url", "payload", "payload_bytes", "_sha", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
 
@@ -133,12 +135,14 @@ def _member(data: bytes, at: int) -> tuple[int, bytes] | str:
     """The gzip member at a place: where it ends, and its content; or which check it failed."""
     if data[at : at + 3] != MEMBER:
         return "no gzip member"
-    inflate = zlib.decompressobj(31)
+    inflate, out, place, view = zlib.decompressobj(31), [], at, memoryview(data)
     try:
-        out = inflate.decompress(data[at:])
+        while not inflate.eof and place < len(data):
+            out.append(inflate.decompress(view[place : place + STEP]))
+            place += min(STEP, len(data) - place)
     except zlib.error as e:
         return f"gzip: {e}"[:80]
-    return (len(data) - len(inflate.unused_data), out) if inflate.eof else "gzip member is cut off"
+    return (place - len(inflate.unused_data), b"".join(out)) if inflate.eof else "gzip member is cut off"
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
@@ -223,6 +227,7 @@ def resolved(records: DataFrame) -> DataFrame:
     """
     whole = records.where(F.col("problem").isNull())
     sized = whole.select(F.expr("try_cast(record_id as bigint)").alias("page_id"), F.length("payload").cast("long").alias("_n"), "payload_digest", "record_type", F.expr("try_cast(refers_to as bigint)").alias("refers_to"))
+    sized = stored(sized, "records")
     met = sized.where("record_type = 'revisit'").select("payload_digest").distinct()
     lengths = sized.where("record_type = 'response'").join(met, "payload_digest", "left_semi").groupBy("payload_digest").agg(F.max("_n").alias("_of"))
     return sized.join(lengths, "payload_digest", "left").select("page_id", F.when(F.col("record_type") == "revisit", F.col("_of")).otherwise(F.col("_n")).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
