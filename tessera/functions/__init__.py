@@ -1 +1 @@
-
+"""Column functions: no state, no shuffle."""

@@ -1 +1 @@
-
+"""Relational operators over measurement records and planar images."""

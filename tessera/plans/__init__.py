@@ -1 +1 @@
-
+"""Choices among priced candidates."""
