@@ -479,9 +479,9 @@ def raster_blend(spark, d):
     return _pairs(spark, d).select("image", "x", "y", (F.round(value, 9) + 0.0).alias("v"))
 
 
-@_query("WITH f AS (SELECT p_brand, p_size, min(p_partkey) AS first, count(*) n FROM part WHERE p_size <= 8 GROUP BY ALL), k AS (SELECT *, row_number() OVER (ORDER BY first) - 1 AS index, count(*) OVER () a FROM f) SELECT p_brand, p_size, first, n, index FROM k WHERE a <= 256")
+@_query("WITH f AS (SELECT p_brand, p_size // 8 AS band, min(p_partkey) AS first, count(*) n FROM part GROUP BY ALL), k AS (SELECT *, row_number() OVER (ORDER BY first) - 1 AS index, count(*) OVER () a FROM f) SELECT p_brand, band, first, n, index FROM k WHERE a <= 256")
 def raster_palette(spark, d):
-    return raster.palette(_t(spark, d, "part").where("p_size <= 8"), ["p_brand", "p_size"], "p_partkey")
+    return raster.palette(_t(spark, d, "part").withColumn("band", F.floor(F.col("p_size") / 8)), ["p_brand", "band"], "p_partkey")
 
 
 @_query("""SELECT image, pixels, least(n, 40) AS colours, n > 40 AS capped, CASE WHEN n > 40 THEN 'photo' WHEN least(n, 40) <= 65536 AND pixels / least(n, 40) >= 2 THEN 'text' ELSE 'unknown' END AS route FROM (SELECT vec_id AS image, count(*) pixels, count(DISTINCT floor(v * 40)) n FROM (SELECT vec_id, unnest(embedding)::DOUBLE v FROM embeddings) GROUP BY 1)""")
@@ -614,14 +614,17 @@ def src_records(spark, d):
 # Models
 
 
-@_query("""WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] e FROM embeddings), c AS (SELECT vec_id cid, label cl, embedding::DOUBLE[] ce, vec_id::DOUBLE % 7 AS val FROM embeddings WHERE vec_id < 100),
-m AS (SELECT vec_id, cid, val, list_distance(e, ce) d FROM q, c WHERE label <> cl), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cid) r FROM m), k AS (SELECT *, min(d) OVER (PARTITION BY vec_id) l FROM r WHERE r <= 3)
-SELECT vec_id, round(sum(val / (d + 1e-6)) / sum(1 / (d + 1e-6)), 6) AS prediction, count(*) used, round(min(d), 6) AS distance FROM k WHERE d <= l * 1.1::DOUBLE + 1e-6 GROUP BY 1""")
+@_query("""WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] e FROM embeddings), a AS (SELECT label, pos, avg(v) v FROM (SELECT label, generate_subscripts(embedding, 1) pos, unnest(embedding)::DOUBLE v FROM embeddings) GROUP BY ALL),
+c AS (SELECT label cl, list(v ORDER BY pos) ce FROM a GROUP BY 1), m AS (SELECT vec_id, cl, list_distance(e, ce) d FROM q, c WHERE label <> cl),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cl) r FROM m), k AS (SELECT *, min(d) OVER (PARTITION BY vec_id) l FROM r WHERE r <= 3)
+SELECT vec_id, round(sum(cl / (d + 1e-6)) / sum(1 / (d + 1e-6)), 5) AS prediction, count(*) used, round(min(d), 6) AS distance FROM k WHERE d <= l * 1.1::DOUBLE + 1e-6 GROUP BY 1""")
 def model_knn(spark, d):
     e = _t(spark, d, "embeddings")
-    cases = e.where("vec_id < 100").select("vec_id", "label", "embedding", (F.col("vec_id").cast("double") % 7).alias("val"))
-    out = models.nearest_cases(e, cases, "vec_id", "vec_id", "embedding", "val", [1.0] * 64, 3, 1.1, 1e-6, F.col("label") == F.col("_label"))
-    return _rounded(out, prediction=6, distance=6)
+    means = e.select("label", F.posexplode("embedding").alias("pos", "v")).groupBy("label", "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    cases = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x.v).alias("embedding"))
+    cases = cases.select(F.col("label").alias("case"), "label", "embedding", F.col("label").cast("double").alias("value"))
+    out = models.nearest_cases(e, cases, "vec_id", "case", "embedding", "value", [1.0] * 64, 3, 1.1, 1e-6, F.col("label") == F.col("_label"))
+    return _rounded(out, prediction=5, distance=6)
 
 
 @_query("SELECT l_returnflag, round(regr_slope(ln(l_extendedprice), ln(l_quantity)), 6) AS slope, round(regr_intercept(ln(l_extendedprice), ln(l_quantity)), 6) AS intercept, count(*) n FROM lineitem GROUP BY 1")
