@@ -1,16 +1,20 @@
 """Similarity join of documents on the Jaccard similarity of their word n-grams, exact, by signature trees.
 
 A document is the set of 64-bit hashes of its distinct n-grams. Equal sets are one class with one representative. The
-representatives are put into leaves of at most LEAF sets: those with the same smallest hash, ordered by size. A node of
+representatives are put into leaves of at most LEAF sets, by size. A leaf is named by a pair of a set's smallest hashes in
+KEYS orders; of its pairs a set takes the one that most sets have, so a large group of near copies has few leaves, and
+unrelated sets that share a passage seldom have a leaf in common. A node of
 the tree holds the OR of the bitmaps of the sets below it, their smallest and largest size, and the largest excess of a
 set (its size less the bits it sets). No two sets below nodes A and B share more than
-popcount(OR_A & OR_B) + min(excess_A, excess_B) hashes, which prunes pairs of nodes.
+popcount(OR_A & OR_B) + min(excess_A, excess_B) hashes, which prunes pairs of nodes. Larger sets have longer bitmaps; a
+leaf has sets of one length, and of two lengths the longer is folded.
 
 One tree over the whole corpus would start from all pairs. Sets as similar as asked share a hash among the first
 size - ceil(t size) + 1 of each in any common order, so leaves meet only under a hash of such a prefix: the hash is the
 root of a tree over the leaves that have it. Hashes that very many prefixes hold come last in the order, which keeps
 passages that many documents share out of the prefixes; what is left of them is traversed with inner nodes. Surviving
-leaf pairs are verified on their whole sets.
+leaf pairs are verified on their whole sets: first each leaf and its largest neighbour, then the pairs that this has not
+put into one component.
 """
 
 from __future__ import annotations
@@ -21,17 +25,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.components import components
-from tessera.llm.shared import stored
+from tessera.llm.shared import broadcast_if_few, stored
 from tessera.llm.words import SPACE, mix, plain_words, word_chunks
 
-#: Sets in a leaf at most.
-LEAF = 256
+#: Sets in a leaf at most, and the orders whose smallest hashes, in pairs, name leaves.
+LEAF, KEYS = 256, 5
+#: Sets that are verified together, besides those of their common leaf and of the last leaf.
+GROUP = 768
 #: Children of an inner node.
 FAN = 8
-#: 64-bit words of a bitmap.
-MAP_WORDS = 32
+#: 64-bit words of the shortest bitmap, which has two bits for each of its sets' hashes; doubled up to FOLDS times.
+MAP_WORDS, FOLDS = 32, 8
 #: A hash in more prefixes than this comes last in the order; of such hashes the order knows at most HOT_HASHES.
 HOT_DF = 100
 HOT_HASHES = 20_000
@@ -57,6 +64,16 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield h[:0]
 
 
+def fold_of(size: int) -> int:
+    """How often the shortest bitmap is doubled for a set."""
+    return min(FOLDS, max(0, (size - 1) // (MAP_WORDS * 32)).bit_length())
+
+
+def folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps of a length brought to a shorter one: bits that come together are OR-combined."""
+    return np.bitwise_or.reduce(bitmaps.reshape(len(bitmaps), -1, words), axis=1)
+
+
 def prefix_length(size: int, num: int, den: int) -> int:
     return size - -(-num * size // den) + 1 if size else 0
 
@@ -84,29 +101,37 @@ def _is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
-    """id, n, digest, leaf (smallest hash), prefix, bitmap and excess of each document's set."""
+    """id, n, digest, keys (names of the leaves it may join), prefix, bitmap and excess of each document's set."""
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        first, second = np.triu_indices(KEYS, 1)
         for batch in batches:
             size, digest, leaf, prefix, bitmaps, excess = [], [], [], [], [], []
             for s in shingle_sets(batch.column(1), n):
                 size.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                leaf.append(int(s[:1].view(np.int64)[0]) if len(s) else None)
+                if len(s):
+                    least = mix(np.array([mix(s ^ np.uint64(k)).min() ^ np.uint64(k) for k in range(KEYS)]))
+                    leaf.append(mix(least[first] + least[second] * np.uint64(3) + np.uint64(fold_of(len(s)))).view(np.int64))
+                else:
+                    leaf.append(np.zeros(0, np.int64))
                 late = _is_in(s, hot)
                 p = prefix_length(len(s), num, den)
                 own = s[~late][:p]
                 prefix.append(np.concatenate([own, s[late][: p - len(own)]]).view(np.int64))
-                bits = np.unique(s & np.uint64(MAP_WORDS * 64 - 1)).astype(np.int64)
-                flags = np.zeros(MAP_WORDS * 64, np.uint8)
-                flags[bits] = 1
-                bitmaps.append(np.packbits(flags).tobytes())
-                excess.append(len(s) - len(bits))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(leaf, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary()), pa.array(excess, pa.int64())], names=["id", "n", "digest", "leaf", "prefix", "bitmap", "excess"])
+                over, bitmap = [], b""
+                for k in range(fold_of(len(s)) + 1):
+                    flags = np.zeros(MAP_WORDS * 64 << k, np.uint8)
+                    flags[(s & np.uint64(len(flags) - 1)).astype(np.int64)] = 1
+                    over.append(len(s) - int(flags.sum()))
+                    bitmap = np.packbits(flags).tobytes()
+                bitmaps.append(bitmap)
+                excess.append(over)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(leaf, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary()), pa.array(excess, pa.list_(pa.int64()))], names=["id", "n", "digest", "keys", "prefix", "bitmap", "excess"])
 
-    return docs.select("id", "text").mapInArrow(build, "id bigint, n bigint, digest binary, leaf bigint, prefix array<bigint>, bitmap binary, excess bigint")
+    return docs.select("id", "text").mapInArrow(build, "id bigint, n bigint, digest binary, keys array<bigint>, prefix array<bigint>, bitmap binary, excess array<bigint>")
 
 
 def _runs(batches: Iterable[pa.RecordBatch], key: int, most: int) -> Iterator[pa.Table]:
@@ -131,11 +156,21 @@ def _runs(batches: Iterable[pa.RecordBatch], key: int, most: int) -> Iterator[pa
         yield held
 
 
-def _bitmap_matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, MAP_WORDS)
+def _bitmap_matrix(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps of one length as rows."""
+    return np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), -1)
 
 
-NODE = "node bigint, docs array<bigint>, lo bigint, hi bigint, excess bigint, bitmap binary, tokens array<bigint>"
+def _shortest(bitmaps: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(bitmaps), MAP_WORDS), np.uint64)
+    size = np.array([len(b) for b in bitmaps])
+    for n in np.unique(size).tolist():
+        own = np.flatnonzero(size == n)
+        out[own] = folded(_bitmap_matrix([bitmaps[k] for k in own]), MAP_WORDS)
+    return out
+
+
+NODE = "node bigint, docs array<bigint>, lo bigint, hi bigint, excess array<bigint>, bitmap binary, tokens array<bigint>"
 
 
 def _nodes(sets: DataFrame) -> DataFrame:
@@ -146,8 +181,8 @@ def _nodes(sets: DataFrame) -> DataFrame:
         for run in _runs(batches, 0, LEAF):
             ids, sizes = run.column("id").to_pylist(), run.column("n").to_pylist()
             tokens = np.unique(run.column("prefix").combine_chunks().flatten().to_numpy())
-            union = np.bitwise_or.reduce(_bitmap_matrix(run.column("bitmap")), axis=0)
-            out.append((min(ids), ids, min(sizes), max(sizes), max(run.column("excess").to_pylist()), union.tobytes(), tokens))
+            union = np.bitwise_or.reduce(_bitmap_matrix(run.column("bitmap").to_pylist()), axis=0)
+            out.append((min(ids), ids, min(sizes), max(sizes), np.max(run.column("excess").to_pylist(), axis=0).tolist(), union.tobytes(), tokens))
             if len(out) >= 2000:
                 yield _node_batch(out)
                 out = []
@@ -158,7 +193,7 @@ def _nodes(sets: DataFrame) -> DataFrame:
 
 
 def _node_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "docs", "lo", "hi", "excess", "bitmap", "tokens"])
 
 
@@ -235,8 +270,9 @@ def _pairs_under_hash(batches: Iterable[pa.RecordBatch], num: int, den: int, mos
 def _hot_pairs(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Leaf pairs under each frequent hash, by dual traversal of the hash's tree; rows sorted by token and lo."""
     for run in _runs(batches, 0, 1 << 40):
-        lo, hi, excess, node = (run.column(c).to_numpy() for c in ("lo", "hi", "excess", "node"))
-        for i, j in dual_traversal(lo, hi, excess, _bitmap_matrix(run.column("bitmap")), num, den):
+        lo, hi, node = (run.column(c).to_numpy() for c in ("lo", "hi", "node"))
+        excess = np.array([e[0] for e in run.column("excess").to_pylist()])
+        for i, j in dual_traversal(lo, hi, excess, _shortest(run.column("bitmap").to_pylist()), num, den):
             a, b = node[i], node[j]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -244,9 +280,19 @@ def _hot_pairs(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterato
 def _surviving(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         c = {name: batch.column(name) for name in batch.schema.names}
-        shared = np.bitwise_count(_bitmap_matrix(c["bitmap_a"]) & _bitmap_matrix(c["bitmap_b"])).sum(axis=1, dtype=np.int64)
-        n = {k: c[k].to_numpy() for k in ("lo_a", "hi_a", "excess_a", "lo_b", "hi_b", "excess_b")}
-        keep = _may_link(n["lo_a"], n["hi_a"], n["lo_b"], n["hi_b"], shared + np.minimum(n["excess_a"], n["excess_b"]), num, den)
+        maps = [c[k].to_pylist() for k in ("bitmap_a", "bitmap_b")]
+        over = [c[k].to_pylist() for k in ("excess_a", "excess_b")]
+        size = np.array([[len(x) for x in m] for m in maps]).reshape(2, -1)
+        shared = np.zeros(batch.num_rows, np.int64)
+        for la, lb in np.unique(size, axis=1).T.tolist():
+            own = np.flatnonzero((size[0] == la) & (size[1] == lb)).tolist()
+            least, level = min(la, lb) // 8, min(len(over[0][own[0]]), len(over[1][own[0]])) - 1
+            for at in range(0, len(own), 4096):
+                part = own[at : at + 4096]
+                both = folded(_bitmap_matrix([maps[0][k] for k in part]), least) & folded(_bitmap_matrix([maps[1][k] for k in part]), least)
+                shared[part] = np.bitwise_count(both).sum(axis=1, dtype=np.int64) + [min(over[0][k][level], over[1][k][level]) for k in part]
+        n = {k: c[k].to_numpy() for k in ("lo_a", "hi_a", "lo_b", "hi_b")}
+        keep = _may_link(n["lo_a"], n["hi_a"], n["lo_b"], n["hi_b"], shared, num, den)
         yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(keep)), c["b"].filter(pa.array(keep))], names=["a", "b"])
 
 
@@ -281,9 +327,9 @@ def spanning_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int
 
 
 def _verified(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Links in each leaf pair; rows (pair, id, set) sorted by pair and id."""
+    """Links in each group of leaves; rows (of, part, id, set) sorted by group and id."""
     a, b = [], []
-    for run in _runs(batches, 0, 4 * LEAF):
+    for run in _runs(batches, 0, 1 << 40):
         ids = run.column("id").to_pylist()
         sets = [np.frombuffer(s, np.uint64) for s in run.column("set").to_pylist()]
         for x, y in spanning_links(sets, num, den):
@@ -297,7 +343,12 @@ def links_between(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFram
     hot = _hot(docs, n, num, den)
     sets = stored(_sets(docs, n, num, den, hot), "sets")
     classes = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    own = sets.where("n > 0").join(classes, "digest").where("id = rep").dropDuplicates(["digest"])
+    # The leaf of each representative: the name that most sets have; a name of its own if no other set has one of them.
+    named = sets.where("n > 0").select("id", "digest", F.explode("keys").alias("key"))
+    count = named.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    popular = named.join(count, "key").groupBy("id", "digest").agg(F.max(F.struct("c", "key"))["key"].alias("leaf"))
+    chosen = classes.select(F.col("rep").alias("id"), "digest").join(popular, ["id", "digest"], "left").withColumn("leaf", F.coalesce("leaf", F.xxhash64("id")))
+    own = sets.where("n > 0").join(chosen, ["id", "digest"]).dropDuplicates(["id", "digest"])
     nodes = stored(_nodes(own), "nodes")
     # At most HOT_HASHES numbers, as one literal.
     late = F.split(F.lit(",".join(map(str, hot.view(np.int64).tolist()))), ",").cast("array<bigint>") if len(hot) else F.array().cast("array<bigint>")
@@ -308,19 +359,43 @@ def links_between(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFram
     many = hot_tokens.select(F.explode("tokens").alias("token"), "lo", "hi", "excess", "node", "bitmap").repartition("token").sortWithinPartitions("token", "lo", "node")
     many = many.mapInArrow(lambda it: _hot_pairs(it, num, den), "a bigint, b bigint")
     side = lambda s: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("lo", "hi", "excess", "bitmap")])
-    pruned = few.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _surviving(it, num, den), "a bigint, b bigint")
+    met = few.unionAll(many).where("a <> b").distinct()
+    pruned = met.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _surviving(it, num, den), "a bigint, b bigint")
+    alone = nodes.where(F.size("docs") > 1).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    pairs = stored(pruned, "pairs")
     alone = nodes.where(F.size("docs") > 1).select(F.col("node").alias("a"), F.col("node").alias("b"))
-    pairs = stored(pruned.unionAll(many).where("a <> b").distinct().unionAll(alone), "pairs")
-    named = pairs.select(F.xxhash64("a", "b").alias("pair"), F.explode(F.array_distinct(F.array("a", "b"))).alias("node"))
-    members = named.join(nodes.select("node", F.explode("docs").alias("id")), "node").select("pair", "id")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(alone.select("a")).distinct()
+    ids = stored(nodes.join(ends, "node", "left_semi").select(F.explode("docs").alias("id")).distinct(), "ids")
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n)], pa.binary())], names=["id", "set"])
 
-    met = docs.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(whole, "id bigint, set binary")
-    rows = members.join(met, "id").select("pair", "id", "set").repartition("pair").sortWithinPartitions("pair", "id")
-    return sets.join(classes, "digest", "left").select("id", "n", "digest", "rep"), stored(rows.mapInArrow(lambda it: _verified(it, num, den), "a bigint, b bigint"), "links")
+    met = stored(docs.join(broadcast_if_few(ids), "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(whole, "id bigint, set binary"), "met")
+
+    size = stored(nodes.join(ends, "node", "left_semi").select("node", F.size("docs").alias("size"), "docs"), "members")
+
+    def verify(some: DataFrame) -> DataFrame:
+        """Links of leaf pairs (a, b); the leaves b of an a come in groups of about GROUP sets, each with a."""
+        before = Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+        dealt = some.join(size.select(F.col("node").alias("b"), "size"), "b").withColumn("part", F.floor(F.sum("size").over(before) / GROUP))
+        named = dealt.select(F.xxhash64("a", "part").alias("of"), F.explode(F.array("a", "b")).alias("node")).distinct()
+        members = named.join(size, "node").select("of", F.explode("docs").alias("id"))
+        rows = members.join(met, "id").select("of", "id", "set").repartition("of").sortWithinPartitions("of", "id")
+        return stored(rows.mapInArrow(lambda it: _verified(it, num, den), "a bigint, b bigint"), "links")
+
+    # First each leaf by itself and with its largest neighbour; then the pairs that are not yet in one component.
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    star = both.join(size.select(F.col("node").alias("a"), "size"), "a").groupBy("b").agg(F.max(F.struct("size", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
+    star = stored(star, "star")
+    links = verify(star.unionAll(alone))
+    label = size.select("node", F.explode("docs").alias("id")).join(components(links).withColumnRenamed("node", "id"), "id", "left")
+    label = stored(label.groupBy("node").agg(F.min(F.coalesce("component", "id")).alias("low"), F.max(F.coalesce("component", "id")).alias("high")), "labels")
+    side = lambda s: label.select(F.col("node").alias(s), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"))
+    left = pairs.join(side("a"), "a").join(side("b"), "b").where("least(low_a, low_b) <> greatest(high_a, high_b)").select("a", "b")
+    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = links.unionAll(verify(left.join(done, ["a", "b"], "left_anti")))
+    return sets.join(classes, "digest", "left").select("id", "n", "digest", "rep"), links
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +34,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Within it, Python gets Arrow batches of about size bytes, however long the rows are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def broadcast_if_few(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """df, a stored table of narrow rows, marked for broadcast if it has been counted to at most most rows; else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def discard(df: DataFrame) -> None:
     """Removes the files of a table that stored() made and no later step reads."""
     spark = df.sparkSession
