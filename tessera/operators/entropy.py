@@ -13,9 +13,10 @@ from pyspark.sql.window import Window
 
 def byte_rows(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """A row for each UTF-8 byte: keys, pos, value."""
-    data = F.hex(F.col(text).cast("binary"))
-    at = F.sequence(F.lit(0), (F.length(data) / 2).cast("int") - 1)
-    return df.where(F.length(text) > 0).select(*keys, F.posexplode(F.transform(at, lambda i: F.conv(F.substring(data, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))).alias("pos", "value"))
+    # One pass over the hexadecimal digits; a substring at each position would walk the text each time.
+    pairs = F.regexp_extract_all(F.hex(F.col(text).cast("binary")), F.lit("(..)"), F.lit(1))
+    rows = df.where(F.length(text) > 0).select(*keys, F.posexplode(pairs).alias("pos", "_pair"))
+    return rows.select(*keys, "pos", F.conv("_pair", 16, 10).cast("int").alias("value"))
 
 
 def census(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
