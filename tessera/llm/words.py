@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; bounds the memory of the passes below.
 CHUNK = 1 << 21
+#: Bytes that are hashed at once.
+SEGMENT = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -31,7 +33,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK + 1)
+        size = max(n, SEGMENT + 1)
         made = []
         for base in (_BASE, _INVERSE):
             table = np.full(size, base, np.uint64)
@@ -77,7 +79,7 @@ class Words:
         out = np.empty(len(self.start), np.uint64)
         i = 0
         while i < len(out):
-            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + CHUNK, side="right")))
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + SEGMENT, side="right")))
             base = self.start[i]
             part = self.data[base : self.end[j - 1]].astype(np.uint64) + np.uint64(1)
             start, end = self.start[i:j] - base, self.end[i:j] - base
