@@ -21,8 +21,9 @@ WINDOW, STRIDE = 32, 16
 #: Rows of the word and of the character-trigram tables, their widths, and units in each direction.
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN = 1 << 17, 1 << 13, 8, 8
 #: Labelled documents of each class that training may take, and the longest text of them in bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 2000, 200_000
-BATCH = 256
+SAMPLE_ROWS, SAMPLE_BYTES = 1200, 100_000
+#: Windows in a training step, and steps of a round at least.
+BATCH, STEPS = 128, 60
 
 
 @dataclass
@@ -236,8 +237,9 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int
         top = order[np.r_[row[order][1:] != row[order][:-1], True]]
         drawn = rng.permutation(np.flatnonzero(y[row] == 0))[: 2 * len(top)]
         chosen = np.unique(np.r_[top, drawn])
-        for _ in range(epochs):
-            for at in np.array_split(rng.permutation(chosen), max(1, len(chosen) // BATCH)):
+        batches = max(1, len(chosen) // BATCH)
+        for _ in range(max(epochs, -(-STEPS // batches))):
+            for at in np.array_split(rng.permutation(chosen), batches):
                 x, own = _only(inputs, index[at])
                 label = y[row[at]]
                 g = net.gradients(x, net.embed(x), own, label, np.where(label > 0, balance, 1).astype(np.float32))
