@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm import decontamination, mixing, ngram_join, sharding, toxicity
 from tessera.llm.registry import SHARDS
-from tessera.llm.shared import stored
+from tessera.llm.shared import broadcast_if_few, stored
 
 #: Score from which a document is rejected as toxic.
 TOXIC = 0.3
@@ -24,9 +24,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The document with the smallest id of each group of near-duplicates (five words, a similarity of 0.8); rows without an id stay."""
     found = ngram_join.ngram_components(docs)
     others = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(broadcast_if_few(others), "doc_id", "left_anti").select(*docs.columns)
     # Rows that repeat an id are one document too; only they are moved.
     again = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats")
+    again = broadcast_if_few(again)
     first = Window.partitionBy("doc_id").orderBy("text")
     one = kept.join(again, "doc_id", "left_semi").withColumn("_r", F.row_number().over(first)).where("_r = 1").select(*docs.columns)
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionAll(one)
@@ -38,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     named = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     found = decontamination.decontaminate(named.select("_key", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key")
     hit = stored(found.where("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
-    return named.join(hit, "_key", "left_anti").select(*docs.columns)
+    return named.join(broadcast_if_few(hit), "_key", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
