@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm.components import components
 from tessera.llm.shared import broadcast_if_few, stored
-from tessera.llm.words import SPACE, mix, plain_words, word_chunks
+from tessera.llm.words import SPACE, mix, plain_words, release, word_chunks
 
 #: Sets in a leaf at most, and the orders whose smallest hashes, in pairs, name leaves.
 LEAF, KEYS = 256, 5
@@ -154,6 +154,8 @@ def _runs(batches: Iterable[pa.RecordBatch], key: int, most: int) -> Iterator[pa
         held = held.slice(at)
     if held is not None and held.num_rows:
         yield held
+    held = None
+    release()
 
 
 def _bitmap_matrix(bitmaps: list[bytes]) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,6 +53,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: idle workers stay, and their executor counts what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such call in other C libraries
+        pass
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column, end to end, and the len + 1 bounds of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -111,6 +121,7 @@ def word_chunks(column: pa.Array, separators: np.ndarray, chunk: int = CHUNK) ->
         data = LOWER[raw[offsets[lo] : offsets[hi]]]
         yield _split(data, offsets[lo : hi + 1] - offsets[lo], lo, hi, separators)
         lo = hi
+    release()
 
 
 def plain_words(text: str | None, separators: np.ndarray) -> list[bytes]:
