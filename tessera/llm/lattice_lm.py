@@ -1,10 +1,10 @@
 """Document likelihood over all segmentations of the words into the pieces of an existing unigram vocabulary.
 
-A token is a word or the end of the text. Let c be its count in the training documents, N all tokens, V the distinct
-words. P(end) = c(end) / N, and P(word) = max(c - D, 0) / N + D V / N * L(word): the discount D taken from each known
-word goes to the lattice L, which sums, by a forward recursion in log space, the products of the piece weights over
-all ways to write the word (with a blank before it) in pieces. Weights start from the vocabulary's scores and are
-fitted to the corpus' distinct training words by expectation steps over the same lattice.
+A text is drawn piece by piece until the end is drawn. Its likelihood is P(end) times L(word) of each of its words:
+L sums, by a forward recursion in log space, the products of the piece weights over all ways to write the word (with a
+blank before it) in pieces; no piece crosses a word's beginning, so that is the sum over all segmentations of the text.
+Weights start from the vocabulary's scores and are fitted to the training words, each as often as it occurs, by
+expectation steps over the same lattice. The end is one more piece, with its count of one for each training document.
 
 Words and counts are gathered by hash bucket. A bucket gets, from each block of documents, its distinct words and how
 often each document has them, merges them, and sends back one sum for each document and bucket.
@@ -168,8 +168,8 @@ class Lattice:
             out[own] = self.long_word(words[:, 0]) if len(words) > LONG_WORD + 1 else self.forward(words, self.arcs(words), self.log_weight)[-1]
         return out
 
-    def expected(self, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """How often each piece is expected in one copy of each word; words above LONG_WORD bytes teach nothing."""
+    def expected(self, text: np.ndarray, ends: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in the words, each of which occurs so many times; words above LONG_WORD bytes teach nothing."""
         out = np.zeros(len(self.log_weight))
         for own, words in self.groups(text, ends):
             if len(words) > LONG_WORD + 1:
@@ -177,7 +177,7 @@ class Lattice:
             arcs = self.arcs(words)
             alpha, beta = self.forward(words, arcs, self.log_weight), self.backward(words, arcs, self.log_weight)
             for (i, n), (at, ids) in arcs.items():
-                out += np.bincount(ids, np.exp(alpha[i, at] + self.log_weight[ids] + beta[i + n, at] - alpha[-1, at]), len(out))
+                out += np.bincount(ids, times[own[at]] * np.exp(alpha[i, at] + self.log_weight[ids] + beta[i + n, at] - alpha[-1, at]), len(out))
         return out
 
 
@@ -196,7 +196,7 @@ def fold(id_col: str = "doc_id", folds: int = 5) -> F.Column:
 
 
 BLOCK = "bucket int, unit string, hash binary, text binary, ends binary, train binary, runs binary, doc binary, times binary, ids binary, named binary, words binary, held binary"
-BUCKET = "bucket int, text binary, ends binary, c binary, units array<string>, which array<binary>, runs array<binary>, doc array<binary>, times array<binary>, ids array<binary>, named array<binary>, words array<binary>, held array<binary>, n bigint, v bigint, n1 bigint, n2 bigint"
+BUCKET = "bucket int, text binary, ends binary, c binary, units array<string>, which array<binary>, runs array<binary>, doc array<binary>, times array<binary>, ids array<binary>, named array<binary>, words array<binary>, held array<binary>, n bigint, v bigint"
 SUMS = "unit string, doc binary, base binary, model binary, known binary, ids binary, named binary, words binary, held binary"
 
 
@@ -272,14 +272,19 @@ def _merge(group: pa.Table) -> pa.Table:
     row = {
         "bucket": group.column("bucket")[0].as_py(), "text": text[at].tobytes(), "ends": np.cumsum(size).tobytes(), "c": c.tobytes(),
         "units": units, "which": [x.astype(np.uint32).tobytes() for x in np.split(number, cuts)],
-    } | {k: [info[k][known[u]] if u in known else None for u in units] for k in ("ids", "named", "words", "held")} | {"n": int(c.sum()), "v": int((c > 0).sum()), "n1": int((c == 1).sum()), "n2": int((c == 2).sum())}
+    } | {k: [info[k][known[u]] if u in known else None for u in units] for k in ("ids", "named", "words", "held")} | {"n": int(c.sum()), "v": int((c > 0).sum())}
     whole = lambda k: pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), group.column(k).chunk(0))
     kinds = {"int": pa.int32(), "binary": pa.binary(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
     return pa.table({name: whole(name) if name in ("runs", "doc", "times") else pa.array([row[name]], kinds[kind]) for name, kind in (f.split() for f in BUCKET.split(", "))})
 
 
-def _fitted(buckets: DataFrame, pieces: list[bytes], log_weight: np.ndarray) -> np.ndarray:
-    """Log weights after one expectation step over the distinct training words."""
+def end_probability(ends: int, drawn: float) -> float:
+    """Of the end, as one piece more beside drawn ones."""
+    return (ends + 0.5) / (ends + drawn + 1)
+
+
+def _fitted(buckets: DataFrame, pieces: list[bytes], log_weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Log weights after one expectation step over the training words, and how many pieces it expects in them."""
 
     def expect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, log_weight)
@@ -289,7 +294,7 @@ def _fitted(buckets: DataFrame, pieces: list[bytes], log_weight: np.ndarray) ->
                 text, ends, c = (_view(x, k) for x, k in ((text, np.uint8), (ends, np.int64), (c, np.int64)))
                 size = np.diff(np.r_[0, ends])
                 known = c > 0
-                total += lattice.expected(text[np.repeat(known, size)], np.cumsum(size[known]))
+                total += lattice.expected(text[np.repeat(known, size)], np.cumsum(size[known]), c[known])
             got = np.flatnonzero(total)
             release()
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int32()), pa.array(total[got])], names=["piece", "n"])
@@ -299,7 +304,7 @@ def _fitted(buckets: DataFrame, pieces: list[bytes], log_weight: np.ndarray) ->
     count = np.full(len(pieces), 0.01)
     for r in rows:
         count[r.piece] += r.n
-    return np.log(count / count.sum())
+    return np.log(count / count.sum()), float(count.sum())
 
 
 def score(docs: DataFrame, vocabulary: str = VOCABULARY, steps: int = 2, folds: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,8 +312,8 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, steps: int = 2, folds:
 
     Learns from rows whose fold is not held_out. Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; the end is a token.
     base_score sums log10((c + 0.5) / (N + 0.5 (V + 1))) with V over all distinct training tokens, the end among them;
-    score is the model's log10 probability. Null and empty texts are one end. Rows that repeat an id or have none are
-    kept each; extra columns are not read. Without training rows, N is 0 and the model has the lattice and an end of
+    score is log10 P(end) plus the sum of log10 L(word), of the lattice alone. Null and empty texts are one end. Rows that
+    repeat an id or have none are kept each; extra columns are not read. Without training rows, N is 0 and the end has
     probability one half. Words count as equal if their 64-bit hashes are.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), (fold(id_col, folds) == held_out).alias("held"), F.col(text_col).cast("string").alias("text"))
@@ -317,14 +322,15 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, steps: int = 2, folds:
     merged = _blocks(docs, n_buckets).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_merge, BUCKET)
     with small_batches(docs.sparkSession):
         merged = stored(merged, "words")
-    total = merged.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2")]).first()
+    total = merged.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v")]).first()
     n, v, ends = total.n + size.ends, total.v, size.ends
     pieces, log_weight = load_pieces(vocabulary)
+    drawn = float(total.n)
     for _ in range(steps if v else 0):
         with small_batches(docs.sparkSession):
-            log_weight = _fitted(merged, pieces, log_weight)
-    discount = total.n1 / (total.n1 + 2 * total.n2) if total.n1 and total.n2 else 0.5
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, log_weight))
+            log_weight, drawn = _fitted(merged, pieces, log_weight)
+    end = end_probability(ends, drawn)
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, log_weight + math.log(1 - end)))
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*shared.value)
@@ -332,14 +338,8 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, steps: int = 2, folds:
             for row in range(batch.num_rows):
                 one = {k: batch.column(k)[row] for k in batch.schema.names}
                 text, ends_, c = (_view(one[k], t) for k, t in (("text", np.uint8), ("ends", np.int64), ("c", np.int64)))
-                log_l = lattice.log_likelihood(text, ends_)
+                model = lattice.log_likelihood(text, ends_) / math.log(10)
                 base = np.log10(c + 0.5)
-                if n:
-                    seen = np.maximum(c - discount, 0) / n
-                    back = math.log(max(discount * v, 1) / n) + log_l
-                    model = np.logaddexp(np.where(seen > 0, np.log(np.maximum(seen, 1e-300)), -np.inf), back) / math.log(10)
-                else:
-                    model = (log_l + math.log(0.5)) / math.log(10)
                 release()
                 columns = ("units", "which", "runs", "doc", "times", "ids", "named", "words", "held")
                 for unit, which, runs, doc, times, ids, named, words, held in zip(*(one[k].values for k in columns), strict=True):
@@ -352,7 +352,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, steps: int = 2, folds:
 
     end_base = math.log10(ends + 0.5)
     scale = math.log10(n + 0.5 * (v + (ends > 0) + 1))
-    end_model = math.log10(ends / n) if ends else math.log10(0.5 if not n else 0.5 / n)
+    end_model = math.log10(end)
 
     def finish(group: pa.Table) -> pa.Table:
         info = group.filter(group.column("ids").is_valid())

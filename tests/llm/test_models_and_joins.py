@@ -114,6 +114,29 @@ def test_lattice_sums_all_segmentations_and_base_is_exact(spark):
     assert lm.score(d.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(lm.VOCABULARY), reason="no vocabulary")
+def test_score_is_the_likelihood_of_the_lattice_alone(spark):
+    pieces, weight = lm.load_pieces(lm.VOCABULARY)
+    texts = {k: "the cat the mat" if k % 2 else "the the sat" for k in range(12)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    train = [w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in t.split()]
+    ends = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in texts)
+    words = sorted({w.encode() for t in texts.values() for w in t.split()})
+    times = np.array([train.count(w.decode()) for w in words])
+    for steps in (0, 1):
+        count = np.full(len(pieces), 0.01)
+        if steps:
+            count += lm.Lattice(pieces, weight).expected(np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words]), times)
+            assert count.sum() > len(train)
+        drawn = count.sum() if steps else len(train)
+        end = (ends + 0.5) / (ends + drawn + 1)
+        fitted = (np.log(count / count.sum()) if steps else weight) + math.log(1 - end)
+        log_l = {w.decode(): lm.reference_log_likelihood(w, pieces, fitted) for w in words}
+        got = {r.doc_id: r.score for r in lm.score(d, steps=steps).collect()}
+        want = {i: (math.log(end) + sum(log_l[w] for w in t.split())) / math.log(10) for i, t in texts.items()}
+        assert got == pytest.approx(want, abs=1e-5)
+
+
 def near_texts():
     rng = random.Random(5)
     words = [f"v{k}" for k in range(400)]
