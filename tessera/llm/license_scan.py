@@ -58,33 +58,75 @@ RULES = [
     (20, "AllRightsReserved", ["reserved"]),
 ]
 
-#: One of these is in every known sentence; other sentences are not looked up.
-HINT = "licen|copyright|permission|redistribut|software|rights reserved|warranty|neither the name"
+# Grants of one sentence, which may have other words before and after them, but no "not" before.
+GRANTS = {"apache-grant", "mit-name", "cc-by", "cc-by-short", "cc-by-nc-short"}
 
-#: Where sentences end: a line break, or a mark before white space.
+#: Of the SQL, which knows a licence sentence only where it has a line to itself: its lines and sentences, and the ones it looks up.
 BREAK = r"[\n\r]+|[.!?;][ \t\n\r]+"
+HINT = "licen|copyright|permission|redistribut|software|rights reserved|warranty|neither the name"
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Between sentences of a normalised text; its words have a blank between them, or a line break.
+END = "\x01"
+
+
+def hint(sentences: list[tuple[str, str]]) -> str:
+    """Matches every text that has one of the sentences: the longest word of each."""
+    return "|".join(sorted({max(text.split(), key=len) for _, text in sentences}))
+
+
+def normalised(text: F.Column) -> F.Column:
+    """A-Z lower-cased, anything but letters, digits and non-ASCII made one mark between words.
+
+    It is END after a mark [.!?;] before white space and at blank lines, else a line break where there was one, else a
+    blank. What stands before a line's first word, such as a comment's marker, counts as white space.
+    """
+    out = F.regexp_replace(F.translate(text, UPPER + END, LOWER + " "), r"\r\n?", "\n")
+    out = F.regexp_replace(out, r"(^|\n)[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", "$1")
+    out = F.regexp_replace(out, r"[.!?;](?=[ \t\n])|\n{2,}", END)
+    out = F.regexp_replace(out, r"[\x00\x02-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \n]*\x01[ \n\x01]*", END), r" ?\n ?", "\n"))
 
 
-def normalised(sentence: F.Column) -> F.Column:
-    """A-Z lower-cased, anything but letters, digits and non-ASCII made one blank, blanks trimmed."""
-    return F.trim(F.regexp_replace(F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+def core(known: str) -> str:
+    """A known sentence without the wild cards at its ends."""
+    return known.removeprefix("* ").removesuffix(" *")
 
 
 def sentence_pattern(known: str) -> str:
-    """Regular expression of a known sentence with wild cards."""
+    """Regular expression of a known sentence with wild cards, of the SQL."""
     return "^" + known.replace("* ", "(.* )?").replace(" *", "( .*)?") + "$"
 
 
-def identify(sentence: F.Column, sentences: list[tuple[str, str]] = SENTENCES) -> F.Column:
-    """Identifier of a normalised sentence, else null: exact sentences by one map, the others in their order."""
-    exact = {text: name for name, text in sentences if "*" not in text}
-    out = F.try_element_at(F.create_map(*[F.lit(x) for pair in exact.items() for x in pair]), sentence) if exact else F.lit(None)
-    wild = [(name, sentence_pattern(text)) for name, text in sentences if "*" in text]
-    for name, pattern in wild[:1]:
-        chain = F.when(sentence.rlike(pattern), name)
-    for name, pattern in wild[1:]:
-        chain = chain.when(sentence.rlike(pattern), name)
-    return F.coalesce(out, chain) if wild else out
+def place_pattern(name: str, known: str) -> str:
+    """Matches the core of a known sentence in a normalised text, over single line breaks.
+
+    It begins and ends where a line or a sentence does, or at any word on the side that has a wild card.
+    """
+    start = r"(?<!(?<![^ \n\x01])not[ \n])" if name in GRANTS else "" if known.startswith("* ") else r"(?<![^\n\x01])"
+    end = r"(?![^ \n\x01])" if name in GRANTS or known.endswith(" *") else r"(?![^\n\x01])"
+    return start + core(known).replace(" * ", r" (?:[^\x01]*?[ \n])?").replace(" ", r"[ \n]").replace(r"[[ \n]\n]", r"[ \n]") + end
+
+
+def identify(text: F.Column, sentences: list[tuple[str, str]] = SENTENCES) -> F.Column:
+    """Identifiers of the known sentences in a normalised text, in the text's order; where several begin, the exact ones are tried first."""
+    ordered = sorted(sentences, key=lambda x: "*" in x[1])
+    places = F.regexp_extract_all(text, F.lit(r"(?<![^ \n\x01])(?:" + "|".join(place_pattern(n, t) for n, t in ordered) + ")"), F.lit(0))
+    names: dict[str, str] = {}
+    for name, known in ordered:
+        if "*" not in core(known):
+            names.setdefault(core(known), name)
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else None
+
+    def named(place: F.Column) -> F.Column:
+        plain = F.translate(place, "\n", " ")
+        found = F.try_element_at(table, plain) if names else F.lit(None).cast("string")
+        for name, known in ordered:
+            if "*" in core(known):
+                found = F.coalesce(found, F.when(plain.rlike("^" + core(known).replace("* ", "(.* )?") + "$"), name))
+        return found
+
+    return F.transform(places, named)
 
 
 def rule_pattern(identifiers: list[str]) -> str:
@@ -99,13 +141,16 @@ def rule_rest(identifiers: list[str]) -> str:
 def scan(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[int, str, list[str]]] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, identifiers (of its licence sentences, in order) and licenses (distinct, in the rules' order).
 
+    A sentence may be wrapped over lines, and stand in a comment; blank lines and sentence marks end it, and where a line
+    begins or ends a known sentence may too. Several in a row are several identifiers.
+
     Rules are tried in order; a rule whose identifiers occur in its order uses them up and names its licence. The tables
     of sentences and rules are parameters of fixed size and part of the plan; no row leaves its task, so nothing is
     shuffled and no licence line that many rows share makes a hot group. Null and empty texts have empty lists.
     """
-    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), BREAK)
-    hinted = F.filter(F.transform(F.filter(parts, lambda p: p.rlike("(?i)" + HINT)), normalised), lambda p: p.rlike(HINT))
-    found = F.filter(F.transform(hinted, lambda p: identify(p, sentences)), lambda i: i.isNotNull())
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # Most texts have none of the words; others are read whole.
+    found = F.when(text.rlike("(?i)" + hint(sentences)), identify(normalised(text), sentences)).otherwise(F.array().cast("array<string>"))
     out = docs.select(F.col(id_col).alias("doc_id"), found.alias("identifiers"))
     table = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(rule_pattern(ids)).alias("pattern"), F.lit(rule_rest(ids)).alias("rest")) for _, name, ids in sorted(rules)])
     start = F.struct(F.concat(F.lit(","), F.array_join("identifiers", ","), F.lit(",")).alias("left"), F.array().cast("array<string>").alias("names"))

@@ -70,6 +70,57 @@ def test_licence_sequences(spark):
     assert got[6][1] == ["MIT", "AllRightsReserved"] and got[7] == (["cc-by-nc-short"] * 3, ["CC-BY-NC-4.0"])
 
 
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+MIT = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products."""
+
+
+def test_wrapped_licences_keep_their_sentences(spark):
+    wrapped = {"gpl": GPL, "mit": MIT, "bsd": BSD}
+    for mark in ("# ", " * ", ";; ", "// "):
+        wrapped |= {k + mark: "".join(f"{mark}{line}\r\n" for line in wrapped[k].split("\n")) for k in ("gpl", "mit", "bsd")}
+    texts = wrapped | {
+        "lead": "This project is licensed under the Apache License, Version 2.0.",
+        "over": "It is released under the MIT\nLicense, see the file.",
+        "not": "It is not licensed under CC BY 4.0.",
+        "end": "no mark at the end\nLicensed under CC BY 4.0\nnor here\nAll rights reserved\nend",
+        "dashes": "-" * 200_000 + "\n" + " ." * 100_000 + " licence",
+    }
+    got = {r.doc_id: (r.identifiers, r.licenses) for r in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    assert {got[k][1][0] for k in wrapped if k.startswith("gpl")} == {"GPL-3.0"} and got["gpl"][0] == ["gpl-free", "gpl-warranty"]
+    assert got["mit"] == (["copyright", "mit-grant", "mit-notice", "mit-asis"], ["MIT"])
+    assert got["bsd"] == (["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"], ["BSD-3-Clause"])
+    assert all(got[k] == got[k[:3]] for k in wrapped)
+    assert got["lead"] == (["apache-grant"], ["Apache-2.0"]) and got["over"] == (["mit-name"], ["MIT"]) and got["not"] == ([], [])
+    assert got["end"] == (["cc-by-short", "reserved"], ["CC-BY-4.0", "AllRightsReserved"]) and got["dashes"] == ([], [])
+
+
 def brute_table(shards, slots):
     orders = []
     for s in shards:
