@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import gzip
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -131,57 +133,86 @@ def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
     return end + 4, fields, payload
 
 
-def _member(data: bytes, at: int) -> tuple[int, bytes] | str:
-    """The gzip member at a place: where it ends, and its content; or which check it failed."""
+def _member(data: bytes, at: int) -> tuple[int, bytes, str | None]:
+    """The gzip member at a place: where it ends, its content and None; or, with the check it failed, what was inflated before."""
     if data[at : at + 3] != MEMBER:
-        return "no gzip member"
+        return at, b"", "no gzip member"
     inflate, out, place, view = zlib.decompressobj(31), [], at, memoryview(data)
     try:
         while not inflate.eof and place < len(data):
             out.append(inflate.decompress(view[place : place + STEP]))
             place += min(STEP, len(data) - place)
     except zlib.error as e:
-        return f"gzip: {e}"[:80]
-    return (place - len(inflate.unused_data), b"".join(out)) if inflate.eof else "gzip member is cut off"
+        # The step that failed gave nothing; taken again byte by byte, it gives what comes before the error.
+        inflate = zlib.decompressobj(31)
+        for k in range(at, place, STEP):
+            inflate.decompress(view[k : k + STEP])
+        with contextlib.suppress(zlib.error):
+            for k in range(place, min(place + STEP, len(data))):
+                out.append(inflate.decompress(view[k : k + 1]))
+        return place, b"".join(out), f"gzip: {e}"[:80]
+    return (place - len(inflate.unused_data), b"".join(out), None) if inflate.eof else (place, b"".join(out), "gzip member is cut off")
+
+
+def _inside(content: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
+    """Records and gaps of a member's content, in order: where each begins and ends, problem, fields, payload."""
+    at, gap, why = 0, None, ""
+    while at < len(content):
+        got = _parse(content, at)
+        if isinstance(got, str):
+            if gap is None:
+                gap, why = at, got
+            at = content.find(b"WARC/", at + 1)
+            at = len(content) if at < 0 else at
+            continue
+        if gap is not None:
+            yield gap, at, why, {}, b""
+            gap = None
+        yield at, got[0], None, *got[1:]
+        at = got[0]
+    if gap is not None:
+        yield gap, at, why, {}, b""
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
     """Records of an archive and its quarantined gaps, in order: offset, length, problem (None for a record), fields, payload.
 
-    After a failed check the reader searches for the next place at which a whole valid record (or gzip member of valid
-    records) begins, and logs the bytes up to there with the first check that failed. Bytes are never dropped silently:
-    records and gaps tile the file.
+    After a failed check the reader searches for the next place at which a valid record (or a gzip member with one) begins,
+    and logs the bytes up to there with the first check that failed. Bytes are never dropped silently: records and gaps tile
+    the file. Within a member's content it searches likewise: rows of one member have its offset and length, and a gap's
+    problem names the bytes of the content. A member that is cut off or fails to inflate gives the records of what was
+    inflated before; they have its offset, the length that was read, and the file's gap for the damage begins there too.
     """
     at, gap, why = 0, None, ""
     while at < len(data):
-        plain = data[at : at + 1] == b"W"
-        got = _parse(data, at) if plain else _member(data, at)
-        inner: list[tuple[dict[str, str], bytes]] = []
-        if not isinstance(got, str) and not plain:
-            place, content = 0, got[1]
-            while place < len(content):
-                one = _parse(content, place)
-                if isinstance(one, str):
-                    got = one
-                    break
-                inner.append(one[1:])
-                place = one[0]
-            if not isinstance(got, str) and not inner:
-                got = "gzip member without record"
-        elif not isinstance(got, str):
-            inner.append(got[1:])
-        if isinstance(got, str):
-            if gap is None:
-                gap, why = at, got
-            nexts = [x for x in (data.find(b"WARC/", at + 1), data.find(MEMBER, at + 1)) if x >= 0]
-            at = min(nexts, default=len(data))
-            continue
-        if gap is not None:
+        if data[at : at + 1] == b"W":
+            got = _parse(data, at)
+            end, broken = (at, got) if isinstance(got, str) else (got[0], None)
+            rows = iter(()) if broken else iter([(0, end - at, None, *got[1:])])
+        else:
+            end, content, broken = _member(data, at)
+            rows = _inside(content)
+            del content
+        # Up to the first record; without one the place is part of the file's gap.
+        held, first = [], None
+        for row in rows:
+            if row[2] is None:
+                first = row
+                break
+            held.append(row)
+        if first is not None and gap is not None:
             yield gap, at - gap, why, {}, b""
             gap = None
-        for fields, payload in inner:
-            yield at, got[0] - at, None, fields, payload
-        at = got[0]
+        if first is not None:
+            for lo, hi, problem, fields, payload in itertools.chain(held, [first], rows):
+                yield at, end - at, problem and f"{problem}, bytes {lo} to {hi} of the member", fields, payload
+        if first is not None and broken is None:
+            at = end
+            continue
+        if gap is None:
+            gap, why = at, broken or (held[0][2] if held else "gzip member without record")
+        nexts = [x for x in (data.find(b"WARC/", at + 1), data.find(MEMBER, at + 1)) if x >= 0]
+        at = min(nexts, default=len(data))
     if gap is not None:
         yield gap, at - gap, why, {}, b""
 

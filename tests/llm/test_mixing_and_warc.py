@@ -84,6 +84,30 @@ def test_salvage_recovers_what_follows_damage():
     assert list(warc.salvage(b"")) == [] and [p for _, _, p, *_ in warc.salvage(b"junk")] == ["no gzip member"]
 
 
+def test_salvage_resumes_inside_a_member():
+    noise = [hashlib.sha512(b"%d-%d" % (k, j)).digest() for k in range(6) for j in range(400)]
+    body = [b"".join(noise[400 * k : 400 * k + 400]) for k in range(6)]
+    parts = [warc._record("response", str(k), "u", base64.b32encode(hashlib.sha1(b).digest()).decode(), "", b) for k, b in enumerate(body)]
+    name = lambda got: [f["warc-record-id"][-2] for *_, p, f, _ in got if p is None]
+    bad = bytearray(parts[2])
+    bad[-9] ^= 1
+    one = gzip.compress(b"".join([*parts[:2], bytes(bad), *parts[3:]]), mtime=0)
+    got = list(warc.salvage(one))
+    start = len(parts[0]) + len(parts[1])
+    assert name(got) == ["0", "1", "3", "4", "5"] and {(o, n) for o, n, *_ in got} == {(0, len(one))}
+    assert [p for _, _, p, *_ in got if p] == [f"payload digest differs, bytes {start} to {start + len(bad)} of the member"]
+    whole, last = gzip.compress(b"".join(parts[:5]), mtime=0), gzip.compress(parts[5], mtime=0)
+    cut = whole[: len(whole) * 7 // 10]
+    for data in (cut, cut + last):
+        got = list(warc.salvage(data))
+        assert name(got) == ["0", "1", "2"] + ["5"] * (data != cut)
+        assert (0, len(cut)) in [(o, n) for o, n, p, *_ in got if p]
+    flipped = bytearray(whole)
+    flipped[-6] ^= 1
+    got = list(warc.salvage(bytes(flipped) + last))
+    assert name(got) == ["0", "1", "2", "3", "4", "5"] and any("incorrect data check" in p for _, _, p, *_ in got if p)
+
+
 def test_word_counts(spark):
     d = spark.createDataFrame([(None,), ("",), (" a\tb\x0bc\u00a0d ",)], "text string")
     assert [r[0] for r in d.select(mixing.word_count(F.col("text"))).collect()] == [0, 0, 3]
