@@ -128,24 +128,47 @@ class Lattice:
                     beta[i, at] = np.logaddexp(beta[i, at], beta[i + n, at] + log_weight[ids])
         return beta
 
-    def long_word(self, word: np.ndarray) -> float:
-        """Log likelihood of one long word, byte after byte."""
+    def long_arcs(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and piece of each arc of one long word, in order of the ends."""
         size = len(word)
         up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(size, _P, np.uint64)])
         down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(size, _Q, np.uint64)])
         total = np.r_[np.uint64(0), np.cumsum((word.astype(np.uint64) + np.uint64(1)) * up[:size])]
-        into: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
+        found = []
         for n in self.table:
             if n <= size:
                 at, ids = self.find((total[n:] - total[:-n]) * down[: size - n + 1], n)
-                for i, w in zip(at.tolist(), self.log_weight[ids].tolist(), strict=True):
-                    into[i + n].append((i, w))
+                found.append((at, at + n, ids))
+        start, end, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(end, kind="stable")
+        return start[order], end[order], ids[order]
+
+    @staticmethod
+    def _along(size: int, into: np.ndarray, out_of: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Log of the summed weight of all ways from place 0 to each place; arcs in order of into."""
         alpha = [0.0] + [-math.inf] * size
+        cut = np.searchsorted(into, np.arange(1, size + 2)).tolist()
+        out_of, weight = out_of.tolist(), weight.tolist()
         for j in range(1, size + 1):
-            terms = [alpha[i] + w for i, w in into[j]]
+            terms = [alpha[out_of[k]] + weight[k] for k in range(cut[j - 1], cut[j])]
             top = max(terms)
             alpha[j] = top + math.log(sum(math.exp(t - top) for t in terms))
-        return alpha[size]
+        return np.array(alpha)
+
+    def long_word(self, word: np.ndarray) -> float:
+        """Log likelihood of one long word, byte after byte."""
+        start, end, ids = self.long_arcs(word)
+        return float(self._along(len(word), end, start, self.log_weight[ids])[-1])
+
+    def long_expected(self, word: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in one long word; memory is linear in the word."""
+        size = len(word)
+        start, end, ids = self.long_arcs(word)
+        weight = self.log_weight[ids]
+        alpha = self._along(size, end, start, weight)
+        back = np.argsort(size - start, kind="stable")
+        beta = self._along(size, (size - start)[back], (size - end)[back], weight[back])[::-1]
+        return np.bincount(ids, np.exp(alpha[start] + weight + beta[end] - alpha[-1]), len(self.log_weight))
 
     def groups(self, text: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Words of equal length, a blank before each: their numbers, and their bytes as columns."""
@@ -169,10 +192,11 @@ class Lattice:
         return out
 
     def expected(self, text: np.ndarray, ends: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """How often each piece is expected in the words, each of which occurs so many times; words above LONG_WORD bytes teach nothing."""
+        """How often each piece is expected in the words, each of which occurs so many times."""
         out = np.zeros(len(self.log_weight))
         for own, words in self.groups(text, ends):
             if len(words) > LONG_WORD + 1:
+                out += times[own[0]] * self.long_expected(words[:, 0])
                 continue
             arcs = self.arcs(words)
             alpha, beta = self.forward(words, arcs, self.log_weight), self.backward(words, arcs, self.log_weight)
