@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm import decontamination, mixing, ngram_join, sharding, toxicity
 from tessera.llm.registry import SHARDS
@@ -21,16 +20,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates (five words, a similarity of 0.8); rows without an id stay."""
-    found = ngram_join.ngram_components(docs)
-    others = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(broadcast_if_few(others), "doc_id", "left_anti").select(*docs.columns)
-    # Rows that repeat an id are one document too; only they are moved.
-    again = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats")
+    """The document with the smallest id of each group of near-duplicates (five words, a similarity of 0.8); rows without an id stay.
+
+    A document is an id with a text: rows that repeat both are one, and unlike texts of one id are documents of their own.
+    """
+    named = docs.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit("")))))
+    keys = named.where("_key is not null").select("doc_id", "_key", "text")
+    found = ngram_join.ngram_components(keys, id_col="_key").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_of"))
+    groups = stored(found.distinct().join(keys.select("doc_id", "_key").distinct(), "_key"), "groups")
+    least = groups.groupBy("_of").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_first"))
+    others = stored(groups.join(least, "_of").where("_key <> _first").select("_key"), "copies")
+    kept = named.join(broadcast_if_few(others), "_key", "left_anti").select(*named.columns)
+    # Rows that repeat an id and its text are one document too; only they are moved, and joined before the shuffle.
+    again = stored(keys.groupBy("_key").count().where("count > 1").select("_key"), "repeats")
     again = broadcast_if_few(again)
-    first = Window.partitionBy("doc_id").orderBy("text")
-    one = kept.join(again, "doc_id", "left_semi").withColumn("_r", F.row_number().over(first)).where("_r = 1").select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionAll(one)
+    one = kept.join(again, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_r")).select("_r.*")
+    return kept.join(again, "_key", "left_anti").select(*docs.columns).unionAll(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
