@@ -55,13 +55,17 @@ def slot_of(key: F.Column, slots: int = SLOTS) -> F.Column:
 def place(docs: DataFrame, shards: list[str], slots: int = SLOTS, key: str = "doc_id", slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
     """docs with the slot of each row and its shard, whatever the table's size: no shuffle.
 
-    The table has a row for each slot, a number that is a parameter and does not grow with the data, and is broadcast.
-    Equal keys get equal shards; null keys go together; an existing column named slot_col or shard_col is replaced.
+    The lookup table has a row for each slot, a number that is a parameter and does not grow with the data, and is
+    broadcast. Equal keys get equal shards; null keys go together; an empty table stays empty. Columns named slot_col or
+    shard_col (in any case, as Spark compares names) are replaced; all others stay as they are.
     """
     owner = lookup_table(shards, slots)
-    table = docs.sparkSession.createDataFrame(pd.DataFrame({"_slot": np.arange(slots, dtype=np.int32), shard_col: np.array(shards, dtype=object)[owner]}), f"_slot int, `{shard_col}` string")
-    keyed = docs.drop(shard_col).withColumn(slot_col, slot_of(F.col(key), slots))
-    return keyed.join(F.broadcast(table), keyed[slot_col] == table["_slot"], "left").drop("_slot")
+    table = docs.sparkSession.createDataFrame(pd.DataFrame({"_slot": np.arange(slots, dtype=np.int32), "_shard": np.array(shards, dtype=object)[owner]}), "_slot int, _shard string")
+    # The rows travel as one value, so that no column of theirs can clash with the table's.
+    made = {slot_col.lower(), shard_col.lower()}
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in made]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), slot_of(F.col(key), slots).alias("_at"))
+    return keyed.join(F.broadcast(table), F.col("_at") == F.col("_slot"), "left").select(*kept, F.col("_at").alias(slot_col), F.col("_shard").alias(shard_col))
 
 
 def write_shards(placed: DataFrame, path: str, shards: int, shard_col: str = "shard", files: int = 1) -> None:

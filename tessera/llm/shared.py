@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; a local one is set only where that is unset in local mode, as in tests."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext.getCheckpointDir():
@@ -54,6 +56,22 @@ def broadcast_if_few(df: DataFrame, most: int = 1 << 20) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def skew_join(left: DataFrame, right: DataFrame, on: str, n: str = "n", most: int = 100_000) -> DataFrame:
+    """left with the columns of right (but n), a stored table of one row for each key with the number n of left rows that have it.
+
+    A left join, so null keys and keys that right lacks get nulls. right is broadcast if it has at most most rows. Else
+    its keys with more than one most-th of all rows are, of which there are fewer than most; no other key is a large
+    group in the shuffle that takes the rest.
+    """
+    size = right.agg(F.count("*").alias("rows"), F.coalesce(F.sum(n), F.lit(0)).alias("all")).first()
+    if size.rows <= most:
+        return left.join(F.broadcast(right.drop(n)), on, "left")
+    hot = F.col(n) > size["all"] / most
+    marked = left.join(F.broadcast(right.where(hot).drop(n).withColumn("_hot", F.lit(True))), on, "left")
+    rest = marked.where("_hot is null").select(*left.columns).join(right.where(~hot).drop(n), on, "left")
+    return marked.where("_hot").drop("_hot").unionByName(rest)
+
+
 def discard(df: DataFrame) -> None:
     """Removes the files of a table that stored() made and no later step reads."""
     spark = df.sparkSession
