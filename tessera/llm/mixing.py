@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import stored
+from tessera.llm.shared import skew_join, stored
 
 #: Weights dealt to the sources in order of their names, again and again.
 WEIGHTS = (3, 1, 2)
@@ -33,7 +33,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
     over the sources ordered by the level at which they fill. Sources without size get target 0. If total reaches most,
     every source gets most times its size.
     """
-    # The running sums see a row for each source; a hot source is one row.
+    # The running sums see a row for each source; a hot source is one row, of three numbers and a name.
     everyone = Window.partitionBy(F.lit(0))
     by_name = everyone.orderBy(F.col(name).isNull(), F.col(name))
     w = F.element_at(F.lit([float(x) for x in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
@@ -48,26 +48,46 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
     return s.withColumn("target", F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_level") * F.col("_w")))).drop("_w", "_cap", "_all", "_full", "_open", "_level")
 
 
+def _counted(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """_row (all columns of docs as one value, which no name can clash with), _source, _size and _draw of each row."""
+    mark = draw(F.col(id_col), F.col(source_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), seed=seed)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size"), mark.alias("_draw"))
+
+
+def _dealt(docs: DataFrame, weights: tuple[float, ...], total: float, most: float, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """_counted() with _of (the source's size), _target, _rate and _copies."""
+    rows = _counted(docs, seed, id_col, text_col, source_col)
+    totals = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    # A null source has a row of its own; the join takes it by a flag and an empty name.
+    name = lambda c: F.struct(F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    plan = stored(targets(totals, weights, total, most).select(name("source").alias("_key"), F.col("size").alias("_of"), F.col("target").alias("_target"), "n"), "targets")
+    out = skew_join(rows.withColumn("_key", name("_source")), plan, "_key").drop("_key")
+    out = out.withColumn("_rate", F.when(F.col("_of") > 0, F.col("_target") / F.col("_of")).otherwise(F.lit(0.0)))
+    extra = F.col("_draw") < F.col("_rate") - F.floor("_rate")
+    return out.withColumn("_copies", (F.floor("_rate") + F.when(extra, 1).otherwise(0)).cast("int"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with size, source_size, target, rate and copies.
 
     rate is the target over the source's size; a row is taken floor(rate) times, and once more with probability equal to
     the fraction, drawn from the seed, its id, source and text: reruns agree, and repeated rows share their draw. Rows of
-    a null source are one source; rows of size 0 change nothing and are taken by the same rule. Clashing columns are
-    replaced. The totals are pre-aggregated before their shuffle and stored, so that Spark knows their size when it plans
-    their join: it broadcasts a row for each source only below its own threshold. Texts are not read after that join.
+    a null source are one source; null texts have size 0; rows of size 0 change nothing and are taken by the same rule;
+    an empty table stays empty. Columns of docs that have one of the five names (in any case) are replaced, all others
+    stay as they are. The totals are pre-aggregated before their shuffle and stored; a hot source is one row of them, and
+    the join that brings them back moves no hot source's rows. Texts are not read after that join.
     """
-    named = docs.withColumn("size", word_count(F.col(text_col))).withColumn("_draw", draw(F.col(id_col), F.col(source_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), seed=seed))
-    totals = named.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("size"))
-    plan = stored(targets(totals, weights, total, most).select(F.col("source").alias("_source"), F.col("size").alias("source_size"), "target"), "targets")
-    kept = named.drop("source_size", "target", "rate", "copies")
-    out = kept.join(plan, kept[source_col].eqNullSafe(plan["_source"]), "left").drop("_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    out = out.withColumn("rate", rate)
-    extra = F.col("_draw") < F.col("rate") - F.floor("rate")
-    return out.withColumn("copies", (F.floor("rate") + F.when(extra, 1).otherwise(0)).cast("int")).drop("_draw")
+    made = {"size": "_size", "source_size": "_of", "target": "_target", "rate": "_rate", "copies": "_copies"}
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in made]
+    return _dealt(docs, weights, total, most, seed, id_col, text_col, source_col).select(*kept, *[F.col(c).alias(name) for name, c in made.items()])
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
-    """Each row as often as it is taken."""
+    """Each row of mix() as often as it is taken; copy counts from 1, in place of any column of that name."""
     return mixed.where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+
+
+def taken(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, each as often as mix() takes it, with the columns of docs alone, whatever their names."""
+    out = _dealt(docs, weights, total, most, seed, id_col, text_col, source_col).where("_copies > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
