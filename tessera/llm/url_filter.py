@@ -7,8 +7,12 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import skew_join, stored
+
 #: Longest filter that is sent to every task, in 64-bit blocks (8 MB); more rules get more bits only up to this.
 MOST_BLOCKS = 1 << 20
+#: Rule path lengths that are listed in the plan; with more of them every prefix of a path is tried.
+MOST_DEPTHS = 4096
 
 SEP = "\x1f"
 
@@ -71,11 +75,11 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     return rows.withColumn("key", F.concat("host", F.lit(SEP), "path"))
 
 
-def candidate_keys(host: F.Column, path: F.Column, depths: list[int]) -> F.Column:
-    """Keys of all rules that could fit: host and its parents, each with the path's prefixes of the rules' lengths."""
+def candidate_keys(host: F.Column, path: F.Column, depths: list[int] | None) -> F.Column:
+    """Keys of all rules that could fit: host and its parents, each with the path's prefixes of the rules' lengths (None: of all lengths)."""
     labels = F.split(host, r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    long_enough = F.filter(F.lit(depths), lambda n: n <= F.length(path))
+    long_enough = F.sequence(F.lit(0), F.length(path)) if depths is None else F.filter(F.lit(depths), lambda n: n <= F.length(path))
     prefixes = F.transform(long_enough, lambda n: F.substring(path, F.lit(1), n))
     return F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit(SEP), p))))
 
@@ -84,24 +88,24 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     """For each row of pages: id, host, path, rule (its host and path, else null) and verdict.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest (host and path together,
-    then host) wins, and of equal ones block. Urls without a rule get default, a null or relative url too. A row's
-    possible keys are tried on the Bloom filter; only hits go on to the exact join, which removes the false ones, and the
-    hits' winners come back to the rows by a key of their own, so repeated rows and null ids are kept as they are.
+    then host) wins, and of equal ones block. Urls without a rule get default, a null or relative url too; no rules and
+    no pages are fine. Rules with a null host or path fit nothing. A row's possible keys are tried on the Bloom filter;
+    only hits go on to the exact join, which removes the false ones, and the hits' winners come back to the rows by a key
+    of their own, so repeated rows and null ids are kept as they are. Other columns are not read.
     """
-    rules = rules.dropDuplicates(["key", "verdict"])
-    depths = sorted({r.n for r in rules.select(F.length("path").alias("n")).distinct().limit(4097).collect()})
-    if len(depths) > 4096:
-        raise ValueError("rules have paths of more than 4096 different lengths")
+    rules = rules.where("key is not null").dropDuplicates(["key", "verdict"])
+    depths = sorted({r.n for r in rules.select(F.length("path").alias("n")).distinct().limit(MOST_DEPTHS + 1).collect()}) or [0]
     blocks = bloom_blocks(rules)
     held = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    keys = candidate_keys(F.col("host"), F.col("path"), depths or [0])
+    keys = candidate_keys(F.col("host"), F.col("path"), depths if len(depths) <= MOST_DEPTHS else None)
     # One literal that is folded to an array, whatever its length.
     table = F.split(F.lit(",".join(map(str, blocks))), ",").cast("array<bigint>")
     hit = F.filter(F.transform(keys, lambda k: F.struct(k.alias("key"), _hash(k).alias("h"))), lambda x: _passes(x.h, table, len(blocks)))
     tried = held.withColumn("hits", F.transform(hit, lambda x: x.key))
     # Pairs (host, path) repeat: the exact join sees each distinct list of hits once.
-    lists = tried.where(F.size("hits") > 0).select("hits").distinct()
+    lists = tried.where(F.size("hits") > 0).groupBy("hits").agg(F.count("*").alias("n"))
     ranked = rules.select("key", F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("h"), (F.col("verdict") == "block").alias("b"), F.concat("host", "path").alias("rule"), "verdict").alias("r"))
-    won = lists.withColumn("key", F.explode("hits")).join(ranked, "key").groupBy("hits").agg(F.max("r").alias("r"))
-    out = tried.join(won, "hits", "left")
+    won = lists.withColumn("key", F.explode("hits")).join(ranked, "key").groupBy("hits").agg(F.max("r").alias("r"), F.first("n").alias("n"))
+    # A list that very many pages share is broadcast and so no hot group.
+    out = skew_join(tried, stored(won, "winners"), "hits")
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.lit(default)).alias("verdict"))
