@@ -1,7 +1,7 @@
 """Similarity join of documents on the Jaccard similarity of their word n-grams, exact, by signature trees.
 
-A document is the set of 64-bit hashes of its distinct n-grams. Equal sets are one class with one representative. The
-representatives are put into leaves of at most LEAF sets, by size. A leaf is named by a pair of a set's smallest hashes in
+A document is the set of 64-bit hashes of its distinct n-grams. Equal sets are one class, named by 64 bits of the set's
+digest. The classes are put into leaves of at most LEAF sets, by size. A leaf is named by a pair of a set's smallest hashes in
 KEYS orders; of its pairs a set takes the one that most sets have, so a large group of near copies has few leaves, and
 unrelated sets that share a passage seldom have a leaf in common. A node of
 the tree holds the OR of the bitmaps of the sets below it, their smallest and largest size, and the largest excess of a
@@ -14,11 +14,13 @@ size - ceil(t size) + 1 of each in any common order, so leaves meet only under a
 root of a tree over the leaves that have it. Hashes that very many prefixes hold come last in the order, which keeps
 passages that many documents share out of the prefixes; what is left of them is traversed with inner nodes. Surviving
 leaf pairs are verified on their whole sets: first each leaf and its largest neighbour, then the pairs that this has not
-put into one component.
+put into one component. A name, class or hash that very many sets have is counted first and its table broadcast, or
+split over tasks: hot ones are at most a fixed number, since each holds a fixed share of all rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.components import components
-from tessera.llm.shared import broadcast_if_few, stored
+from tessera.llm.shared import broadcast_if_few, skew_join, stored
 from tessera.llm.words import SPACE, mix, plain_words, release, word_chunks
 
 #: Sets in a leaf at most, and the orders whose smallest hashes, in pairs, name leaves.
@@ -39,9 +41,10 @@ GROUP = 768
 FAN = 8
 #: 64-bit words of the shortest bitmap, which has two bits for each of its sets' hashes; doubled up to FOLDS times.
 MAP_WORDS, FOLDS = 32, 8
-#: A hash in more prefixes than this comes last in the order; of such hashes the order knows at most HOT_HASHES.
-HOT_DF = 100
-HOT_HASHES = 20_000
+#: A hash in more prefixes than this, and in more than one HOT_SHARE-th of all, comes last in the order: so fewer than HOT_SHARE do.
+HOT_DF, HOT_SHARE = 100, 1 << 18
+#: Leaves that one task of a frequent hash's tree begins with.
+ROOT = 4096
 #: Node pairs that a traversal holds at once.
 FRONTIER = 1 << 16
 
@@ -64,6 +67,11 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield h[:0]
 
 
+def class_of(s: np.ndarray) -> int:
+    """Name of all documents with this set."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def fold_of(size: int) -> int:
     """How often the shortest bitmap is doubled for a set."""
     return min(FOLDS, max(0, (size - 1) // (MAP_WORDS * 32)).bit_length())
@@ -79,7 +87,7 @@ def prefix_length(size: int, num: int, den: int) -> int:
 
 
 def _hot(docs: DataFrame, n: int, num: int, den: int) -> np.ndarray:
-    """The hashes that most prefixes hold, at most HOT_HASHES; they only set the order, on which no result depends."""
+    """The hashes that very many prefixes hold, fewer than HOT_SHARE; they only set the order, on which no result depends."""
 
     def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,9 +95,11 @@ def _hot(docs: DataFrame, n: int, num: int, den: int) -> np.ndarray:
             h, c = np.unique(np.concatenate(got) if got else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["h", "c"])
 
-    total = docs.select("text").mapInArrow(counts, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > HOT_DF)
-    rows = total.orderBy(F.desc("c"), "h").limit(HOT_HASHES).collect()
-    return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
+    total = docs.select("text").mapInArrow(counts, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    often = stored(total.where(F.col("c") > HOT_DF), "often")
+    all_ = often.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first().c
+    rows = often.where(F.col("c") > all_ / HOT_SHARE).select("h").toPandas()["h"].to_numpy(np.int64)
+    return np.sort(rows.view(np.uint64))
 
 
 def _is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -101,17 +111,15 @@ def _is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
-    """id, n, digest, keys (names of the leaves it may join), prefix, bitmap and excess of each document's set."""
+    """id, n, cls (64 bits of the set's digest), keys (names of the leaves it may join), prefix, bitmap and excess of each document's set."""
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         first, second = np.triu_indices(KEYS, 1)
         for batch in batches:
             size, digest, leaf, prefix, bitmaps, excess = [], [], [], [], [], []
             for s in shingle_sets(batch.column(1), n):
                 size.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                digest.append(class_of(s))
                 if len(s):
                     least = mix(np.array([mix(s ^ np.uint64(k)).min() ^ np.uint64(k) for k in range(KEYS)]))
                     leaf.append(mix(least[first] + least[second] * np.uint64(3) + np.uint64(fold_of(len(s)))).view(np.int64))
@@ -129,9 +137,9 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray) -> DataF
                     bitmap = np.packbits(flags).tobytes()
                 bitmaps.append(bitmap)
                 excess.append(over)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(leaf, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary()), pa.array(excess, pa.list_(pa.int64()))], names=["id", "n", "digest", "keys", "prefix", "bitmap", "excess"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.int64()), pa.array(leaf, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary()), pa.array(excess, pa.list_(pa.int64()))], names=["id", "n", "cls", "keys", "prefix", "bitmap", "excess"])
 
-    return docs.select("id", "text").mapInArrow(build, "id bigint, n bigint, digest binary, keys array<bigint>, prefix array<bigint>, bitmap binary, excess array<bigint>")
+    return docs.select("id", "text").mapInArrow(build, "id bigint, n bigint, cls bigint, keys array<bigint>, prefix array<bigint>, bitmap binary, excess array<bigint>")
 
 
 def _runs(batches: Iterable[pa.RecordBatch], key: int, most: int) -> Iterator[pa.Table]:
@@ -176,7 +184,7 @@ NODE = "node bigint, docs array<bigint>, lo bigint, hi bigint, excess array<bigi
 
 
 def _nodes(sets: DataFrame) -> DataFrame:
-    """Leaves of the trees; a leaf's name is its smallest document."""
+    """Leaves of the trees; a leaf's name is its smallest class."""
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -191,7 +199,7 @@ def _nodes(sets: DataFrame) -> DataFrame:
         if out:
             yield _node_batch(out)
 
-    return sets.select("leaf", "id", "n", "prefix", "bitmap", "excess").repartition("leaf").sortWithinPartitions("leaf", "n", "id").mapInArrow(build, NODE)
+    return sets.select("leaf", F.col("cls").alias("id"), "n", "prefix", "bitmap", "excess").repartition("leaf").sortWithinPartitions("leaf", "n", "id").mapInArrow(build, NODE)
 
 
 def _node_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -270,15 +278,32 @@ def _pairs_under_hash(batches: Iterable[pa.RecordBatch], num: int, den: int, mos
 
 
 def _hot_pairs(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Leaf pairs under each frequent hash, by dual traversal of the hash's tree; rows sorted by token and lo."""
+    """Leaf pairs under each frequent hash, by dual traversal of a tree; rows sorted by pair and lo.
+
+    A pair is a hash with one part of its leaves, or with two parts: then only pairs across them count.
+    """
     for run in _runs(batches, 0, 1 << 40):
-        lo, hi, node = (run.column(c).to_numpy() for c in ("lo", "hi", "node"))
+        lo, hi, node, part = (run.column(c).to_numpy() for c in ("lo", "hi", "node", "part"))
         excess = np.array([e[0] for e in run.column("excess").to_pylist()])
+        across = part.min() != part.max()
         for i, j in dual_traversal(lo, hi, excess, _shortest(run.column("bitmap").to_pylist()), num, den):
+            if across:
+                other = part[i] != part[j]
+                i, j = i[other], j[other]
             a, b = node[i], node[j]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _hot_roots(tokens: DataFrame) -> DataFrame:
+    """Rows (token, lo, hi, excess, node, bitmap) dealt to tasks: a hash with at most ROOT leaves is one; of another each
+    pair of its parts of about ROOT leaves is, so that no task holds more than two parts, however many leaves there are."""
+    count = stored(tokens.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > ROOT).select("token", F.ceil(F.col("c") / ROOT).alias("parts")), "roots")
+    dealt = tokens.join(F.broadcast(count), "token", "left")  # fewer than HOT_SHARE rows
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    return dealt.select(F.xxhash64("token", F.least("part", "with"), F.greatest("part", "with")).alias("pair"), "part", "lo", "hi", "excess", "node", "bitmap")
+
+
 def _surviving(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         c = {name: batch.column(name) for name in batch.schema.names}
@@ -340,40 +365,47 @@ def _verified(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _leaf_names(classes: DataFrame) -> DataFrame:
+    """cls and leaf of each class (cls, keys): of its names the one that most classes have; its own if no other has one of them."""
+    named = classes.select("cls", F.explode("keys").alias("key"))
+    count = stored(named.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.col("c").alias("n"), "c"), "names")
+    popular = skew_join(named, count, "key").where("c is not null").groupBy("cls").agg(F.max(F.struct("c", "key"))["key"].alias("leaf"))
+    return classes.select("cls").join(popular, "cls", "left").withColumn("leaf", F.coalesce("leaf", F.xxhash64("cls")))
+
+
 def links_between(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Sets (id, n, digest, rep) of docs (id, text), and links (a, b) between representatives that connect all similar ones."""
+    """Sets (id, n, cls) of docs (id, text), and links (a, b) between classes that connect all similar ones."""
     hot = _hot(docs, n, num, den)
     sets = stored(_sets(docs, n, num, den, hot), "sets")
-    classes = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    # The leaf of each representative: the name that most sets have; a name of its own if no other set has one of them.
-    named = sets.where("n > 0").select("id", "digest", F.explode("keys").alias("key"))
-    count = named.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    popular = named.join(count, "key").groupBy("id", "digest").agg(F.max(F.struct("c", "key"))["key"].alias("leaf"))
-    chosen = classes.select(F.col("rep").alias("id"), "digest").join(popular, ["id", "digest"], "left").withColumn("leaf", F.coalesce("leaf", F.xxhash64("id")))
-    own = sets.where("n > 0").join(chosen, ["id", "digest"]).dropDuplicates(["id", "digest"])
-    nodes = stored(_nodes(own), "nodes")
-    # At most HOT_HASHES numbers, as one literal.
+    # One row stands for each class: its smallest id is found by partial aggregates, so copies do not meet in one task.
+    first = sets.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"))
+    own = stored(sets.where("n > 0").select("id", "cls", "keys").join(first, ["id", "cls"]).dropDuplicates(["cls"]), "classes")
+    chosen = own.select("id", "cls").join(_leaf_names(own), "cls")
+    nodes = stored(_nodes(sets.where("n > 0").join(chosen, ["id", "cls"]).dropDuplicates(["id", "cls"])), "nodes")
+    # Fewer than HOT_SHARE numbers, as one literal.
     late = F.split(F.lit(",".join(map(str, hot.view(np.int64).tolist()))), ",").cast("array<bigint>") if len(hot) else F.array().cast("array<bigint>")
-    hot_tokens = stored(nodes.select("node", "lo", "hi", "excess", "bitmap", F.array_intersect("tokens", late).alias("tokens")).where(F.size("tokens") > 0), "hot")
+    hot_tokens = stored(nodes.select("node", "lo", "hi", "excess", "bitmap", F.explode(F.array_intersect("tokens", late)).alias("token")), "hot")
     plain = nodes.select(F.explode(F.array_except("tokens", late)).alias("token"), "lo", "hi", "node").repartition("token").sortWithinPartitions("token", "lo", "node")
     few = plain.mapInArrow(lambda it: _pairs_under_hash(it, num, den), "a bigint, b bigint").distinct()
-    # Trees of frequent hashes are few and each is one task's: its rows are leaves, not documents.
-    many = hot_tokens.select(F.explode("tokens").alias("token"), "lo", "hi", "excess", "node", "bitmap").repartition("token").sortWithinPartitions("token", "lo", "node")
+    many = _hot_roots(hot_tokens).repartition("pair").sortWithinPartitions("pair", "lo", "node")
     many = many.mapInArrow(lambda it: _hot_pairs(it, num, den), "a bigint, b bigint")
     side = lambda s: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("lo", "hi", "excess", "bitmap")])
     met = few.unionAll(many).where("a <> b").distinct()
     pruned = met.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _surviving(it, num, den), "a bigint, b bigint")
-    alone = nodes.where(F.size("docs") > 1).select(F.col("node").alias("a"), F.col("node").alias("b"))
     pairs = stored(pruned, "pairs")
     alone = nodes.where(F.size("docs") > 1).select(F.col("node").alias("a"), F.col("node").alias("b"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(alone.select("a")).distinct()
-    ids = stored(nodes.join(ends, "node", "left_semi").select(F.explode("docs").alias("id")).distinct(), "ids")
+    wanted = nodes.join(ends, "node", "left_semi").select(F.explode("docs").alias("cls"))
+    ids = stored(own.select("cls", "id").join(wanted, "cls", "left_semi").select("id").distinct(), "ids")
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n)], pa.binary())], names=["id", "set"])
+            got = list(shingle_sets(batch.column(0), n))
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["id", "set"])
 
-    met = stored(docs.join(broadcast_if_few(ids), "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(whole, "id bigint, set binary"), "met")
+    # An id may have several texts, of which each is tried; rows of one class are one.
+    texts = docs.join(broadcast_if_few(ids), "id", "left_semi").select("text")
+    met = stored(texts.mapInArrow(whole, "id bigint, set binary").dropDuplicates(["id"]), "met")
 
     size = stored(nodes.join(ends, "node", "left_semi").select("node", F.size("docs").alias("size"), "docs"), "members")
 
@@ -397,7 +429,7 @@ def links_between(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFram
     left = pairs.join(side("a"), "a").join(side("b"), "b").where("least(low_a, low_b) <> greatest(high_a, high_b)").select("a", "b")
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.unionAll(verify(left.join(done, ["a", "b"], "left_anti")))
-    return sets.join(classes, "digest", "left").select("id", "n", "digest", "rep"), links
+    return sets.select("id", "n", "cls"), links
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -406,13 +438,20 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     Words are [^\\x20\\x09-\\x0D]+ of the text, A-Z lower-cased; a set has the distinct n-grams, a shorter text with words
     is one. Two documents link when den * intersection >= num * union; component_id is the smallest id that links reach.
     Null, empty and blank texts have size 0 and link with nothing; rows with a null id keep a null component and link
-    nothing; rows that repeat an id are kept each, their ids' links together. N-grams count as equal if their 64-bit
-    hashes are. Extra columns are not read.
+    nothing; rows that repeat an id are kept each, and each has the links of its own text. N-grams count as equal if their
+    64-bit hashes are, and sets if 64 bits of their digests are. Extra columns are not read; an empty table stays empty.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets, links = links_between(docs.where("id is not null"), n, num, den)
-    found = components(links).withColumnRenamed("node", "rep")
-    out = sets.join(found, "rep", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "rep", F.coalesce("component", "rep", "id").alias("component_id"))
+    classes = sets.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    # Classes of more than one row, and linked ones; all other rows are alone. The smallest id of a component is that of its classes.
+    near = components(links).select(F.col("node").alias("cls"), F.col("component").alias("_of"))
+    known = classes.join(near, "cls", "left").where("n > 1 or _of is not null")
+    known = stored(known.withColumn("_of", F.coalesce("_of", "cls")), "known")
+    least = stored(known.groupBy("_of").agg(F.min("rep").alias("component"), F.count("*").alias("n")), "least")
+    whole = stored(skew_join(known.withColumnRenamed("n", "rows"), least, "_of").select("cls", "rep", "component", F.col("rows").alias("n")), "whole")
+    out = skew_join(sets.withColumnRenamed("n", "size"), whole, "cls")
+    out = out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("rep", "id").alias("rep"), F.coalesce("component", "id").alias("component_id"))
     nameless = _sets(docs.where("id is null"), n, num, den, np.zeros(0, np.uint64))
     return out.unionAll(nameless.select("id", "n", "id", "id"))
 
