@@ -6,8 +6,10 @@ blank before it) in pieces; no piece crosses a word's beginning, so that is the
 Weights start from the vocabulary's scores and are fitted to the training words, each as often as it occurs, by
 expectation steps over the same lattice. The end is one more piece, with its count of one for each training document.
 
-Words and counts are gathered by hash bucket. A bucket gets, from each block of documents, its distinct words and how
-often each document has them, merges them, and sends back one sum for each document and bucket.
+Documents are taken in blocks of bounded size. A block keeps how often each of its documents has each of its distinct
+words, and gives each distinct word once, as a row: these rows are counted by word, and get the count and the likelihood
+back. So the rows grow with the text and not with the blocks' number, the lattice sees each distinct word of the corpus
+once, and a word that nearly all blocks have is counted by partial sums and comes back by broadcast.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import small_batches, stored
+from tessera.llm.shared import skew_join, small_batches, stored
 from tessera.llm.words import SPACE, mix, word_chunks
 
 #: The vocabulary of the production query.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of text that go to one bucket, and that one block of documents holds.
-BUCKET_BYTES, BLOCK_BYTES = 20 << 20, 4 << 20
+#: Bytes of text that one block of documents holds, and of the whole text for each task that works on the distinct words.
+BLOCK_BYTES, TASK_BYTES = 4 << 20, 64 << 20
 #: Longest piece, in bytes.
 LONGEST = 24
 #: Words above this many bytes are worked on one at a time.
@@ -219,19 +221,17 @@ def fold(id_col: str = "doc_id", folds: int = 5) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-BLOCK = "bucket int, unit string, hash binary, text binary, ends binary, train binary, runs binary, doc binary, times binary, ids binary, named binary, words binary, held binary"
-BUCKET = "bucket int, text binary, ends binary, c binary, units array<string>, which array<binary>, runs array<binary>, doc array<binary>, times array<binary>, ids array<binary>, named array<binary>, words array<binary>, held array<binary>, n bigint, v bigint"
-SUMS = "unit string, doc binary, base binary, model binary, known binary, ids binary, named binary, words binary, held binary"
+BLOCK = "block bigint, ids binary, named binary, held binary, words binary, text binary, ends binary, train binary, runs binary, doc binary, times binary"
 
 
-def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Distinct words of each block of documents, dealt by hash to buckets; docs: id, held, text."""
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Documents (id, held, text) in blocks: the documents' ids and numbers of words; the distinct words' text, ends and
+    training counts; and for each word in turn the documents that have it and how often."""
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), 0
-        limits = np.array([((k << 64) // buckets) for k in range(1, buckets)], np.uint64)
+        made = TaskContext.get().partitionId() << 32
         for batch in batches:
             named = np.asarray(batch.column(0).is_valid())
             ids = batch.column(0).fill_null(0).to_numpy()
@@ -248,24 +248,12 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 doc = doc[pair]
                 runs = np.diff(np.r_[np.searchsorted(pair, first), len(pair)])
                 train = np.add.reduceat(np.where(held[w.lo : w.hi][doc], 0, times), np.cumsum(np.r_[0, runs[:-1]])) if len(first) else first
-                start, end = w.start[order[first]], w.end[order[first]]
-                cut = np.r_[0, np.searchsorted(h[first], limits), len(first)]
-                pairs = np.r_[0, np.cumsum(runs)]
-                unit = f"{part}-{made}"
+                start = w.start[order[first]]
+                size = w.end[order[first]] - start
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+                columns = [ids[w.lo : w.hi].astype(np.int64), named[w.lo : w.hi], held[w.lo : w.hi], n.astype(np.int64), w.data[at], np.cumsum(size).astype(np.uint32), train.astype(np.uint32), runs.astype(np.uint32), doc, times.astype(np.uint32)]
+                yield pa.RecordBatch.from_arrays([pa.array([made]), *[pa.array([c.tobytes()], pa.binary()) for c in columns]], names=[f.split()[0] for f in BLOCK.split(", ")])
                 made += 1
-                rows: list[list] = [[] for _ in range(13)]
-                for b in range(buckets):
-                    lo, hi = cut[b], cut[b + 1]
-                    s, e = start[lo:hi], end[lo:hi]
-                    size = e - s
-                    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(s, size)
-                    p, q = pairs[lo], pairs[hi]
-                    own = [b, unit, h[first[lo:hi]].tobytes(), w.data[at].tobytes(), np.cumsum(size).astype(np.uint32).tobytes(), train[lo:hi].astype(np.uint32).tobytes(), runs[lo:hi].astype(np.uint32).tobytes(), doc[p:q].tobytes(), times[p:q].astype(np.uint32).tobytes()]
-                    own += [ids[w.lo : w.hi].astype(np.int64).tobytes(), named[w.lo : w.hi].tobytes(), n.astype(np.int64).tobytes(), held[w.lo : w.hi].tobytes()] if b == 0 else [None] * 4
-                    for column, value in zip(rows, own, strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1])] + [pa.array(r, pa.binary()) for r in rows[2:]], names=[f.split()[0] for f in BLOCK.split(", ")])
-                rows.clear()
                 release()
 
     return docs.select("id", "held", "text").mapInArrow(build, BLOCK)
@@ -276,30 +264,28 @@ def _view(value: pa.Scalar, kind: type) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), kind)
 
 
-def _merge(group: pa.Table) -> pa.Table:
-    """One bucket: its distinct words with their training counts, and the blocks' words by number."""
-    release()
-    group = group.combine_chunks()
-    col = lambda name, kind: [_view(x, kind) for x in group.column(name)]
-    hashes, ends, train = col("hash", np.uint64), col("ends", np.uint32), col("train", np.uint32)
-    distinct, first, number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    c = np.bincount(number, np.concatenate(train), len(distinct)).astype(np.int64)
-    sizes = np.concatenate([np.diff(np.r_[np.uint32(0), e].astype(np.int64)) for e in ends])
-    offset = np.cumsum(np.r_[0, sizes])
-    text = np.concatenate(col("text", np.uint8))
-    size = sizes[first]
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(offset[first], size)
-    cuts = np.cumsum([len(h) for h in hashes])[:-1]
-    info = group.filter(group.column("ids").is_valid()).select(["unit", "ids", "named", "words", "held"]).to_pydict()
-    known = {u: k for k, u in enumerate(info["unit"])}
-    units = group.column("unit").to_pylist()
-    row = {
-        "bucket": group.column("bucket")[0].as_py(), "text": text[at].tobytes(), "ends": np.cumsum(size).tobytes(), "c": c.tobytes(),
-        "units": units, "which": [x.astype(np.uint32).tobytes() for x in np.split(number, cuts)],
-    } | {k: [info[k][known[u]] if u in known else None for u in units] for k in ("ids", "named", "words", "held")} | {"n": int(c.sum()), "v": int((c > 0).sum())}
-    whole = lambda k: pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), group.column(k).chunk(0))
-    kinds = {"int": pa.int32(), "binary": pa.binary(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
-    return pa.table({name: whole(name) if name in ("runs", "doc", "times") else pa.array([row[name]], kinds[kind]) for name, kind in (f.split() for f in BUCKET.split(", "))})
+def _spelled(blocks: DataFrame) -> DataFrame:
+    """A row for each distinct word of each block: block, number in the block, word, train."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, text, ends, train in zip(*batch.columns, strict=True):
+                ends = np.r_[np.uint32(0), _view(ends, np.uint32)]
+                n = len(ends) - 1
+                # Offsets of 32 bits reach as far as one row of text can.
+                word = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), text.as_buffer()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block.as_py())), pa.array(np.arange(n, dtype=np.int32)), word, pa.array(_view(train, np.uint32).astype(np.int64))], names=["block", "number", "word", "train"])
+            release()
+
+    return blocks.select("block", "text", "ends", "train").mapInArrow(run, "block bigint, number int, word binary, train bigint")
+
+
+def _ended(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column end to end, and where each value ends."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at[1:] - at[0]
 
 
 def end_probability(ends: int, drawn: float) -> float:
@@ -307,24 +293,20 @@ def end_probability(ends: int, drawn: float) -> float:
     return (ends + 0.5) / (ends + drawn + 1)
 
 
-def _fitted(buckets: DataFrame, pieces: list[bytes], log_weight: np.ndarray) -> tuple[np.ndarray, float]:
+def _fitted(words: DataFrame, pieces: list[bytes], log_weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Log weights after one expectation step over the training words, and how many pieces it expects in them."""
 
     def expect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, log_weight)
         for batch in batches:
-            total = np.zeros(len(pieces))
-            for text, ends, c in zip(*(batch.column(k) for k in range(3)), strict=True):
-                text, ends, c = (_view(x, k) for x, k in ((text, np.uint8), (ends, np.int64), (c, np.int64)))
-                size = np.diff(np.r_[0, ends])
-                known = c > 0
-                total += lattice.expected(text[np.repeat(known, size)], np.cumsum(size[known]), c[known])
+            text, ends = _ended(batch.column(0))
+            total = lattice.expected(text, ends, batch.column(1).to_numpy())
             got = np.flatnonzero(total)
             release()
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int32()), pa.array(total[got])], names=["piece", "n"])
 
     # Summed in a decimal: the same whatever the order, so that reruns agree.
-    rows = buckets.select("text", "ends", "c").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum(F.col("n").cast("decimal(30,6)")).cast("double").alias("n")).collect()
+    rows = words.where("c > 0").select("word", "c").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum(F.col("n").cast("decimal(30,6)")).cast("double").alias("n")).collect()
     count = np.full(len(pieces), 0.01)
     for r in rows:
         count[r.piece] += r.n
@@ -337,60 +319,49 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, steps: int = 2, folds:
     Learns from rows whose fold is not held_out. Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; the end is a token.
     base_score sums log10((c + 0.5) / (N + 0.5 (V + 1))) with V over all distinct training tokens, the end among them;
     score is log10 P(end) plus the sum of log10 L(word), of the lattice alone. Null and empty texts are one end. Rows that
-    repeat an id or have none are kept each; extra columns are not read. Without training rows, N is 0 and the end has
-    probability one half. Words count as equal if their 64-bit hashes are.
+    repeat an id or have none are kept each; extra columns are not read; an empty table stays empty. Without training
+    rows, N is 0 and the end has probability one half. Words are compared as they are; within a block, by 64-bit hashes.
+    The result is a stored table.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), (fold(id_col, folds) == held_out).alias("held"), F.col(text_col).cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held")).alias("ends")).first()
-    n_buckets = max(6, -(-(size.bytes or 0) // BUCKET_BYTES))
-    merged = _blocks(docs, n_buckets).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_merge, BUCKET)
-    with small_batches(docs.sparkSession):
-        merged = stored(merged, "words")
-    total = merged.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v")]).first()
-    n, v, ends = total.n + size.ends, total.v, size.ends
-    pieces, log_weight = load_pieces(vocabulary)
-    drawn = float(total.n)
-    for _ in range(steps if v else 0):
-        with small_batches(docs.sparkSession):
-            log_weight, drawn = _fitted(merged, pieces, log_weight)
-    end = end_probability(ends, drawn)
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, log_weight + math.log(1 - end)))
-
-    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(*shared.value)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = {k: batch.column(k)[row] for k in batch.schema.names}
-                text, ends_, c = (_view(one[k], t) for k, t in (("text", np.uint8), ("ends", np.int64), ("c", np.int64)))
-                model = lattice.log_likelihood(text, ends_) / math.log(10)
-                base = np.log10(c + 0.5)
+    with small_batches(spark):
+        blocks = stored(_blocks(docs), "blocks")
+        size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held")).alias("ends")).first()
+        tasks = max(4 * spark.sparkContext.defaultParallelism, (size.bytes or 0) // TASK_BYTES)
+        counted = _spelled(blocks).groupBy("word").agg(F.sum("train").alias("c"), F.count("*").alias("n"))
+        words = stored(counted.repartition(tasks, "word"), "words")
+        total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+        n, v, ends = total.n + size.ends, total.v, size.ends
+        pieces, log_weight = load_pieces(vocabulary)
+        drawn = float(total.n)
+        for _ in range(steps if v else 0):
+            log_weight, drawn = _fitted(words, pieces, log_weight)
+        end = end_probability(ends, drawn)
+        shared = spark.sparkContext.broadcast((pieces, log_weight + math.log(1 - end)))
+
+        def likelihood(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lattice = Lattice(*shared.value)
+            for batch in batches:
+                model = lattice.log_likelihood(*_ended(batch.column(0))) / math.log(10)
                 release()
-                columns = ("units", "which", "runs", "doc", "times", "ids", "named", "words", "held")
-                for unit, which, runs, doc, times, ids, named, words, held in zip(*(one[k].values for k in columns), strict=True):
-                    which, runs, doc, times = (_view(x, np.uint32) for x in (which, runs, doc, times))
-                    number = np.repeat(which, runs)
-                    docs_, at = np.unique(doc, return_inverse=True)
-                    parts = [np.bincount(at, times * x[number], len(docs_)) for x in (base, model)]
-                    parts.append(np.bincount(at, times * (c > 0)[number], len(docs_)).astype(np.uint32))
-                    yield pa.RecordBatch.from_arrays([pa.array([unit.as_py()]), pa.array([docs_.astype(np.uint32).tobytes()], pa.binary())] + [pa.array([x.tobytes()], pa.binary()) for x in parts] + [pa.array([x.as_py()], pa.binary()) for x in (ids, named, words, held)], names=[f.split()[0] for f in SUMS.split(", ")])
-
-    end_base = math.log10(ends + 0.5)
-    scale = math.log10(n + 0.5 * (v + (ends > 0) + 1))
-    end_model = math.log10(end)
-
-    def finish(group: pa.Table) -> pa.Table:
-        info = group.filter(group.column("ids").is_valid())
-        ids, named, words, held = (np.frombuffer(info.column(k)[0].as_py(), t) for k, t in (("ids", np.int64), ("named", bool), ("words", np.int64), ("held", bool)))
-        base, model, known = (np.zeros(len(ids)) for _ in range(3))
-        # In the buckets' own order, so that reruns add up alike.
-        for row in sorted(group.select(["doc", "base", "model", "known"]).to_pylist(), key=lambda r: (r["doc"], r["base"])):
-            at = np.frombuffer(row["doc"], np.uint32)
-            for out, k in ((base, "base"), (model, "model"), (known, "known")):
-                out[at] += np.frombuffer(row[k], np.uint32 if k == "known" else np.float64)
-        return pa.table({"doc_id": pa.array(ids, mask=~named), "held_out": held, "n_tokens": words + 1, "n_known": known.round().astype(np.int64) + int(ends > 0), "train_tokens": np.full(len(ids), n, np.int64), "base_score": base + end_base - (words + 1) * scale, "score": model + end_model})
-
-    by_unit = merged.select("text", "ends", "c", "units", "which", "runs", "doc", "times", "ids", "named", "words", "held").mapInArrow(sums, SUMS)
-    return by_unit.groupBy("unit").applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model)], names=["word", "c", "n", "model"])
+
+        scored = stored(words.select("word", "c", "n").mapInArrow(likelihood, "word binary, c bigint, n bigint, model double"), "scored")
+        found = skew_join(_spelled(blocks).select("block", "number", "word"), scored, "word").select("block", "number", "c", "model")
+        end_base, end_model, scale = math.log10(ends + 0.5), math.log10(end), math.log10(n + 0.5 * (v + (ends > 0) + 1))
+
+        def finish(own: pa.Table, block: pa.Table) -> pa.Table:
+            order = np.argsort(own.column("number").to_numpy())
+            c, model = own.column("c").to_numpy()[order], own.column("model").to_numpy()[order]
+            ids, named, held, words_, runs, doc, times = (_view(block.column(k)[0], t) for k, t in (("ids", np.int64), ("named", bool), ("held", bool), ("words", np.int64), ("runs", np.uint32), ("doc", np.uint32), ("times", np.uint32)))
+            number = np.repeat(np.arange(len(c)), runs)
+            base, model, known = (np.bincount(doc, times * x[number], len(ids)) for x in (np.log10(c + 0.5), model, c > 0))
+            return pa.table({"doc_id": pa.array(ids, mask=~named), "held_out": pa.array(held), "n_tokens": words_ + 1, "n_known": known.round().astype(np.int64) + int(ends > 0), "train_tokens": np.full(len(ids), n, np.int64), "base_score": base + end_base - (words_ + 1) * scale, "score": model + end_model})
+
+        pairs = blocks.select("block", "ids", "named", "held", "words", "runs", "doc", "times")
+        out = found.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        return stored(out, "scores")
 
 
 def reference_log_likelihood(word: bytes, pieces: list[bytes], log_weight: np.ndarray) -> float:
