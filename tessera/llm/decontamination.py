@@ -2,12 +2,15 @@
 
 The index is cut by document into shards: each row of the index table is one shard with, for each term, the ascending
 token positions of the term in that shard. Shards need no shuffle, cannot be skewed by a frequent term, and are written
-to the shared folder, so a lost task rereads its shard alone. A search brings blocks of test windows of bounded size to
-every shard and intersects the offset-adjusted position lists, rarest term first.
+to the shared folder once, so a lost task rereads its shard alone. The test windows are a table too; a search takes them
+in blocks of bounded size to every shard and intersects the offset-adjusted position lists, rarest term first.
+
+Terms are compared by 64-bit hashes: a wrong match would need ten terms in a row whose hashes collide with the tests'.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
@@ -19,11 +22,14 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import stored
 from tessera.llm.words import NON_WORD, plain_words, word_chunks
 
-#: Windows that one search block may hold; a block is what every task receives.
+#: Windows that one search block holds about; a block is what every task receives.
 BLOCK_WINDOWS = 100_000
+#: With more distinct test terms than this the index keeps the postings of all terms, and no list of terms travels.
+MOST_TERMS = 1 << 20
 
-INDEX = "shard string, doc_ids array<bigint>, n_words array<bigint>, terms array<bigint>, lengths array<int>, positions array<int>"
-SPANS = "shard string, ordinal int, doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint,item_id:bigint,kind:string>>"
+INDEX = "shard string, doc_ids array<{key}>, n_words array<bigint>, terms array<bigint>, lengths array<int>, positions array<int>"
+SPANS = "shard string, ordinal int, doc_id {key}, n_words bigint, spans array<struct<start:bigint,end:bigint,item_id:bigint,kind:string>>"
+WINDOWS = "window array<bigint>, item_id bigint"
 
 
 def term_hashes(text: str | None) -> np.ndarray:
@@ -35,8 +41,9 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, gap: int = 64,
 
     terms: the hashes whose postings are kept (those that the tests ask for), ascending; None keeps all. gap: free
     positions between documents, so that no window reaches over a boundary. Null and empty texts have no words; repeated
-    rows are documents of their own; other columns are not read.
+    rows are documents of their own; other columns are not read. Ids keep their type: numbers or text.
     """
+    key = dict(docs.dtypes)[id_col]
 
     def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -63,7 +70,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, gap: int = 64,
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([f"{TaskContext.get().partitionId()}-{made}"]),
-                        pa.array([ids.slice(w.lo, w.hi - w.lo).to_pylist()], pa.list_(pa.int64())),
+                        pa.array([ids.slice(w.lo, w.hi - w.lo).to_pylist()], pa.list_(ids.type)),
                         pa.array([counts], pa.list_(pa.int64())),
                         pa.array([hashes[first].view(np.int64)], pa.list_(pa.int64())),
                         pa.array([lengths.astype(np.int32)], pa.list_(pa.int32())),
@@ -73,7 +80,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, gap: int = 64,
                 )
                 made += 1
 
-    return stored(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(shards, INDEX), "postings")
+    return stored(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(shards, INDEX.format(key=key)), "postings")
 
 
 def item_windows(text: str | None, width: int) -> list[tuple[int, ...]]:
@@ -82,16 +89,36 @@ def item_windows(text: str | None, width: int) -> list[tuple[int, ...]]:
     return [tuple(h[i : i + width]) for i in range(max(1, len(h) - width + 1))] if h else []
 
 
-def window_blocks(items: DataFrame, width: int, most: int, id_col: str, text_col: str) -> Iterator[dict[tuple[int, ...], set]]:
-    """Windows of all items in blocks of bounded size: window -> the items that have it."""
-    block: dict[tuple[int, ...], set] = {}
-    for row in items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
-        for window in item_windows(row.t, width):
-            block.setdefault(window, set()).add(row.i)
-        if len(block) >= most:
-            yield block
-            block = {}
-    yield block
+def window_table(items: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Distinct windows of all items with the items (ascending, null first) that have each: window, items; stored."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = list(dict.fromkeys(item_windows(text, width)))
+                signed = [np.array(w, np.uint64).view(np.int64) for w in own]
+                yield pa.RecordBatch.from_arrays([pa.array(signed, pa.list_(pa.int64())), pa.array([item] * len(own), pa.int64())], names=["window", "item_id"])
+
+    rows = items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, WINDOWS)
+    # A null item is kept by its place in a struct.
+    grouped = rows.groupBy("window").agg(F.transform(F.array_sort(F.collect_set(F.struct("item_id"))), lambda x: x.item_id).alias("items"))
+    return stored(grouped, "windows")
+
+
+def window_blocks(windows: DataFrame, most: int) -> Iterator[dict[tuple[int, ...], list]]:
+    """The windows in blocks of about most, one at a time: window -> the items that have it."""
+    blocks = max(1, -(-windows.count() // most))
+    part = F.pmod(F.xxhash64("window"), F.lit(blocks))
+    for k in range(blocks):
+        own = windows.where(part == k).toArrow()
+        yield {tuple(np.array(w, np.int64).view(np.uint64).tolist()): i for w, i in zip(own.column("window").to_pylist(), own.column("items").to_pylist(), strict=True)}
+
+
+def window_terms(windows: DataFrame, most: int = MOST_TERMS) -> np.ndarray | None:
+    """The distinct terms of the windows, ascending; None if there are more than most."""
+    terms = windows.select(F.explode("window").alias("t")).distinct()
+    found = terms.limit(most + 1).toArrow().column("t").to_numpy().view(np.uint64)
+    return np.sort(found) if len(found) <= most else None
 
 
 def _exact(lists: list[np.ndarray], order: Iterable[int]) -> np.ndarray:
@@ -109,42 +136,40 @@ def _exact(lists: list[np.ndarray], order: Iterable[int]) -> np.ndarray:
     return found
 
 
-def _near(words: dict[int, tuple[int, np.ndarray]], width: int) -> list[tuple[int, int]]:
-    """Smallest spans of at most width words that hold each word as often as asked: (first, past the last)."""
-    rare = min(words, key=lambda k: len(words[k][1]))
-    near = words[rare][1]
-    for need, at in words.values():
+def _near(words: list[tuple[int, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of at most width words begin and end that hold each word as often as asked and begin with one of them.
+
+    words: how often, and the ascending positions, of each word. Of the runs from one place the shortest counts.
+    """
+    # Rarest first: most windows have no place at which the first two or three words are near each other.
+    ordered = sorted(words, key=lambda x: len(x[1]))
+    near = ordered[0][1]
+    for need, at in ordered:
         near = near[np.searchsorted(at, near + width) - np.searchsorted(at, near - width, side="right") >= need]
-    spans = set()
-    for p in near.tolist():
-        around = sorted((q, k) for k, (_, at) in words.items() for q in at[np.searchsorted(at, p - width + 1) : np.searchsorted(at, p + width)].tolist())
-        for i, (first, _) in enumerate(around):
-            left = {k: need for k, (need, _) in words.items()}
-            for q, k in around[i:]:
-                if q - first >= width:
-                    break
-                left[k] -= 1
-                if all(x <= 0 for x in left.values()):
-                    spans.add((first, q + 1))
-                    break
-    kept = []
-    for span in sorted(spans, key=lambda s: (s[1] - s[0], s)):
-        if not any(a >= span[0] and b <= span[1] for a, b in kept):
-            kept.append(span)
-    return kept
-
-
-def search(index: DataFrame, windows: dict[tuple[int, ...], set], slop: int | None = None, gap: int = 64) -> DataFrame:
-    """A row for each indexed document, with the spans of the windows that it holds.
-
-    kind is 'exact' for a phrase (end is one past its last word), 'near' for the smallest spans in which all words of a
-    window occur, in any order, within len(window) + slop words; slop None asks for phrases alone.
+        if not len(near):
+            return near, near
+    every = np.sort(np.concatenate([at for _, at in ordered]))
+    lo, hi = np.searchsorted(every, near - width, side="right"), np.searchsorted(every, near, side="right")
+    start = np.unique(np.concatenate([every[a:b] for a, b in zip(lo, hi, strict=True)]))
+    end = np.zeros(len(start), np.int64)
+    for need, at in ordered:
+        k = np.searchsorted(at, start) + need - 1
+        end = np.maximum(end, np.where(k < len(at), at[np.minimum(k, len(at) - 1)].astype(np.int64) + 1, np.iinfo(np.int64).max))
+    keep = end <= start + width
+    return start[keep], end[keep]
+
+
+def search(index: DataFrame, windows: dict[tuple[int, ...], list], slop: int | None = None, gap: int = 64, every: bool = True) -> DataFrame:
+    """A row for each indexed document (with every unset: each that holds a window), with the spans of the windows that it holds.
+
+    kind is 'exact' for a phrase (end is one past its last word), 'near' for other runs of at most len(window) + slop words
+    that begin with a word of the window and hold all of them, in any order; slop None asks for phrases alone.
     """
     vocabulary = np.array(sorted({h for w in windows for h in w}), np.uint64)
     groups = []
     for n, own in groupby(sorted(windows, key=len), len):
         own = list(own)
-        groups.append((n, np.searchsorted(vocabulary, np.array(own, np.uint64)), [sorted(windows[w], key=lambda i: (i is None, i)) for w in own]))
+        groups.append((n, np.searchsorted(vocabulary, np.array(own, np.uint64)), [windows[w] for w in own]))
     longest = max((n for n, *_ in groups), default=0)
     if longest + (slop or 0) > gap:
         raise ValueError(f"windows of {longest} words and slop {slop} need an index with a larger gap than {gap}")
@@ -176,17 +201,21 @@ def search(index: DataFrame, windows: dict[tuple[int, ...], set], slop: int | No
                         starts = _exact([posting(v) for v in members[k]], np.argsort(df[k], kind="stable"))
                         got = [(int(s), int(s) + n, "exact") for s in starts]
                         if slop is not None:
-                            need = {int(v): int(m) for v, m in zip(*np.unique(members[k], return_counts=True), strict=True)}
-                            got += [(a, b, "near") for a, b in _near({v: (m, posting(v)) for v, m in need.items()}, n + slop) if not any(x[0] == a and x[1] == b for x in got)]
+                            near = _near([(int(m), posting(v)) for v, m in zip(*np.unique(members[k], return_counts=True), strict=True)], n + slop)
+                            phrases = {s for s, *_ in got}
+                            got += [(a, b, "near") for a, b in zip(near[0].tolist(), near[1].tolist(), strict=True) if a not in phrases]
                         for a, b, kind in got:
                             d = int(np.searchsorted(base, a, side="right")) - 1
                             spans[d] += [{"start": a - int(base[d]), "end": b - int(base[d]), "item_id": i, "kind": kind} for i in items[k]]
+                some = np.arange(len(n_words)) if every else np.flatnonzero([bool(x) for x in spans])
+                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string())]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(n_words)), pa.array(np.arange(len(n_words), dtype=np.int32)), ids.cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string())])))],
+                    [pa.array([shard] * len(some), pa.string()), pa.array(some.astype(np.int32)), ids.take(pa.array(some)), pa.array(n_words[some], pa.int64()), pa.array([spans[k] for k in some], kind)],
                     names=["shard", "ordinal", "doc_id", "n_words", "spans"],
                 )
 
-    return index.mapInArrow(found, SPANS)
+    key = dict(index.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
+    return index.mapInArrow(found, SPANS.format(key=key))
 
 
 def covered(spans: F.Column) -> F.Column:
@@ -197,18 +226,19 @@ def covered(spans: F.Column) -> F.Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, slop: int | None = None, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", block: int = BLOCK_WINDOWS) -> DataFrame:
-    """For each row of docs: doc_id, n_words, n_hit (words inside any phrase match), items (ascending ids), spans.
-
-    Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased. An item without words has no
-    window. Items without an id count as item null, which appears in spans but not in items. Empty inputs give no rows,
-    or rows without hits. Items are taken in blocks of at most block windows and one item's more; beyond one block, the
-    documents' spans are brought together by shard and ordinal.
+    """For each row of docs: doc_id, n_words, n_hit (words inside any phrase match), items (ascending ids), n_near, spans.
+
+    Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased. Null and empty texts have none; an item
+    without words has no window. With slop, n_near counts the words at which a phrase begins, or a run of at most slop words
+    more than a window has that holds all of its words in any order; the latter are no hits. Items without an id count as item null, which appears in spans
+    but not in items. Empty inputs give no rows, or rows without hits; rows that repeat an id are kept each; other columns
+    are not read. The index is built and stored once; windows are searched for in blocks of about block, and beyond one
+    block the documents' spans are brought together by shard and ordinal of the stored index.
     """
     gap = width + (slop or 0) + 1
-    parts = []
-    for windows in window_blocks(items, width, block, item_col, text_col):
-        terms = np.array(sorted({h for w in windows for h in w}), np.uint64)
-        parts.append(search(build_index(docs, terms, gap, id_col, text_col), windows, slop, gap))
+    windows = window_table(items, width, item_col, text_col)
+    index = build_index(docs, window_terms(windows), gap, id_col, text_col)
+    parts = [search(index, own, slop, gap, every=not k) for k, own in enumerate(window_blocks(windows, block))]
     out = parts[0]
     if len(parts) > 1:
         for more in parts[1:]:
@@ -216,13 +246,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, slop: int
         out = out.groupBy("shard", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
     exact = F.filter("spans", lambda s: s.kind == "exact")
     ids = F.array_sort(F.array_distinct(F.transform(F.filter(exact, lambda s: s.item_id.isNotNull()), lambda s: s.item_id)))
-    return out.select("doc_id", "n_words", covered(exact).alias("n_hit"), ids.alias("items"), "spans")
+    places = F.array_distinct(F.transform("spans", lambda s: s.start))
+    return out.select("doc_id", "n_words", covered(exact).alias("n_hit"), ids.alias("items"), F.size(places).cast("long").alias("n_near"), "spans")
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
-    """n_items, items_sha256 and contaminated, derived from what decontaminate() returns."""
+    """n_items, items_sha256, contaminated and n_near, derived from what decontaminate() returns."""
     joined = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 def reference_matches(text: str | None, items: dict[int, str | None], width: int = 10) -> tuple[int, int, list[int]]:
@@ -237,3 +268,13 @@ def reference_matches(text: str | None, items: dict[int, str | None], width: int
             own.append(i)
             hit |= at
     return len(words), len(hit), sorted(own)
+
+
+def reference_near(text: str | None, items: dict[int, str | None], width: int = 10, slop: int = 2) -> int:
+    """n_near by brute force for one text. For tests."""
+    words, found = plain_words(text, NON_WORD), set()
+    for t in items.values():
+        w = plain_words(t, NON_WORD)
+        for x in [w[k : k + width] for k in range(max(1, len(w) - width + 1))] if w else []:
+            found |= {s for s in range(len(words)) if words[s] in x and not Counter(x) - Counter(words[s : s + len(x) + slop])}
+    return len(found)

@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.digest_columns(decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontamination.digest_columns(decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=2))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,17 +70,29 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), 4, 85, 100).select("doc_id", "n_shingles", "component_id")
 
 
-OP1_SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+# A phrase is found by its words joined; a near run from the two words of its window that are rarest in the documents.
+OP1_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[k : k + 9], ' ') AS win FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 9))) AS k FROM b WHERE len(ws) > 0)),
 lens AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, n, k, array_to_string(ws[k : k + n - 1], ' ') AS win FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS k FROM w, lens WHERE len(ws) >= n)),
 hits AS (SELECT doc_id, item_id, k, dw.n FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id),
+need AS (SELECT win, n, x, count(*) AS need FROM (SELECT win, n, unnest(string_split(win, ' ')) AS x FROM (SELECT DISTINCT win, n FROM bw)) GROUP BY ALL),
+pos AS (SELECT * FROM (SELECT doc_id, generate_subscripts(ws, 1) AS p, unnest(ws) AS x FROM w) WHERE x IN (SELECT x FROM need)),
+freq AS (SELECT x, count(*) AS f FROM pos GROUP BY x),
+rare AS (SELECT win, n, list(x ORDER BY coalesce(f, 0), x) AS xs FROM need LEFT JOIN freq USING (x) GROUP BY ALL),
+around AS (SELECT DISTINCT win, n, a.doc_id, a.p FROM rare JOIN pos a ON a.x = xs[1] JOIN pos c ON c.doc_id = a.doc_id AND c.x = coalesce(xs[2], xs[1]) AND abs(c.p - a.p) < n + 2),
+cand AS (SELECT DISTINCT r.win, r.n, s.doc_id, s.p FROM around r JOIN pos s ON s.doc_id = r.doc_id AND s.p > r.p - r.n - 2 AND s.p <= r.p JOIN need ON need.win = r.win AND need.n = r.n AND need.x = s.x),
+held AS (SELECT cand.win, cand.n, cand.doc_id, cand.p, s.x, count(*) AS c FROM cand JOIN pos s ON s.doc_id = cand.doc_id AND s.p >= cand.p AND s.p < cand.p + cand.n + 2 GROUP BY ALL),
+runs AS (SELECT held.win, held.n, doc_id, p FROM held JOIN need ON need.win = held.win AND need.n = held.n AND need.x = held.x AND c >= need GROUP BY ALL HAVING count(*) = len(list_distinct(string_split(held.win, ' ')))),
+near AS (SELECT doc_id, count(DISTINCT p) AS n_near FROM runs GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 OP4_SQL = r"""
