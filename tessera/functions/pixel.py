@@ -191,6 +191,80 @@ def radial_frequency(u: Column, v: Column, side: int) -> Column:
     return F.sqrt(F.pow(u / side, F.lit(2.0)) + F.pow(v / side, F.lit(2.0))) / F.sqrt(F.lit(2.0))
 
 
+# The metric's published scale, cubic and power.
+REMAP_SCALE, REMAP_CUBIC, REMAP_POWER = 0.9562382616834844, (2.326765642916932, -0.020884521182843837, 6.248496625763138e-5), 0.6276336467831387
+
+
 def score_remap(error: Column) -> Column:
-    """100 - 10 x^0.6276 of the weighted error x, 100 where x is not positive."""
-    return F.when(error <= 0, F.lit(100.0)).otherwise(100 - 10 * F.pow(error, F.lit(0.6276)))
+    """Score of a weighted error: 100 less ten times a power of its cubic, 100 where the cubic is not positive."""
+    x = error * REMAP_SCALE
+    one, two, three = REMAP_CUBIC
+    y = three * x * x * x + one * x + two * x * x
+    return F.when(y > 0, 100 - 10 * F.pow(y, F.lit(REMAP_POWER))).otherwise(F.lit(100.0))
+
+
+def truncated(v: Column, by: int | Column) -> Column:
+    """Integer division towards zero."""
+    return F.call_function("div", v, F.lit(by) if isinstance(by, int) else by)
+
+
+# The linear part of the Rec.709 transfer and its slope.
+REC709_LINEAR, REC709_SLOPE = 0.018, 4.5
+
+
+def linear_to_rec709(v: Column) -> Column:
+    a = F.abs(v)
+    return F.signum(v) * F.when(a < REC709_LINEAR, a * REC709_SLOPE).otherwise(1.099 * F.pow(a, F.lit(0.45)) - 0.099)
+
+
+def linear_to_gamma(v: Column, gamma: float) -> Column:
+    """Sign-preserving power: |v| to the power gamma."""
+    return F.signum(v) * F.pow(F.abs(v), F.lit(float(gamma)))
+
+
+def dequantize_lf(q: Column, multiplier: Column, extra_bits: Column) -> Column:
+    return q * multiplier / F.pow(F.lit(2.0), extra_bits)
+
+
+def quant_multiplier(scale: Column) -> Column:
+    return F.pow(F.lit(0.8), scale - 2.0)
+
+
+def apply_chroma_from_luma(x: Column, y: Column, b: Column, kx: Column, kb: Column) -> tuple[Column, Column]:
+    """The two chroma values with their share of luma added back."""
+    return x + kx * y, b + kb * y
+
+
+def unassociate_alpha(v: Column, alpha: Column, most: int) -> Column:
+    """A premultiplied integer sample divided by its alpha, rounded, at most most; 0 where alpha is 0."""
+    return F.when(alpha == 0, F.lit(0).cast("bigint")).otherwise(F.least(truncated(v * most + truncated(alpha, 2), F.when(alpha != 0, alpha)), F.lit(most).cast("bigint")))
+
+
+def depth_quantize(v: Column, bits: int) -> Column:
+    """A sample in 0 .. 1 on the integers of so many bits."""
+    return quantize_sample(v, (1 << bits) - 1)
+
+
+def noise_strength(v: Column, table: list[float]) -> Column:
+    """Piecewise-linear lookup of six times a value in a table of eight, its last entry from 7 on, kept in 0 .. 1."""
+    at = F.greatest(v * 6, F.lit(0.0))
+    k = F.when(at >= 7, 6).otherwise(F.least(F.floor(at), F.lit(6))).cast("int")
+    share = F.when(at >= 7, 1.0).otherwise(at - k)
+    lit = F.lit([float(x) for x in table])
+    value = F.element_at(lit, k + 1) * (1 - share) + F.element_at(lit, k + 2) * share
+    return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
+
+
+def hsv_to_rgb(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]:
+    """Hue in turns, saturation and value in 0 .. 1."""
+    at = (h - F.floor(h)) * 6
+    sector = F.floor(at).cast("int") % 6
+    f = at - F.floor(at)
+    p, q, t = v * (1 - s), v * (1 - s * f), v * (1 - s * (1 - f))
+    pick = lambda *cs: F.element_at(F.array(*cs), sector + 1)
+    return pick(v, q, p, p, t, v), pick(t, v, v, q, p, p), pick(p, p, t, v, v, q)
+
+
+def edge_weight(distance: Column, inverse_sigma: Column) -> Column:
+    """Weight of a neighbour at a distance in value: falls in a straight line to 0."""
+    return F.greatest(F.lit(0.0), 1 - distance * inverse_sigma)

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the endings that name a copy of the same capture.
-NOISE = r"([ _.-]*(\(\d+\)|copy|edited|edit|export|small|large|web|~\d+))+$"
+# The endings that name a reproduction of the same picture.
+NOISE = r"[\s_\-]*(?:\(\d+\)|copy|\d{3,4}x\d{3,4}|small|large|hd)"
 
 
 def stem(name: Column) -> Column:
-    """Lower case, without extension and without the endings that mark copies."""
-    return F.regexp_replace(F.regexp_replace(F.lower(name), r"\.[a-z0-9]+$", ""), NOISE, "")
+    """Lower case, without the last extension, without the endings of NOISE however many there are, trimmed; if nothing is
+    left, the whole name in lower case."""
+    low = F.lower(name)
+    bare = F.regexp_replace(low, r"^(\.*[^.].*)\.[^.]*$", "$1")
+    bare = F.regexp_replace(F.regexp_replace(bare, rf"(?:{NOISE}\s*)+$", ""), r"^\s+|\s+$", "")
+    return F.coalesce(F.nullif(bare, F.lit("")), low)
 
 
 def family_key(folder: Column, name: Column) -> Column:
@@ -19,8 +23,8 @@ def family_key(folder: Column, name: Column) -> Column:
 
 
 def camera_stamp(name: Column) -> Column:
-    """Time in a name such as 20240131_235959, null if there is none or it is no time."""
-    return F.try_to_timestamp(F.nullif(F.regexp_extract(name, r"((?:19|20)\d{6}_\d{6})", 1), F.lit("")), F.lit("yyyyMMdd_HHmmss"))
+    """Time at the beginning of a name such as 20240131_235959.jpg, null if there is none or it is no time."""
+    return F.try_to_timestamp(F.nullif(F.regexp_extract(name, r"^(\d{8}_\d{6})", 1), F.lit("")), F.lit("yyyyMMdd_HHmmss"))
 
 
 def capture_date(name: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.order import prefix_sums, previous
+
 
 def unit_hash(text: Column) -> Column:
     """First eight bytes of the SHA-256 as a fraction of 2^64."""
@@ -45,11 +48,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def fold_similar(df: DataFrame, by: Sequence[str], order: Sequence[str], vector: str, threshold: float, name: str = "chain") -> DataFrame:
-    """Number of the chain of each row: a row continues it if its vector is that like the one before."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    like = cosine(F.col(vector), F.lag(vector).over(w))
-    rows = df.withColumn("_new", F.when(F.coalesce(like, F.lit(-2.0)) >= threshold, 0).otherwise(1))
-    return rows.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """Number of the chain of each row: a row continues it if its vector is that like the one before.
+
+    Predecessors and numbers are found in two levels, so a group of any size is spread over the tasks.
+    """
+    rows = previous(df, by, order, [vector]).drop("_part")
+    like = cosine(F.col(vector), F.col(f"before_{vector}"))
+    rows = rows.withColumn("_new", F.when(F.coalesce(like, F.lit(-2.0)) >= threshold, 0).otherwise(1)).drop(f"before_{vector}")
+    out = prefix_sums(rows, by, [F.col(c) for c in order], {name: F.col("_new")})
+    return out.withColumn(name, F.col(name) + F.col("_new")).drop("_new", f"{name}_all")
 
 
 def sample(df: DataFrame, group: str, family: str, key: str, cap: int, most: int) -> DataFrame:
@@ -83,6 +90,15 @@ def unknown(selected: DataFrame, known: DataFrame, on: Sequence[str]) -> DataFra
     return selected.select(*on).distinct().join(known.select(*on), list(on), "left_anti")
 
 
+def only(df: DataFrame, selected: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of df whose key is selected; a selected key that df lacks fails the query."""
+    lost = unknown(selected, df, on).select(F.raise_error(F.concat(F.lit("unknown: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in on]))).cast("string").alias("_lost"))
+    kept = df.join(selected.select(*on).distinct(), list(on), "left_semi")
+    # Each lost key raises when it is counted; without one the count is 0 and all rows stay.
+    n = lost.agg(F.count("_lost").alias("_n"))
+    return kept.crossJoin(F.broadcast(n)).where("_n >= 0").drop("_n")
+
+
 def referenced(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Sorted distinct values of each group."""
     return df.groupBy(*by).agg(F.array_sort(F.collect_set(value)).alias("values"))
@@ -90,8 +106,6 @@ def referenced(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def geometric_grid(lo: int, hi: int, ratio: float) -> Column:
     """Integers lo .. hi in about geometric steps, rounded half to even, duplicates dropped, as an array."""
-    import math
-
     n = math.ceil(math.log(hi / lo) / math.log(ratio)) + 1 if hi > lo else 1
     return F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: F.least(F.lit(hi), F.bround(F.lit(float(lo)) * F.pow(F.lit(float(ratio)), k.cast("double"))).cast("int")))))
 
@@ -100,3 +114,21 @@ def refine_scales(below: Column, above: Column, count: int) -> Column:
     """Up to count integers strictly between two, in geometric steps."""
     at = F.transform(F.sequence(F.lit(1), F.lit(count)), lambda k: F.bround(F.exp(F.ln(below) + (F.ln(above) - F.ln(below)) * k / (count + 1))).cast("bigint"))
     return F.array_sort(F.array_distinct(F.filter(at, lambda v: (v > F.least(below, above)) & (v < F.greatest(below, above)))))
+
+
+def united(*rounds: DataFrame) -> DataFrame:
+    """Rows of all frames by column name, missing columns null, with the number of their frame as round."""
+    out = None
+    for k, df in enumerate(rounds):
+        own = df.withColumn("round", F.lit(k))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def value_lattice(base: int, coarse: bool = False, refine_only: bool = False) -> list[int]:
+    """Multipliers to try around base: every integer from half of it (base itself with refine_only) to twice it; coarse:
+    half octaves from twice it down, the first of equal ones kept."""
+    if not coarse:
+        return list(range(base if refine_only else max(1, base // 2), 2 * base + 1))
+    steps = [min(max(math.floor(base * 2.0 ** (-k / 2) + 0.5), 1), 2 * base) for k in range(-2, 1 if refine_only else 3)]
+    return list(dict.fromkeys(steps))

@@ -6,8 +6,10 @@ so the work of a curve never meets another's.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,21 +96,57 @@ def as_of(targets: DataFrame, curve: DataFrame, by: Sequence[str], target: str,
     return out.select(*targets.columns, value.alias(f"{y}_at"))
 
 
-def segment_slopes(df: DataFrame, by: Sequence[str], x: Sequence[str], y: str) -> DataFrame:
-    """Differences of ln x over differences of ln y of adjacent points, where y differs."""
-    w = Window.partitionBy(*by).orderBy(*x)
-    rows = df.withColumn("_dx", F.ln(x[0]) - F.ln(F.lag(x[0]).over(w))).withColumn("_dy", F.ln(y) - F.ln(F.lag(y).over(w))).withColumn("segment", F.row_number().over(w) - 1)
+def log_loss(score: Column, least: float = 1e-3) -> Column:
+    """Natural log of what a score lacks to 100, at least least."""
+    return F.ln(F.greatest(F.lit(100.0) - score, F.lit(least)))
+
+
+def segment_slopes(df: DataFrame, by: Sequence[str], x: str, score: str) -> DataFrame:
+    """Differences of ln x over differences of ln loss of adjacent points of the curve's running maximum, where the loss differs."""
+    w = Window.partitionBy(*by).orderBy(x)
+    rows = running_max(df, by, [x], score, "_top").withColumn("_l", log_loss(F.col("_top")))
+    rows = rows.withColumn("_dx", F.ln(x) - F.ln(F.lag(x).over(w))).withColumn("_dy", F.col("_l") - F.lag("_l").over(w)).withColumn("segment", F.row_number().over(w) - 1)
     return rows.where("_dy is not null and _dy <> 0").select(*by, "segment", (F.col("_dx") / F.col("_dy")).alias("slope"))
 
 
-def local_slope(df: DataFrame, by: Sequence[str], x: str, y: str, at: str, order: Sequence[str], k: int = 4) -> DataFrame:
-    """Least-squares slope of ln y over ln x of the k points nearest to at in ln x; null if it is not positive."""
-    w = Window.partitionBy(*by).orderBy(F.abs(F.ln(x) - F.ln(at)), *order)
+def loss_exponent(df: DataFrame, by: Sequence[str], x: str, score: str) -> DataFrame:
+    """Least-squares slope of ln loss over ln x of the curve's running maximum; null with fewer than two points."""
+    rows = running_max(df, by, [x], score, "_top")
+    return rows.groupBy(*by).agg(F.regr_slope(log_loss(F.col("_top")), F.ln(x)).alias("exponent"))
+
+
+def local_slope(df: DataFrame, by: Sequence[str], x: str, score: str, at: str, k: int = 4) -> DataFrame:
+    """How fast ln loss falls over ln x: the negative least-squares slope of the k points nearest to at in ln x, ties to the
+    smaller x; null if it is not positive or there are fewer than two places."""
+    w = Window.partitionBy(*by).orderBy(F.abs(F.ln(x) - F.ln(at)), x)
     near = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    out = near.groupBy(*by).agg(F.regr_slope(F.ln(y), F.ln(x)).alias("_s"))
+    out = near.groupBy(*by).agg((-F.regr_slope(log_loss(F.col(score)), F.ln(x))).alias("_s"))
     return out.select(*by, F.when(F.col("_s") > 0, F.col("_s")).alias("beta"))
 
 
+def crossing_scale(df: DataFrame, by: Sequence[str], x: str, score: str, target: float, low: int = 1, high: int = 73_728) -> DataFrame:
+    """by, crossing, saturated: where the curve's running maximum meets target on straight lines of ln loss over ln x.
+
+    Beyond the first and last point the line of the nearest segment goes on; a single point stands for itself. The result
+    is rounded half to even within low .. high. saturated: even the last point misses the target.
+    """
+    w = Window.partitionBy(*by).orderBy(x)
+    rows = running_max(df, by, [x], score, "_top").select(*by, F.ln(x).alias("x0"), log_loss(F.col("_top")).alias("y0"), "_top", F.row_number().over(w).alias("_k"), F.lead(F.ln(x)).over(w).alias("x1"))
+    rows = rows.withColumn("y1", F.lead("y0").over(Window.partitionBy(*by).orderBy("_k")))
+    t = math.log(max(100.0 - target, 1e-9))
+    line = F.when(F.col("y1") == F.col("y0"), F.when(F.lit(t) <= F.col("y0"), F.col("x1")).otherwise(F.col("x0"))).otherwise(F.col("x0") + (F.lit(t) - F.col("y0")) * (F.col("x1") - F.col("x0")) / F.when(F.col("y1") != F.col("y0"), F.col("y1") - F.col("y0")))
+    segment = F.col("x1").isNotNull()
+    holds = segment & (F.col("y0") >= t) & (F.lit(t) >= F.col("y1"))
+    one = F.struct(F.col("_k"), F.col("y0"), line.alias("at"))
+    found = rows.groupBy(*by).agg(
+        F.min(F.when(segment, one)).alias("first"), F.max(F.when(segment, one)).alias("last"), F.min(F.when(holds, one)).alias("in"),
+        F.max(F.struct("_k", "y0", "x0", "_top")).alias("end"),
+    )
+    at = F.when(F.col("first").isNull(), F.col("end.x0")).when(F.lit(t) >= F.col("first.y0"), F.col("first.at")).when(F.lit(t) <= F.col("end.y0"), F.col("last.at")).otherwise(F.coalesce("in.at", "end.x0"))
+    scale = F.bround(F.least(F.greatest(F.exp(at), F.lit(float(low))), F.lit(float(high)))).cast("bigint")
+    return found.select(*by, scale.alias("crossing"), (F.col("end._top") < target).alias("saturated"))
+
+
 def monotone(df: DataFrame, by: Sequence[str], x: Sequence[str], y: str) -> DataFrame:
     """Whether each curve never falls, and never rises."""
     w = Window.partitionBy(*by).orderBy(*x)
@@ -117,13 +155,22 @@ def monotone(df: DataFrame, by: Sequence[str], x: Sequence[str], y: str) -> Data
 
 
 def non_monotone_pairs(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """Pairs of any distance within a curve in which the higher x has the smaller y.
+    """by, pairs: pairs of any distance within a curve in which the higher x has the smaller y.
 
-    A curve is one bounded trace; its y values are folded in order of x, so that no pairs become rows.
+    Points are numbered by y. Two numbers differ first in one of their bits, which tells which is larger: for each bit the
+    points that agree above it are put in order of x, and each with the bit unset counts those before it that have it set.
+    That is one row for each point and bit and one window, not a row for each pair. Null values are no points.
     """
-    seq = F.array_sort(F.collect_list(F.struct(F.col(x), F.col(y))))
-    count = F.expr(f"aggregate(sequence(0, greatest(size(s) - 2, 0)), 0L, (n, i) -> n + size(filter(slice(s, i + 2, greatest(size(s), 1)), e -> e.`{y}` < s[i].`{y}` and e.`{x}` > s[i].`{x}`)))")
-    return df.groupBy(*by).agg(seq.alias("s")).select(*by, count.alias("pairs"))
+    kept = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = kept.select(*by, F.col(x).alias("_x"), (F.rank().over(Window.partitionBy(*by).orderBy(y)) - 1).cast("bigint").alias("_k"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
+    bits = ranked.select(*by, "_x", "_k", F.explode(F.sequence(F.lit(0), F.length(F.bin("_n")) - 1)).alias("_b"))
+    above = F.call_function("shiftright", F.col("_k"), F.col("_b") + 1)
+    one = F.call_function("shiftright", F.col("_k"), F.col("_b")).bitwiseAND(F.lit(1).cast("bigint"))
+    rows = bits.select(*by, "_b", above.alias("_a"), "_x", one.alias("_one"))
+    w = Window.partitionBy(*by, "_b", "_a")
+    before = F.sum("_one").over(w.orderBy("_x").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("_one").over(Window.partitionBy(*by, "_b", "_a", "_x"))
+    count = F.coalesce(F.sum(F.when(F.col("_one") == 0, F.col("_before"))), F.lit(0)).cast("bigint")
+    return rows.withColumn("_before", before).groupBy(*by).agg(count.alias("pairs"))
 
 
 def refinements(curve: DataFrame, targets: DataFrame, by: Sequence[str], target: str, x: str, metric: str, tolerance: float) -> DataFrame:
@@ -134,29 +181,48 @@ def refinements(curve: DataFrame, targets: DataFrame, by: Sequence[str], target:
     return met.select(*by, ((F.col("x0") + F.col("x1")) / 2).alias("setting"), (hi - lo).alias("width")).distinct().orderBy(F.desc("width"), *by, "setting")
 
 
-def bd_rate(df: DataFrame, by: Sequence[str], arm: str, reference: str, test: str, rate: str, quality: str) -> DataFrame:
-    """Mean rate difference in percent at equal quality of two arms: the gap of two cubic fits of ln rate over quality,
-    integrated over the common range; null with fewer than four points in an arm or no common range.
+def bd_rate(df: DataFrame, by: Sequence[str], arm: str, reference: str, test: str, rate: str, quality: str, order: Sequence[str] = ()) -> DataFrame:
+    """Mean rate difference in percent at equal quality of two arms: the gap of two cubic fits of log10 rate over quality,
+    integrated over the common range; null with fewer than four qualities in an arm or no common range.
 
-    A group is one image's few points; the fit has no closed aggregate.
+    Rates that are not positive are no points. Of points of one quality the last in order counts (of equals, and without
+    an order, the one with the largest rate). Fits are sums of powers of the quality, moved and scaled to -1 .. 1 over the
+    group: aggregates of groups of any size; Python solves four equations for each arm.
     """
-
-    def gap(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        key = {c: [pdf[c].iloc[0]] for c in by}
-        arms = [pdf[pdf[arm] == a].drop_duplicates(quality) for a in (reference, test)]
-        out = None
-        if all(len(a) >= 4 for a in arms):
-            lo, hi = max(a[quality].min() for a in arms), min(a[quality].max() for a in arms)
-            if hi > lo:
-                mid, half = (lo + hi) / 2, (hi - lo) / 2
+    points = df.where((F.col(rate) > 0) & F.col(quality).isNotNull() & F.col(arm).isin(reference, test))
+    last = F.max_by(F.col(rate), F.struct(*order, rate))
+    points = points.groupBy(*by, F.col(arm).alias("_arm"), F.col(quality).cast("double").alias("_q")).agg(F.log10(last).alias("_y"))
+    ends = points.groupBy(*by, "_arm").agg(F.min("_q").alias("_lo"), F.max("_q").alias("_hi"), F.count("*").alias("_n")).groupBy(*by).agg(F.max("_lo").alias("lo"), F.min("_hi").alias("hi"), F.min("_lo").alias("_a"), F.max("_hi").alias("_b"), F.min("_n").alias("n"), F.count("*").alias("arms"))
+    named = points.withColumnsRenamed({b: f"_k_{b}" for b in by})
+    on = F.lit(True)
+    for b in by:
+        on = on & ends[b].eqNullSafe(named[f"_k_{b}"])
+    z = (F.col("_q") - (F.col("_a") + F.col("_b")) / 2) / F.greatest((F.col("_b") - F.col("_a")) / 2, F.lit(1e-300))
+    rows = ends.join(named, on).withColumn("_z", z)
+    power = lambda k: F.lit(1.0) if not k else F.pow(F.col("_z"), F.lit(float(k)))
+    side = lambda name: F.col("_arm") == name
+    sums = []
+    for s, name in (("r", reference), ("t", test)):
+        sums += [F.sum(F.when(side(name), power(k))).alias(f"{s}m{k}") for k in range(7)] + [F.sum(F.when(side(name), power(k) * F.col("_y"))).alias(f"{s}v{k}") for k in range(4)]
+    moments = rows.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("lo", "hi", "_a", "_b", "n", "arms")], *sums)
+
+    def gap(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out: list[float | None] = []
+            for r in pdf.to_dict("records"):
+                if r["arms"] < 2 or r["n"] < 4 or not r["hi"] > r["lo"]:
+                    out.append(None)
+                    continue
+                middle, half = (r["_a"] + r["_b"]) / 2, (r["_b"] - r["_a"]) / 2
+                ends = [(r[c] - middle) / half for c in ("lo", "hi")]
                 area = []
-                for a in arms:
-                    whole = np.polynomial.Polynomial.fit((a[quality] - mid) / half, np.log(a[rate]), 3, domain=[-1, 1]).integ()
-                    area.append((whole(1) - whole(-1)) / 2)
-                out = float((np.exp(area[1] - area[0]) - 1) * 100)
-        return pd.DataFrame(key | {"bd_rate": [out]})
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*by).dtypes) + ", bd_rate double"
-    return df.where(F.col(rate) > 0).groupBy(*by).applyInPandas(gap, schema)
+                for s in "rt":
+                    m = np.array([[r[f"{s}m{i + j}"] for j in range(4)] for i in range(4)], float)
+                    c = np.linalg.solve(m, np.array([r[f"{s}v{k}"] for k in range(4)], float))
+                    whole = np.polynomial.Polynomial(c).integ()
+                    area.append((whole(ends[1]) - whole(ends[0])) / (ends[1] - ends[0]))
+                out.append(float((10 ** (area[1] - area[0]) - 1) * 100))
+            yield pdf[list(by)].assign(bd_rate=pd.Series(out, dtype="Float64", index=pdf.index))
+
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in df.select(*by).dtypes], "bd_rate double"])
+    return moments.mapInPandas(gap, schema)

@@ -1,15 +1,18 @@
 """Planar images as rows (image, x, y, v): neighbours, filters, transforms and tile statistics.
 
-Windows are partitioned by image and line, so that a stencil's partitions are lines and never whole corpora; tiles and
-pyramids are plain aggregates.
+Stencils deal rows to tasks by image once; their windows, by lines and columns of an image, then only sort. Tiles and
+pyramids are plain aggregates; transforms of blocks work on arrays, without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +28,11 @@ def from_blocks(df: DataFrame, image: str, values: str, side: int, v: Column | N
     return rows.select("image", (F.col("pos") % side).alias("x"), F.floor(F.col("pos") / side).cast("int").alias("y"), (F.col("value") if v is None else v).alias("v"))
 
 
+def whole_images(df: DataFrame) -> DataFrame:
+    """df with all rows of an image in one task: windows within an image need no shuffle of their own after it."""
+    return df.repartition("image")
+
+
 def to_blocks(df: DataFrame, image: str = "image") -> DataFrame:
     """The inverse: one array in raster order for each image."""
     return df.groupBy(image).agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda e: e.v).alias("values"))
@@ -39,8 +47,7 @@ def tiles(df: DataFrame, side: int, keys: Sequence[str] = ("image",)) -> DataFra
     """Mean, population variance (not below 0), smallest, largest and count of each tile; border tiles may be partial."""
     at = [F.floor(F.col("y") / side).cast("int").alias("ty"), F.floor(F.col("x") / side).cast("int").alias("tx")]
     v = F.col("v").cast("double")
-    out = df.groupBy(*keys, *at).agg(F.avg(v).alias("mean"), F.avg(v * v).alias("_sq"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
-    return out.withColumn("variance", F.greatest(F.col("_sq") - F.col("mean") * F.col("mean"), F.lit(0.0))).drop("_sq")
+    return df.groupBy(*keys, *at).agg(F.avg(v).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"), F.var_pop(v).alias("variance"))
 
 
 def flat_share(tile_rows: DataFrame, threshold: float = 2e-5, keys: Sequence[str] = ("image",)) -> DataFrame:
@@ -50,7 +57,7 @@ def flat_share(tile_rows: DataFrame, threshold: float = 2e-5, keys: Sequence[str
 def neighbours(df: DataFrame) -> DataFrame:
     """w, n, nw, ne, nn, nee and ww of each sample, each falling back to a nearer one at the border."""
     row, col = Window.partitionBy("image", "y").orderBy("x"), Window.partitionBy("image", "x").orderBy("y")
-    up = df.withColumn("_n", F.lag("v").over(col)).withColumn("_nn", F.lag("v", 2).over(col))
+    up = whole_images(df).withColumn("_n", F.lag("v").over(col)).withColumn("_nn", F.lag("v", 2).over(col))
     side = up.withColumn("_w", F.lag("v").over(row)).withColumn("_ww", F.lag("v", 2).over(row))
     side = side.withColumn("_nw", F.lag("_n").over(row)).withColumn("_ne", F.lead("_n").over(row)).withColumn("_nee", F.lead("_n", 2).over(row))
     zero = F.lit(0).cast(dict(df.dtypes)["v"])
@@ -60,20 +67,15 @@ def neighbours(df: DataFrame) -> DataFrame:
     return out.drop("_n", "_nn", "_w", "_ww", "_nw", "_ne", "_nee")
 
 
-def truncated(v: Column, by: int) -> Column:
-    """Integer division towards zero."""
-    return F.call_function("try_divide", v - v % by, F.lit(by)).cast("bigint")
-
-
 def prediction(name: str) -> Column:
     """A predictor's value from neighbours(); averages truncate."""
     w, n, nw, ne, nn, nee, ww = (F.col(c) for c in ("w", "n", "nw", "ne", "nn", "nee", "ww"))
     every = 6 * n - 2 * nn + 7 * w + ww + nee + 3 * ne + 8
     return {
-        "zero": F.lit(0).cast("bigint"), "west": w, "north": n, "avg_wn": truncated(w + n, 2),
+        "zero": F.lit(0).cast("bigint"), "west": w, "north": n, "avg_wn": pixel.truncated(w + n, 2),
         "select": F.when(F.abs(n - nw) < F.abs(w - nw), w).otherwise(n), "gradient": pixel.gradient(w, n, nw),
-        "north_east": ne, "north_west": nw, "west_west": ww, "avg_wnw": truncated(w + nw, 2), "avg_nnw": truncated(n + nw, 2),
-        "avg_nne": truncated(n + ne, 2), "avg_all": truncated(every, 16),
+        "north_east": ne, "north_west": nw, "west_west": ww, "avg_wnw": pixel.truncated(w + nw, 2), "avg_nnw": pixel.truncated(n + nw, 2),
+        "avg_nne": pixel.truncated(n + ne, 2), "avg_all": pixel.truncated(every, 16),
     }[name]
 
 
@@ -84,21 +86,27 @@ def residual_cost(df: DataFrame, predictors: Sequence[str] = PREDICTORS) -> Data
     return wide.unpivot(["image"], list(predictors), "predictor", "cost")
 
 
-def squeeze_rows(df: DataFrame) -> DataFrame:
-    """Horizontal wavelet step: for each pair its average and the difference less what its neighbours let expect.
+def squeeze(df: DataFrame, along: str = "x") -> DataFrame:
+    """Wavelet step along x or y: for each pair its average and the difference less what its neighbours let expect.
 
     An odd last sample is an average without a residual.
     """
-    pair = F.floor(F.col("x") / 2).cast("int")
-    halves = df.groupBy("image", "y", pair.alias("x")).agg(F.max(F.when(F.col("x") % 2 == 0, F.col("v"))).alias("_a"), F.max(F.when(F.col("x") % 2 == 1, F.col("v"))).alias("_b"))
-    w = Window.partitionBy("image", "y").orderBy("x")
+    across = "y" if along == "x" else "x"
+    pair = F.floor(F.col(along) / 2).cast("int")
+    of = lambda k: F.max(F.when(F.col(along) % 2 == k, F.col("v")))
+    halves = whole_images(df).groupBy("image", across, pair.alias(along)).agg(of(0).alias("_a"), of(1).alias("_b"))
+    w = Window.partitionBy("image", across).orderBy(along)
     d = F.col("_a") - F.col("_b")
-    halves = halves.withColumn("average", F.when(F.col("_b").isNull(), F.col("_a")).otherwise(F.col("_a") - truncated(d, 2)))
+    halves = halves.withColumn("average", F.when(F.col("_b").isNull(), F.col("_a")).otherwise(F.col("_a") - pixel.truncated(d, 2)))
     step = halves.withColumn("_next", F.coalesce(F.lead("average").over(w), F.col("average"))).withColumn("_left", F.coalesce(F.lag("_b").over(w), F.col("average")))
     residual = F.when(F.col("_b").isNotNull(), d - pixel.tendency(F.col("_left"), F.col("average"), F.col("_next")))
     return step.select("image", "y", "x", "average", residual.alias("residual"))
 
 
+def squeeze_rows(df: DataFrame) -> DataFrame:
+    return squeeze(df, "x")
+
+
 def unsqueeze_rows(df: DataFrame) -> DataFrame:
     """Inverse of squeeze_rows. Each sample needs the one before it, so a line is one group; lines are independent."""
 
@@ -139,14 +147,14 @@ def expected_residual(a: int, b: int, c: int) -> int:
 def erode(df: DataFrame) -> DataFrame:
     """Smallest value of each sample's 3 x 3 surrounding, cut off at the border."""
     row, col = Window.partitionBy("image", "y").orderBy("x").rowsBetween(-1, 1), Window.partitionBy("image", "x").orderBy("y").rowsBetween(-1, 1)
-    return df.withColumn("_m", F.min("v").over(row)).withColumn("eroded", F.min("_m").over(col)).drop("_m")
+    return whole_images(df).withColumn("_m", F.min("v").over(row)).withColumn("eroded", F.min("_m").over(col)).drop("_m")
 
 
 def gaborish(df: DataFrame, side: float = 0.115169525, corner: float = 0.061248592) -> DataFrame:
     """Symmetric 3 x 3 smoothing of weight 1, border samples counted twice beyond the border."""
     row, col = Window.partitionBy("image", "y").orderBy("x"), Window.partitionBy("image", "x").orderBy("y")
     near = lambda c, w: F.coalesce(F.lag(c).over(w), F.col(c)) + F.coalesce(F.lead(c).over(w), F.col(c))
-    lines = df.withColumn("v", F.col("v").cast("double")).withColumn("_h", near("v", row))
+    lines = whole_images(df).withColumn("v", F.col("v").cast("double")).withColumn("_h", near("v", row))
     both = lines.withColumn("_v", near("v", col)).withColumn("_d", near("_h", col))
     total = 1 + 4 * side + 4 * corner
     return both.select("image", "x", "y", ((F.col("v") + side * (F.col("_h") + F.col("_v")) + corner * F.col("_d")) / total).alias("v"))
@@ -164,7 +172,7 @@ def laplacian(df: DataFrame) -> DataFrame:
         r2 = F.coalesce(at[3], F.when(at[2].isNull(), F.coalesce(at[0], me)).otherwise(at[2]))
         return me + l1 + l2 + r1 + r2
 
-    lines = df.withColumn("v", F.col("v").cast("double")).withColumn("_h", around("v", "y", "x"))
+    lines = whole_images(df).withColumn("v", F.col("v").cast("double")).withColumn("_h", around("v", "y", "x"))
     return lines.withColumn("_s", around("_h", "x", "y")).select("image", "x", "y", (0.16 * F.col("_s") - 4.0 * F.col("v")).alias("v"))
 
 
@@ -178,23 +186,57 @@ def dct_basis(n: int) -> list[list[float]]:
     return [[(math.sqrt(2) if u else 1.0) * math.cos((2 * x + 1) * u * math.pi / (2 * n)) / n for x in range(n)] for u in range(n)]
 
 
+def separable(df: DataFrame, values: str, left: list[list[float]], right: list[list[float]], keep: Sequence[str]) -> DataFrame:
+    """keep and values: each array in raster order as a matrix M, replaced by left M transpose(right); no row leaves its task.
+
+    left is of rows x height, right of columns x width. Arrays that are null or of another size stay null.
+    """
+    a, b = np.array(left), np.array(right)
+    size = a.shape[1] * b.shape[1]
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            column = batch.column(len(keep))
+            ok = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(column), size), False))
+            m = np.asarray(pc.list_flatten(column.filter(pa.array(ok))), np.float64).reshape(-1, a.shape[1], b.shape[1])
+            out = np.einsum("uy,nyx,wx->nuw", a, m, b, optimize=True).reshape(len(m), -1)
+            places = np.cumsum(ok) - 1
+            made = pa.array([out[k].tolist() if good else None for k, good in zip(places.tolist(), ok.tolist(), strict=True)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], made], names=[*keep, "values"])
+
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in df.select(*keep).dtypes], "`values` array<double>"])
+    return df.select(*keep, F.col(values).cast("array<double>").alias("values")).mapInArrow(run, schema)
+
+
+def dct_blocks(df: DataFrame, image: str, values: str, n: int) -> DataFrame:
+    """image, u, w, coefficient of n x n blocks held as arrays in raster order; u counts along x, w along y."""
+    out = separable(df, values, dct_basis(n), dct_basis(n), [image])
+    rows = out.select(F.col(image).alias("image"), F.posexplode("values").alias("_k", "coefficient"))
+    return rows.select("image", (F.col("_k") % n).alias("u"), F.floor(F.col("_k") / n).cast("int").alias("w"), "coefficient")
+
+
 def dct(df: DataFrame, n: int) -> DataFrame:
-    """Two-dimensional cosine transform of n x n blocks as two joins with the basis table of n * n rows."""
-    spark = df.sparkSession
-    rows = [(u, x, c) for u, row in enumerate(dct_basis(n)) for x, c in enumerate(row)]
-    b = spark.createDataFrame(rows, "u int, p int, c double")
-    lines = df.join(F.broadcast(b), F.col("x") == F.col("p")).groupBy("image", "y", "u").agg(F.sum(F.col("v") * F.col("c")).alias("v"))
-    b2 = spark.createDataFrame(rows, "w int, p int, c double")
-    return lines.join(F.broadcast(b2), F.col("y") == F.col("p")).groupBy("image", "u", "w").agg(F.sum(F.col("v") * F.col("c")).alias("coefficient")).select("image", "u", F.col("w").alias("w"), "coefficient")
+    """The same of rows (image, x, y, v); one shuffle gathers the blocks."""
+    return dct_blocks(to_blocks(df), "image", "values", n)
 
 
 def inverse_dct(df: DataFrame, n: int) -> DataFrame:
-    spark = df.sparkSession
-    rows = [(u, x, c * n) for u, row in enumerate(dct_basis(n)) for x, c in enumerate(row)]
-    b = spark.createDataFrame(rows, "fu int, x int, c double")
-    lines = df.join(F.broadcast(b), F.col("u") == F.col("fu")).groupBy("image", "w", "x").agg(F.sum(F.col("coefficient") * F.col("c")).alias("v"))
-    b2 = spark.createDataFrame(rows, "fw int, y int, c double")
-    return lines.join(F.broadcast(b2), F.col("w") == F.col("fw")).groupBy("image", "x", "y").agg(F.sum(F.col("v") * F.col("c")).alias("v"))
+    back = (np.array(dct_basis(n)).T * n).tolist()
+    blocks = to_blocks(df.select("image", F.col("u").alias("x"), F.col("w").alias("y"), F.col("coefficient").alias("v")))
+    return from_blocks(separable(blocks, "values", back, back, ["image"]), "image", "values", n)
+
+
+def dct_lines(df: DataFrame, n: int) -> DataFrame:
+    """One-dimensional transform of each line of n samples: image, y, u, coefficient."""
+    identity = np.eye(n).tolist()
+    out = separable(to_blocks(df), "values", identity, dct_basis(n), ["image"])
+    return from_blocks(out, "image", "values", n).select("image", "y", F.col("x").alias("u"), F.col("v").alias("coefficient"))
+
+
+def half_inverse_dct(df: DataFrame, n: int) -> DataFrame:
+    """Half-size image of n x n coefficients: the inverse transform of their lower half, whose constant is the same mean."""
+    low = df.where((F.col("u") < n // 2) & (F.col("w") < n // 2))
+    return inverse_dct(low, n // 2)
 
 
 def palette(df: DataFrame, colour: Sequence[str], order: str, cap: int = 256) -> DataFrame:
@@ -205,13 +247,28 @@ def palette(df: DataFrame, colour: Sequence[str], order: str, cap: int = 256) ->
     return numbered.where(F.col("_all") <= cap).drop("_all")
 
 
-def palette_lookup(df: DataFrame, table: DataFrame, index: str, bits: int) -> DataFrame:
-    """Values of indices: the table's, and beyond it the implicit grey 4 x 4 x 4 cube's, by position."""
-    size = table.agg(F.coalesce(F.max("index") + 1, F.lit(0)).alias("_size"))
-    out = df.join(F.broadcast(size)).join(F.broadcast(table.withColumnRenamed("index", "_i")), F.col(index) == F.col("_i"), "left")
-    beyond = F.col(index) - F.col("_size")
-    implicit = F.floor(((beyond % 4) * ((1 << bits) - 1)) / 4) + (1 << max(0, bits - 3))
-    return out.withColumn("value", F.coalesce("value", implicit)).drop("_size", "_i")
+def palette_lookup(df: DataFrame, table: DataFrame, index: str, bits: int, colours: int, deltas: Sequence[Sequence[int]] = ()) -> DataFrame:
+    """df (with an index and a channel c) with value: the table's (index, c, value) below colours, computed ones elsewhere.
+
+    The 64 indices from colours on are a cube with four steps a channel, two bits each, moved up by half a step; all later
+    ones a cube with five steps, digits to the base 5. A negative index is an offset from deltas: -1 is the first, and each
+    later one has two indices, one for either sign, scaled up for more than 8 bits; without deltas it is null.
+    """
+    most = (1 << bits) - 1
+    place = F.col(index).cast("bigint") - colours
+    four = pixel.truncated(F.shiftright(place, 0).bitwiseAND(F.lit(63)).cast("bigint"), F.pow(F.lit(4.0), F.col("c")).cast("bigint")) % 4
+    five = pixel.truncated(place - 64, F.pow(F.lit(5.0), F.col("c")).cast("bigint")) % 5
+    beyond = F.when(place < 64, pixel.truncated(four * most, 4) + (1 << max(0, bits - 3))).otherwise(pixel.truncated(five * most, 4))
+    below = F.lit(None).cast("bigint")
+    if deltas:
+        folded = F.pmod(-F.col(index).cast("bigint") - 1, F.lit(2 * len(deltas) - 1))
+        row = F.element_at(F.lit([[int(v) for v in d] for d in deltas]), (F.shiftright(folded + 1, 1) + 1).cast("int"))
+        value = F.coalesce(F.get(row, F.col("c").cast("int")), F.lit(0)).cast("bigint")
+        below = F.when(folded % 2 == 0, -value).otherwise(value) * (1 << max(0, min(bits, 24) - 8))
+    known = table.select(F.col("index").alias("_i"), F.col("c").alias("_c"), F.col("value").cast("bigint").alias("_value"))
+    out = df.join(known, (F.col(index) == F.col("_i")) & (F.col("c") == F.col("_c")), "left")
+    value = F.when(F.col(index) < 0, below).when(F.col(index) < colours, F.col("_value")).otherwise(beyond)
+    return out.withColumn("value", value).drop("_i", "_c", "_value")
 
 
 def composite(canvas: DataFrame, frame: DataFrame, mode: str, x: int, y: int) -> DataFrame:

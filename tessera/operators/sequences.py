@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Reach of back-references.
 WINDOW = 1 << 20
@@ -64,82 +67,113 @@ def lz77(df: DataFrame, key: str, text: str) -> DataFrame:
     return out.withColumnRenamed("k", key)
 
 
-def self_correcting(df: DataFrame) -> DataFrame:
-    """Prediction of each sample of (image, x, y, v) from four guesses weighted by how well they did nearby.
+# The default parameters of the self-correcting predictor.
+CORRECTION_NORTH, CORRECTION_WEST, CORRECTION_MIXED, GUESS_WEIGHTS = 16, 10, (7, 7, 7, 0, 0), (13, 12, 12, 12)
 
-    The guesses are the gradient, the west sample, the north sample and their mean; a guess weighs the inverse of one
-    plus its absolute errors at the west and north samples. State depends on earlier output, so an image is one group.
-    """
 
-    def image(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        w, h = int(pdf["x"].max()) + 1, int(pdf["y"].max()) + 1
-        v = np.zeros((h, w), np.int64)
-        v[pdf["y"], pdf["x"]] = pdf["v"]
-        error, guess = np.zeros((4, h, w)), np.zeros((h, w), np.int64)
-        for y in range(h):
-            for x in range(w):
-                west = v[y, x - 1] if x else (v[y - 1, x] if y else 0)
-                north = v[y - 1, x] if y else west
-                corner = v[y - 1, x - 1] if x and y else west
-                own = np.array([west + north - corner, west, north, (west + north) // 2])
-                past = 1 + (error[:, y, x - 1] if x else 0) + (error[:, y - 1, x] if y else 0)
-                weight = 1 / past * np.ones(4)
-                guess[y, x] = int(np.floor((own * weight).sum() / weight.sum() + 0.5))
-                error[:, y, x] = np.abs(own - v[y, x])
-        return pd.DataFrame({"image": pdf["image"], "x": pdf["x"], "y": pdf["y"], "v": pdf["v"], "guess": guess[pdf["y"], pdf["x"]]})
+def _floor_log2(v: np.ndarray) -> np.ndarray:
+    return np.frexp(v.astype(np.float64))[1].astype(np.int64) - 1
 
-    kind = dict(df.dtypes)["image"]
-    return df.groupBy("image").applyInPandas(image, f"image {kind}, x int, y int, v bigint, guess bigint")
 
+def weighted_guesses(v: np.ndarray) -> np.ndarray:
+    """Self-correcting prediction of each sample of images of one shape (images x height x width), in eighths of a step.
+
+    Four guesses are weighted by the inverse of how far they missed nearby; the last result's own error feeds back. Each
+    sample needs those before it, so the loop is over places and every step does all images. Samples of up to 30 bits.
+    """
+    m, h, w = v.shape
+    v = v.astype(np.int64)
+    out = np.zeros((m, h, w), np.int64)
+    # One column more on both sides, and one line above: what is missing there falls back below.
+    true_error, missed = np.zeros((m, h, w), np.int64), np.zeros((4, m, h, w), np.int64)
+    for y in range(h):
+        for x in range(w):
+            west = v[:, y, x - 1] if x else v[:, y - 1, x] if y else np.zeros(m, np.int64)
+            north = v[:, y - 1, x] if y else west
+            corner = v[:, y - 1, x - 1] if x and y else west
+            east = v[:, y - 1, x + 1] if y and x + 1 < w else north
+            above = v[:, y - 2, x] if y > 1 else north
+            w3, n3, nw3, ne3, nn3 = (a << 3 for a in (west, north, corner, east, above))
+            at = lambda e, dy, dx, y=y, x=x: e[..., y + dy, x + dx] if y + dy >= 0 and 0 <= x + dx < w else None
+            zero = np.zeros(m, np.int64)
+            ew, en = at(true_error, 0, -1), at(true_error, -1, 0)
+            ew, en = zero if ew is None else ew, zero if en is None else en
+            enw, ene = at(true_error, -1, -1), at(true_error, -1, 1)
+            enw, ene = en if enw is None else enw, en if ene is None else ene
+            a, b, c, d, e = CORRECTION_MIXED
+            guess = np.stack([w3 + ne3 - n3, n3 - (((ew + en + ene) * CORRECTION_NORTH) >> 5), w3 - (((ew + en + enw) * CORRECTION_WEST) >> 5), n3 - ((enw * a + en * b + ene * c + (nn3 - n3) * d + (nw3 - w3) * e) >> 5)])
+            none = np.zeros((4, m), np.int64)
+            mw, mn, mww = at(missed, 0, -1), at(missed, -1, 0), at(missed, 0, -2)
+            mw, mn, mww = (none if q is None else q for q in (mw, mn, mww))
+            mnw, mne = at(missed, -1, -1), at(missed, -1, 1)
+            total = mn + mw + (mn if mnw is None else mnw) + mww + (mn if mne is None else mne) + (mw if x + 1 == w else 0)
+            total &= 0xFFFFFFFF
+            shift = np.maximum(_floor_log2(total + 1) - 5, 0)
+            weight = 4 + ((np.array(GUESS_WEIGHTS)[:, None] * ((1 << 24) // ((total >> shift) + 1))) >> shift)
+            weight >>= np.maximum(_floor_log2(np.maximum(weight.sum(axis=0), 1)) + 1 - 5, 0)
+            share = weight.sum(axis=0)
+            s = (share >> 1) - 1 + (guess * weight).sum(axis=0)
+            value = (s * ((1 << 24) // np.maximum(share, 1))) >> 24
+            inside = np.clip(value, np.minimum(np.minimum(w3, n3), ne3), np.maximum(np.maximum(w3, n3), ne3))
+            value = np.where(((en ^ ew) | (en ^ enw)) <= 0, inside, value)
+            out[:, y, x] = value
+            real = v[:, y, x] << 3
+            true_error[:, y, x] = value - real
+            missed[:, :, y, x] = (np.abs(guess - real) + 3) >> 3
+    return out
 
-def blur(df: DataFrame, sigma: float = 1.5) -> DataFrame:
-    """Recursive Gaussian of each line, zero beyond its ends: a forward and a backward pass of second order."""
-    import math
 
-    q = 0.98711 * sigma - 0.9633 if sigma >= 2.5 else 3.97156 - 4.14554 * math.sqrt(1 - 0.26891 * sigma)
-    b0 = 1.57825 + 2.44413 * q + 1.4281 * q * q + 0.422205 * q**3
-    b = [(2.44413 * q + 2.85619 * q * q + 1.26661 * q**3) / b0, -(1.4281 * q * q + 1.26661 * q**3) / b0, 0.422205 * q**3 / b0]
-    gain = 1 - sum(b)
+def self_correcting(df: DataFrame) -> DataFrame:
+    """image, x, y, v and guess, the self-correcting prediction of each sample of rows (image, x, y, v).
 
-    def line(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        out = pdf["v"].astype(float).tolist()
-        for _ in range(2):
-            past = [0.0, 0.0, 0.0]
-            for k, v in enumerate(out):
-                out[k] = gain * v + sum(c * p for c, p in zip(b, past, strict=True))
-                past = [out[k], *past[:2]]
-            out.reverse()
-        return pdf[["image", "x", "y"]].assign(v=out)
+    Images are gathered as arrays by one shuffle; those of one shape in a batch are worked on together.
+    """
+    whole = df.groupBy("image").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda e: e.v.cast("bigint")).alias("values"), (F.max("x") + 1).cast("int").alias("width"))
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            sizes = np.stack([np.asarray(batch.column(1).value_lengths()), np.asarray(batch.column(2))], axis=1)
+            for size, width in np.unique(sizes, axis=0).tolist():
+                own = pa.array((sizes[:, 0] == size) & (sizes[:, 1] == width))
+                v = np.asarray(batch.column(1).filter(own).flatten()).reshape(-1, size // width, width)
+                guess = (weighted_guesses(v) + 3) >> 3
+                image = batch.column(0).filter(own).take(pa.array(np.repeat(np.arange(len(v)), size)))
+                y, x = np.divmod(np.tile(np.arange(size), len(v)), width)
+                yield pa.RecordBatch.from_arrays([image, pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(v.ravel()), pa.array(guess.ravel())], names=["image", "x", "y", "v", "guess"])
 
     kind = dict(df.dtypes)["image"]
-    return df.groupBy("image", "y").applyInPandas(line, f"image {kind}, x int, y int, v double")
+    return whole.mapInArrow(run, f"image {kind}, x int, y int, v bigint, guess bigint")
 
 
-def lehmer_code(order: list[int]) -> list[int]:
-    """How many smaller numbers follow each."""
-    return [sum(later < k for later in order[i + 1 :]) for i, k in enumerate(order)]
+# Gains and feedback of the three cosines whose sum is the truncated Gaussian with a deviation of 1.5.
+BLUR_GAIN = (0.05529523572608661, -0.05883668702694998, 0.012955819110517063)
+BLUR_FEEDBACK = (1.902113032590307, 1.1755705045849463, 1.2246467991473532e-16)
+BLUR_RADIUS = 5
 
 
-def from_lehmer(code: list[int]) -> list[int]:
-    left = list(range(len(code)))
-    return [left.pop(k) for k in code]
+def blur_taps() -> list[float]:
+    """Weights of the samples 0, 1, 2, ... away: the cosines' response to one sample, which ends before BLUR_RADIUS."""
+    taps = []
+    for k in range(BLUR_RADIUS):
+        # The response of a cosine to the window's two ends, n steps after the first of them.
+        n, total = BLUR_RADIUS - 1 - k, 0.0
+        for gain, feedback in zip(BLUR_GAIN, BLUR_FEEDBACK, strict=True):
+            before, now = 0.0, 1.0
+            for _ in range(n):
+                before, now = now, feedback * now - before
+            total += gain * now
+        taps.append(total)
+    return taps
 
 
-def move_to_front(values: list[int]) -> list[int]:
-    order, out = list(range(max(values, default=-1) + 1)), []
-    for v in values:
-        k = order.index(v)
-        out.append(k)
-        order.insert(0, order.pop(k))
-    return out
+def blur(df: DataFrame) -> DataFrame:
+    """Gaussian of deviation 1.5 of rows (image, x, y, v), along lines, then columns, with zeros beyond the border."""
+    taps = blur_taps()
 
+    def along(c: str, a: str, b: str) -> Column:
+        w = Window.partitionBy("image", a).orderBy(b)
+        near = [F.coalesce(f(c, k).over(w), F.lit(0.0)) * t for k, t in enumerate(taps) if k for f in (F.lag, F.lead)]
+        return sum(near, F.col(c) * taps[0])
 
-def from_move_to_front(places: list[int]) -> list[int]:
-    order, out = list(range(max(places, default=-1) + 1 + len(places))), []
-    for k in places:
-        out.append(order[k])
-        order.insert(0, order.pop(k))
-    return out
+    rows = df.repartition("image").withColumn("v", F.col("v").cast("double"))
+    return rows.withColumn("_h", along("v", "y", "x")).withColumn("v", along("_h", "x", "y")).select("image", "x", "y", "v")

@@ -1,68 +1,112 @@
 """Quantile rules, ranks, means and tables over groups of measurements.
 
-Order statistics rank the rows of a group by value with one window per group column list; where Spark has an aggregate
-of the same rule, that is used and the group needs no window.
+Order statistics count each group's values first, then find the counts' running sums in two levels (order.py): no group,
+however large, is ranked or held by one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.order import prefix_sums, row_numbers
+
 
 def _finite(value: str) -> Column:
     return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
 
 
-def order_statistic(df: DataFrame, by: Sequence[str], value: str, index: Column, name: str) -> DataFrame:
-    """For each group, the value at a 0-based index that is an expression of the group's row count n."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(_finite(value)).select(*by, value, F.row_number().over(w.orderBy(value)).alias("_r"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("_r") - 1 == index).select(*by, F.col(value).alias(name))
+def order_statistics(df: DataFrame, by: Sequence[str], value: str, indices: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """For each group and name, the value at a 0-based index that is a function of the group's number of values.
+
+    Nulls and NaN are no values; a group without any has nulls.
+    """
+    counts = df.select(*by, F.when(_finite(value), F.col(value)).alias("_v")).groupBy(*by, "_v").agg(F.count("_v").alias("_n"))
+    placed = prefix_sums(counts, by, [F.col("_v")], {"_below": F.col("_n")})
+    at = lambda index: (index >= F.col("_below")) & (index < F.col("_below") + F.col("_n"))
+    return placed.groupBy(*by).agg(*[F.max(F.when(at(index(F.col("_below_all"))), F.col("_v"))).alias(name) for name, index in indices.items()])
 
 
 def floor_index_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
-    """Elements at floor((n - 1) q), never interpolated; a column q<percent> for each, from one ranking."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(_finite(value)).select(*by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_r"), F.count("*").over(w).alias("_n"))
-    at = [F.max(F.when(F.col("_r") == F.floor((F.col("_n") - 1) * F.lit(q)), F.col(value))).alias(f"q{round(q * 100)}") for q in quantiles]
-    return ranked.groupBy(*by).agg(*at)
+    """Elements at floor((n - 1) q), never interpolated; a column q<percent> for each."""
+    return order_statistics(df, by, value, {f"q{round(q * 100)}": lambda n, q=q: F.floor((n - 1) * F.lit(q)) for q in quantiles})
 
 
-def ceil_index(q: float) -> Column:
+def ceil_index(q: float) -> Callable[[Column], Column]:
     """0-based index min(int(q (n - 1) + 0.9999), n - 1)."""
-    return F.least(F.floor(F.lit(q) * (F.col("n") - 1) + F.lit(0.9999)), F.col("n") - 1)
+    return lambda n: F.least(F.floor(F.lit(q) * (n - 1) + F.lit(0.9999)), n - 1)
 
 
-def rounded_index(q: float) -> Column:
+def rounded_index(q: float) -> Callable[[Column], Column]:
     """0-based index round(q (n - 1)), halves away from zero."""
-    return F.round(F.lit(q) * (F.col("n") - 1)).cast("bigint")
+    return lambda n: F.round(F.lit(q) * (n - 1)).cast("bigint")
 
 
-def linear_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], empty: float | None = None) -> DataFrame:
-    """Interpolated quantiles; groups without values give empty."""
-    cols = [F.percentile(value, F.lit(float(q))) for q in quantiles]
-    return df.groupBy(*by).agg(*[(c if empty is None else F.coalesce(c, F.lit(empty))).alias(f"q{round(q * 100)}") for c, q in zip(cols, quantiles, strict=True)])
+def rank_index(q: float) -> Callable[[Column], Column]:
+    """0-based index ceil(q n) - 1, kept in 0 .. n - 1."""
+    return lambda n: F.greatest(F.least(F.ceil(F.lit(q) * n) - 1, n - 1), F.lit(0))
 
 
-def nearest_rank(value: str, q: float) -> Column:
-    """Element at ceil(q n) - 1, clamped, as an aggregate."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{value}`)")
+def _between(q: float) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    return lambda n: F.floor((n - 1) * F.lit(q)), lambda n: F.ceil((n - 1) * F.lit(q))
 
 
-def summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """min, median, p95, p99 and max."""
-    return df.groupBy(*by).agg(F.min(value).alias("min"), F.percentile(value, F.lit(0.5)).alias("median"), nearest_rank(value, 0.95).alias("p95"), nearest_rank(value, 0.99).alias("p99"), F.max(value).alias("max"))
+def linear_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], empty: float | None = None) -> DataFrame:
+    """Interpolated quantiles at q (n - 1); groups without values give empty."""
+    size: dict[str, Callable[[Column], Column]] = {}
+    for k, q in enumerate(quantiles):
+        size |= dict(zip((f"_l{k}", f"_h{k}"), _between(q), strict=True))
+    found = order_statistics(df, by, value, size)
+    n = df.groupBy(*by).agg(F.count_if(_finite(value)).alias("_n"))
+    for b in by:
+        n = n.withColumnRenamed(b, f"_k_{b}")
+    on = F.lit(True)
+    for b in by:
+        on = on & found[b].eqNullSafe(n[f"_k_{b}"])
+    both = found.join(n, on)
+    out = []
+    for k, q in enumerate(quantiles):
+        at = (F.col("_n") - 1) * F.lit(q)
+        v = F.col(f"_l{k}") + (at - F.floor(at)) * (F.col(f"_h{k}") - F.col(f"_l{k}"))
+        out.append((v if empty is None else F.coalesce(v, F.lit(empty))).alias(f"q{round(q * 100)}"))
+    return both.select(*by, *out)
+
+
+def nearest_ranks(df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
+    """Elements at ceil(q n) - 1, clamped; a column q<percent> for each."""
+    return order_statistics(df, by, value, {f"q{round(q * 100)}": rank_index(q) for q in quantiles})
+
+
+def summary(df: DataFrame, by: Sequence[str], value: str, strict: bool = False) -> DataFrame:
+    """min, median (interpolated), p95, p99 (nearest rank) and max; with strict a group without values fails the query."""
+    lo, hi = _between(0.5)
+    got = order_statistics(df, by, value, {"min": lambda n: F.lit(0), "_lo": lo, "_hi": hi, "p95": rank_index(0.95), "p99": rank_index(0.99), "max": lambda n: n - 1})
+    out = got.select(*by, "min", ((F.col("_lo") + F.col("_hi")) / 2).alias("median"), "p95", "p99", "max")
+    return out.withColumn("min", F.when(F.col("min").isNull(), F.raise_error(F.lit("cannot summarise a group without values"))).otherwise(F.col("min"))) if strict else out
 
 
 def tie_rank(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """Mean position of equal values over n - 1; 0 in groups of one."""
-    w = Window.partitionBy(*by)
-    below, same, n = F.rank().over(w.orderBy(value)) - 1, F.count("*").over(Window.partitionBy(*by, value)), F.count("*").over(w)
-    return df.withColumn(name, F.when(n <= 1, F.lit(0.0)).otherwise((2 * below + same - 1) / F.lit(2.0) / F.greatest(n - 1, F.lit(1))))
+    """Mean position of equal values over n - 1; 0 in groups of one. Nulls are equal and come first."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("_same"))
+    placed = prefix_sums(counts, by, [F.col(value)], {"_below": F.col("_same")})
+    placed = placed.withColumnsRenamed({c: f"_k_{c}" for c in [*by, value]})
+    on = F.lit(True)
+    for c in [*by, value]:
+        on = on & df[c].eqNullSafe(placed[f"_k_{c}"])
+    n = F.col("_below_all")
+    rank = F.when(n <= 1, F.lit(0.0)).otherwise((2 * F.col("_below") + F.col("_same") - 1) / F.lit(2.0) / F.greatest(n - 1, F.lit(1)))
+    return df.join(placed, on).withColumn(name, rank).drop("_same", "_below", "_below_all", *[f"_k_{c}" for c in [*by, value]])
+
+
+def feature_ranks(df: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """df with rank_<feature>, the tie-averaged rank of each feature within its group."""
+    out = df
+    for f in features:
+        out = tie_rank(out, by, f, f"rank_{f}")
+    return out
 
 
 def geometric_mean(value: str, empty: float | None = None) -> Column:
@@ -83,7 +127,7 @@ def distribution_map(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def upper_median(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    return order_statistic(df, by, value, F.floor(F.col("n") / 2), name)
+    return order_statistics(df, by, value, {name: lambda n: F.floor(n / 2)})
 
 
 def robust_scale(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -107,7 +151,7 @@ def leave_one_out(df: DataFrame, by: Sequence[str], value: str, fallback: Column
 
 def regret_summary(df: DataFrame, by: Sequence[str], regret: str, agree: Column) -> DataFrame:
     """samples, agreements, mean, max and the row at round(0.99 (n - 1))."""
-    p99 = order_statistic(df, by, regret, rounded_index(0.99), "p99")
+    p99 = order_statistics(df, by, regret, {"p99": rounded_index(0.99)})
     return df.groupBy(*by).agg(F.count("*").alias("samples"), F.count_if(agree).alias("agreements"), F.avg(regret).alias("mean"), F.max(regret).alias("max")).join(p99, list(by))
 
 
@@ -126,7 +170,8 @@ def bucket_edges(df: DataFrame, value: str, fractions: Sequence[float] = (0.2, 0
     """Interpolated percentiles, each nudged above the one before; a list as long as fractions."""
     import math
 
-    edges = list(df.agg(F.percentile(value, F.lit([float(f) for f in fractions])).alias("e")).first().e or [])
+    found = linear_quantiles(df, [], value, fractions).first()
+    edges = [e for e in (found or []) if e is not None]
     for k in range(1, len(edges)):
         if edges[k] <= edges[k - 1]:
             edges[k] = math.nextafter(edges[k - 1], math.inf)
@@ -145,21 +190,48 @@ def cell_table(df: DataFrame, keys: Sequence[Column], value: str, member: str) -
 
 def recall_at(df: DataFrame, by: Sequence[str], truth: str, predicted: str, order: Sequence[str], top: float = 0.05, share: float = 0.1) -> DataFrame:
     """Share of the rows with the highest truth (at least one) that are among those with the highest prediction."""
-    w = Window.partitionBy(*by)
-    t, p, n = F.row_number().over(w.orderBy(F.desc(truth), *order)), F.row_number().over(w.orderBy(F.desc(predicted), *order)), F.count("*").over(w)
-    rows = df.select(*by, (t <= F.greatest(F.lit(1), F.ceil(n * F.lit(top)))).alias("t"), (p <= F.greatest(F.lit(1), F.ceil(n * F.lit(share)))).alias("p"))
-    return rows.groupBy(*by).agg((F.count_if(F.col("t") & F.col("p")) / F.count_if(F.col("t"))).alias("recall"))
+    keep = list(dict.fromkeys([*by, truth, predicted, *order]))
+    rows = row_numbers(df.select(*keep), by, [F.desc(truth), *[F.col(c) for c in order]], "_t")
+    rows = row_numbers(rows.drop("_t_all"), by, [F.desc(predicted), *[F.col(c) for c in order]], "_p")
+    return _recall(rows, by, top, share)
+
+
+def _recall(rows: DataFrame, by: Sequence[str], top: float, share: float) -> DataFrame:
+    return rows.groupBy(*by).agg(_recall_at(top, share).alias("recall"))
 
 
-def weight_search(df: DataFrame, truth: str, features: Sequence[str], levels: int, order: Sequence[str], top: float = 0.05, share: float = 0.1) -> DataFrame:
-    """recall_at for every integer weight vector with entries below levels, not all 0.
+def _recall_at(top: float, share: float) -> Column:
+    n = F.col("_p_all")
+    t, p = F.col("_t") <= F.greatest(F.lit(1), F.ceil(n * F.lit(top))), F.col("_p") <= F.greatest(F.lit(1), F.ceil(n * F.lit(share)))
+    return F.count_if(t & p) / F.count_if(t)
 
-    The grid is levels ** len(features) - 1 rows, a parameter. Both rankings of a grid row are made by one sort each.
+
+#: Weight vectors that a search may try.
+MOST_WEIGHTS = 4096
+
+
+def weight_search(df: DataFrame, by: Sequence[str], truth: str, features: Sequence[str], levels: int, order: Sequence[str], top: float = 0.05, percents: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """by, w0, w1, ... and recall_at_<percent> for every integer weight vector with entries below levels, not all 0.
+
+    The grid has levels ** len(features) - 1 rows, at most MOST_WEIGHTS, and is broadcast. The truth is ranked once.
     """
-    spark = df.sparkSession
-    grid = spark.range(1, levels ** len(features)).select(*[(F.floor(F.col("id") / levels**k) % levels).alias(f"w{k}") for k in range(len(features))])
-    scored = df.crossJoin(F.broadcast(grid)).withColumn("_p", sum((F.col(f"w{k}") * F.col(f) for k, f in enumerate(features)), F.lit(0.0)))
-    return recall_at(scored, [f"w{k}" for k in range(len(features))], truth, "_p", order, top, share)
+    if levels ** len(features) > MOST_WEIGHTS:
+        raise ValueError(f"more than {MOST_WEIGHTS} weight vectors")
+    names = [f"w{k}" for k in range(len(features))]
+    grid = df.sparkSession.range(1, levels ** len(features)).select(*[(F.floor(F.col("id") / levels**k) % levels).alias(w) for k, w in enumerate(names)])
+    rows = row_numbers(df.select(*dict.fromkeys([*by, truth, *features, *order])), by, [F.desc(truth), *[F.col(c) for c in order]], "_t").drop("_t_all")
+    score = sum((F.col(w) * F.col(f) for w, f in zip(names, features, strict=True)), F.lit(0.0))
+    scored = rows.crossJoin(F.broadcast(grid)).select(*by, *names, "_t", *order, score.alias("_score"))
+    ranked = row_numbers(scored, [*by, *names], [F.desc("_score"), *[F.col(c) for c in order]], "_p")
+    return ranked.groupBy(*by, *names).agg(*[_recall_at(top, k / 100).alias(f"recall_at_{k}") for k in percents])
+
+
+def best_weights(recalls: DataFrame, weights: Sequence[str], percents: Sequence[int] = (10, 5, 1)) -> DataFrame:
+    """The weights with the highest mean recalls, percent after percent; of equals the smallest sum, then the smallest
+    weights in their order: one row of the grid's, with the means."""
+    per = recalls.groupBy(*weights).agg(*[F.avg(f"recall_at_{k}").alias(f"mean_at_{k}") for k in percents])
+    total = sum((F.col(w) for w in weights), F.lit(0))
+    return per.orderBy(*[F.desc(f"mean_at_{k}") for k in percents], total, *weights).limit(1)
 
 
 def match_coverage(df: DataFrame, by: Sequence[str], status: str, matched: str = "matched") -> DataFrame:
@@ -176,5 +248,5 @@ def score_range(value: str) -> Column:
 def gate_verdicts(metrics: DataFrame, gates: Sequence[tuple[str, str, float]]) -> DataFrame:
     """metric, value, bound, passed for each gate (metric, '<=' or '>=', bound); an absent value gives null."""
     bounds = metrics.sparkSession.createDataFrame(list(gates), "metric string, op string, bound double")
-    out = F.broadcast(bounds).join(metrics, "metric", "left")
+    out = bounds.join(metrics, "metric", "left")
     return out.select("metric", "value", "bound", F.when(F.col("op") == "<=", F.col("value") <= F.col("bound")).otherwise(F.col("value") >= F.col("bound")).alias("passed"))

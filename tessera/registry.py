@@ -54,13 +54,13 @@ def stat_linear_quantile(spark, d):
 
 @_query("SELECT l_linestatus, quantile_disc(l_extendedprice, 0.3) q30, quantile_disc(l_extendedprice, 0.95) q95 FROM lineitem GROUP BY ALL")
 def stat_nearest_rank(spark, d):
-    return _t(spark, d, "lineitem").groupBy("l_linestatus").agg(stats.nearest_rank("l_extendedprice", 0.3).alias("q30"), stats.nearest_rank("l_extendedprice", 0.95).alias("q95"))
+    return stats.nearest_ranks(_t(spark, d, "lineitem"), ["l_linestatus"], "l_extendedprice", [0.3, 0.95])
 
 
 @_query("""WITH r AS (SELECT event_type, value v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 k, count(*) OVER (PARTITION BY event_type) n FROM events)
 SELECT event_type, v AS p90 FROM r WHERE k = least(floor(0.9::DOUBLE * (n - 1) + 0.9999::DOUBLE), n - 1)""")
 def stat_ceil_quantile(spark, d):
-    return stats.order_statistic(_t(spark, d, "events"), ["event_type"], "value", stats.ceil_index(0.9), "p90")
+    return stats.order_statistics(_t(spark, d, "events"), ["event_type"], "value", {"p90": stats.ceil_index(0.9)})
 
 
 @_query("SELECT event_type, min(value) min, round(quantile_cont(value, 0.5), 6) median, quantile_disc(value, 0.95) p95, quantile_disc(value, 0.99) p99, max(value) max FROM events GROUP BY 1")
@@ -144,7 +144,8 @@ f AS (SELECT w0, w1, t <= greatest(1, ceil(n * 0.05::DOUBLE)) t, p <= greatest(1
 SELECT w0, w1, round(count(*) FILTER (t AND p) / count(*) FILTER (t), 9) AS recall FROM f GROUP BY ALL""")
 def stat_weight_search(spark, d):
     part = _t(spark, d, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("a"), (F.col("p_partkey") % 97).cast("double").alias("b"))
-    return _rounded(stats.weight_search(part, "p_retailprice", ["a", "b"], 3, ["p_partkey"]), recall=9)
+    found = stats.weight_search(part, [], "p_retailprice", ["a", "b"], 3, ["p_partkey"])
+    return _rounded(found.select("w0", "w1", F.col("recall_at_10").alias("recall")), recall=9)
 
 
 @_query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') matched, count(*) total, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 9) fraction FROM orders GROUP BY 1")
@@ -230,31 +231,45 @@ def curve_asof(spark, d):
     return _rounded(curves.as_of(t, _curve(spark, d), ["user_id"], "target", "scale", "score"), score_at=6)
 
 
-@_query(f"""WITH {_CURVE}, s AS (SELECT user_id, row_number() OVER w - 1 AS segment, ln(scale) - ln(lag(scale) OVER w) dx, ln(score) - ln(lag(score) OVER w) dy FROM c WINDOW w AS (PARTITION BY user_id ORDER BY scale))
-SELECT user_id, segment, round(dx / dy, 6) AS slope FROM s WHERE dy IS NOT NULL AND dy <> 0 AND abs(dy) > 1e-3""")
+_TOP = f"{_CURVE}, m AS (SELECT user_id, scale, max(score) OVER (PARTITION BY user_id ORDER BY scale) AS top FROM c), t AS (SELECT *, ln(greatest(100.0::DOUBLE - top, 1e-3::DOUBLE)) AS l FROM m)"
+
+
+@_query(f"""WITH {_TOP}, s AS (SELECT user_id, row_number() OVER w - 1 AS segment, ln(scale) - ln(lag(scale) OVER w) dx, l - lag(l) OVER w dy FROM t WINDOW w AS (PARTITION BY user_id ORDER BY scale))
+SELECT user_id, segment, round(dx / dy, 2) AS slope FROM s WHERE dy <> 0""")
 def curve_slopes(spark, d):
-    out = curves.segment_slopes(_curve(spark, d), ["user_id"], ["scale"], "score")
-    c = _curve(spark, d)
-    w = Window.partitionBy("user_id").orderBy("scale")
-    step = c.select("user_id", (F.row_number().over(w) - 1).alias("segment"), (F.ln("score") - F.ln(F.lag("score").over(w))).alias("dy")).where(F.abs("dy") > 1e-3)
-    return _rounded(out.join(step, ["user_id", "segment"]).select("user_id", "segment", "slope"), slope=6)
+    return _rounded(curves.segment_slopes(_curve(spark, d), ["user_id"], "scale", "score"), slope=2)
+
+
+@_query(f"WITH {_TOP} SELECT user_id, round(regr_slope(l, ln(scale)), 6) AS exponent FROM t GROUP BY 1")
+def curve_loss_exponent(spark, d):
+    return _rounded(curves.loss_exponent(_curve(spark, d), ["user_id"], "scale", "score"), exponent=6)
 
 
 @_query(f"""WITH {_CURVE}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(ln(scale) - ln(100.0::DOUBLE)), scale) r FROM c),
-s AS (SELECT user_id, regr_slope(ln(score), ln(scale)) s FROM n WHERE r <= 4 GROUP BY 1) SELECT user_id, round(CASE WHEN s > 0 THEN s END, 6) AS beta FROM s""")
+s AS (SELECT user_id, -regr_slope(ln(greatest(100 - score, 1e-3)), ln(scale)) s FROM n WHERE r <= 4 GROUP BY 1) SELECT user_id, round(CASE WHEN s > 0 THEN s END, 6) AS beta FROM s""")
 def curve_beta(spark, d):
-    return _rounded(curves.local_slope(_curve(spark, d).withColumn("at", F.lit(100.0)), ["user_id"], "scale", "score", "at", ["scale"]), beta=6)
+    return _rounded(curves.local_slope(_curve(spark, d).withColumn("at", F.lit(100.0)), ["user_id"], "scale", "score", "at"), beta=6)
+
+
+_LINE = "CASE WHEN y1 = y0 THEN CASE WHEN t <= y0 THEN x1 ELSE x0 END ELSE x0 + (t - y0) * (x1 - x0) / (y1 - y0) END"
+
 
+@_query(f"""WITH {_TOP}, g AS (SELECT user_id, ln(scale) x0, l y0, lead(ln(scale)) OVER w x1, lead(l) OVER w y1, top, ln(15.0::DOUBLE) t, row_number() OVER w k FROM t WINDOW w AS (PARTITION BY user_id ORDER BY scale)),
+e AS (SELECT *, {_LINE} AS spot FROM g), f AS (SELECT user_id, any_value(t) t, arg_min(spot, k) FILTER (x1 IS NOT NULL) first_at, arg_min(y0, k) first_y, arg_max(spot, k) FILTER (x1 IS NOT NULL) last_at, arg_max(y0, k) end_y, arg_max(x0, k) end_x, arg_max(top, k) end_top, arg_min(spot, k) FILTER (x1 IS NOT NULL AND y0 >= t AND t >= y1) in_at FROM e GROUP BY 1)
+SELECT user_id, round_even(least(greatest(exp(CASE WHEN first_at IS NULL THEN end_x WHEN t >= first_y THEN first_at WHEN t <= end_y THEN last_at ELSE coalesce(in_at, end_x) END), 1), 73728), 0)::BIGINT AS crossing, end_top < 85 AS saturated FROM f""")
+def curve_crossing_scale(spark, d):
+    return curves.crossing_scale(_curve(spark, d), ["user_id"], "scale", "score", 85.0)
 
-@_query(f"""WITH {_CURVE}, p AS (SELECT user_id, scale // 50 AS part, score, lag(score) OVER (PARTITION BY user_id, scale // 50 ORDER BY scale) p FROM c)
-SELECT user_id, part, coalesce(bool_and(score >= p), true) rising, coalesce(bool_and(score <= p), true) falling FROM p GROUP BY ALL""")
+
+@_query(f"""WITH {_CURVE}, p AS (SELECT user_id, score, lag(score) OVER (PARTITION BY user_id ORDER BY scale) p FROM c)
+SELECT user_id, coalesce(bool_and(score >= p), true) rising, coalesce(bool_and(score <= p), true) falling FROM p GROUP BY ALL""")
 def curve_monotone(spark, d):
-    return curves.monotone(_curve(spark, d).withColumn("part", F.floor(F.col("scale") / 50)), ["user_id", "part"], ["scale"], "score")
+    return curves.monotone(_curve(spark, d), ["user_id"], ["scale"], "score")
 
 
-@_query(f"WITH {_CURVE}, p AS (SELECT *, scale // 200 AS part FROM c) SELECT a.user_id, a.part, count(b.scale) AS pairs FROM p a LEFT JOIN p b ON a.user_id = b.user_id AND a.part = b.part AND a.scale < b.scale AND b.score < a.score GROUP BY ALL")
+@_query(f"WITH {_CURVE} SELECT a.user_id, count(b.scale) AS pairs FROM c a LEFT JOIN c b ON a.user_id = b.user_id AND a.scale < b.scale AND b.score < a.score GROUP BY ALL")
 def curve_inversions(spark, d):
-    return curves.non_monotone_pairs(_curve(spark, d).withColumn("part", F.floor(F.col("scale") / 200)), ["user_id", "part"], "scale", "score")
+    return curves.non_monotone_pairs(_curve(spark, d), ["user_id"], "scale", "score")
 
 
 @_query(f"""WITH {_CURVE}, b AS (SELECT user_id, scale x0, lead(scale) OVER w x1, score m0, lead(score) OVER w m1 FROM c WINDOW w AS (PARTITION BY user_id ORDER BY scale))
@@ -310,7 +325,8 @@ def corpus_dedupe(spark, d):
     return out.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_discount")
 
 
-@_query(r"""SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(url, '[^/]*$')), '\.[a-z0-9]+$', ''), '([ _.-]*(\(\d+\)|copy|edited|edit|export|small|large|web|~\d+))+$', '') AS stem FROM pages""")
+@_query(r"""WITH n AS (SELECT page_id, lower(regexp_extract(url, '[^/]*$')) n FROM pages),
+b AS (SELECT *, trim(regexp_replace(regexp_replace(n, '^(\.*[^.].*)\.[^.]*$', '\1'), '(?:[\s_\-]*(?:\(\d+\)|copy|\d{3,4}x\d{3,4}|small|large|hd)\s*)+$', '')) b FROM n) SELECT page_id, CASE WHEN b = '' THEN n ELSE b END AS stem FROM b""")
 def corpus_stem(spark, d):
     return _t(spark, d, "pages").select("page_id", text.stem(F.regexp_extract("url", "[^/]*$", 0)).alias("stem"))
 
@@ -368,7 +384,7 @@ def metric_pooled_norms(spark, d):
     return _rounded(metrics.pooled_norms(_pairs(spark, d), ["image"]), norm1=9, norm4=9)
 
 
-@_query(_PAIR + ", m AS (SELECT image, y, avg(abs(a - b)) n FROM q GROUP BY ALL), k AS (SELECT image, n, row_number() OVER (PARTITION BY image ORDER BY y) - 1 k FROM m) SELECT image, round(sum(n * (k + 1)::DOUBLE), 6) AS error, round(CASE WHEN sum(n * (k + 1)::DOUBLE) <= 0 THEN 100 ELSE 100 - 10 * pow(sum(n * (k + 1)::DOUBLE), 0.6276) END, 6) AS score FROM k GROUP BY 1")
+@_query(_PAIR + ", m AS (SELECT image, y, avg(abs(a - b)) n FROM q GROUP BY ALL), k AS (SELECT image, n, row_number() OVER (PARTITION BY image ORDER BY y) - 1 k FROM m) SELECT image, round(e, 6) AS error, round(CASE WHEN y > 0 THEN 100 - 10 * pow(y, 0.6276336467831387::DOUBLE) ELSE 100 END, 6) AS score FROM (SELECT *, 6.248496625763138e-5 * x * x * x + 2.326765642916932::DOUBLE * x - 0.020884521182843837::DOUBLE * x * x AS y FROM (SELECT image, sum(n * (k + 1)::DOUBLE) AS e, e * 0.9562382616834844::DOUBLE AS x FROM k GROUP BY 1))")
 def metric_weighted_error(spark, d):
     rows = metrics.pooled_norms(_pairs(spark, d), ["image", "y"])
     weights = spark.createDataFrame([(k, float(k + 1)) for k in range(8)], "k int, weight double")
@@ -451,7 +467,8 @@ def raster_laplacian(spark, d):
 @_query(f"""WITH {_PIX}, b AS (SELECT u, x, CASE WHEN u = 0 THEN 1.0::DOUBLE ELSE sqrt(2.0::DOUBLE) END * cos((2 * x + 1) * u * pi() / 16) / 8 AS c FROM range(8) t(u), range(8) s(x))
 SELECT image, r.u::INT AS u, q.u::INT AS w, round(sum(v * r.c * q.c), 7) + 0.0 AS coefficient FROM p JOIN b r ON r.x = p.x JOIN b q ON q.x = p.y GROUP BY ALL""")
 def raster_dct8(spark, d):
-    return raster.dct(_pixels(spark, d), 8).withColumn("coefficient", F.round("coefficient", 7) + 0.0)
+    out = raster.dct_blocks(_t(spark, d, "embeddings"), "vec_id", "embedding", 8)
+    return out.withColumn("coefficient", F.round("coefficient", 7) + 0.0)
 
 
 @_query(f"WITH {_PIX} SELECT image, x, y, round(v, 6) + 0.0 AS v FROM p")
@@ -527,9 +544,17 @@ def raster_self_correcting(spark, d):
     return sequences.self_correcting(_integers(spark, d))
 
 
-@_query()
+_TAPS = sequences.blur_taps()
+
+
+def _blurred(v: str, along: str, of: str) -> str:
+    near = " + ".join(f"{t!r}::DOUBLE * (coalesce(lag({v}, {k}) OVER w, 0) + coalesce(lead({v}, {k}) OVER w, 0))" for k, t in enumerate(_TAPS) if k)
+    return f"SELECT image, x, y, {_TAPS[0]!r}::DOUBLE * {v} + {near} AS v FROM {of} WINDOW w AS (PARTITION BY image, {'y' if along == 'x' else 'x'} ORDER BY {along})"
+
+
+@_query(f"WITH {_PIX}, h AS ({_blurred('v', 'x', 'p')}), b AS ({_blurred('v', 'y', 'h')}) SELECT image, x, y, round(v, 9) + 0.0 AS v FROM b")
 def raster_blur(spark, d):
-    return _rounded(sequences.blur(_pixels(spark, d)), v=9)
+    return sequences.blur(_pixels(spark, d)).withColumn("v", F.round("v", 9) + 0.0)
 
 
 # Entropy
@@ -538,7 +563,7 @@ def raster_blur(spark, d):
 
 @_query("""WITH h AS (SELECT lang, hex(encode(text)) AS h FROM documents WHERE length(text) > 0), v AS (SELECT lang, ('0x' || substr(h, 2 * k + 1, 2))::INT AS value FROM (SELECT lang, h, unnest(range(0, length(h) // 2)) AS k FROM h)) SELECT lang, value, count(*) n FROM v GROUP BY ALL""")
 def entropy_census(spark, d):
-    return entropy.census(entropy.byte_rows(_t(spark, d, "documents"), ["lang"], "text"), ["lang"], "value")
+    return entropy.byte_census(_t(spark, d, "documents"), ["lang"], "text")
 
 
 @_query("WITH c AS (SELECT l_returnflag, l_quantity::BIGINT AS value, count(*) n FROM lineitem GROUP BY ALL) SELECT l_returnflag, sum(n)::BIGINT AS symbols, round(sum(n) * log2(sum(n)) - sum(n * log2(n)) + sum(n * (value % 4)), 4) AS bits FROM c GROUP BY 1")
@@ -564,15 +589,16 @@ def entropy_pack_signed(spark, d):
 
 @_query()
 def entropy_huffman(spark, d):
-    counts = entropy.census(entropy.byte_rows(_t(spark, d, "documents"), ["lang"], "text"), ["lang"], "value")
+    counts = entropy.byte_census(_t(spark, d, "documents"), ["lang"], "text")
     return entropy.canonical_codes(entropy.huffman_lengths(counts, ["lang"], "value"), ["lang"], "value")
 
 
-@_query("""WITH c AS (SELECT l_returnflag, l_quantity::BIGINT AS value, count(*) n FROM lineitem GROUP BY ALL), p AS (SELECT *, greatest(1, floor(n * 4096.0::DOUBLE / sum(n) OVER (PARTITION BY l_returnflag))) p, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, value) r FROM c)
-SELECT l_returnflag, value, n, (p + CASE WHEN r = 1 THEN 4096 - sum(p) OVER (PARTITION BY l_returnflag) ELSE 0 END)::BIGINT AS p FROM p""")
+@_query("""WITH c AS (SELECT l_returnflag, l_quantity::BIGINT AS value, count(*) n FROM lineitem GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY l_returnflag)::BIGINT t FROM c),
+p AS (SELECT *, greatest(1, n * 4096 // t) p, row_number() OVER (PARTITION BY l_returnflag ORDER BY (n * 4096) % t DESC, value) r FROM t)
+SELECT l_returnflag, value, n, (p + CASE WHEN r <= 4096 - sum(p) OVER (PARTITION BY l_returnflag) THEN 1 ELSE 0 END)::BIGINT AS p FROM p""")
 def entropy_normalised(spark, d):
     c = entropy.census(_t(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("bigint").alias("value")), ["l_returnflag"], "value")
-    return entropy.normalised(c, ["l_returnflag"], "value").withColumn("p", F.col("p").cast("bigint"))
+    return entropy.normalised(c, ["l_returnflag"], "value")
 
 
 @_query()
@@ -623,7 +649,7 @@ def model_knn(spark, d):
     means = e.select("label", F.posexplode("embedding").alias("pos", "v")).groupBy("label", "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
     cases = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x.v).alias("embedding"))
     cases = cases.select(F.col("label").alias("case"), "label", "embedding", F.col("label").cast("double").alias("value"))
-    out = models.nearest_cases(e, cases, "vec_id", "case", "embedding", "value", [1.0] * 64, 3, 1.1, 1e-6, F.col("label") == F.col("_label"))
+    out = models.nearest_cases(e, cases, "vec_id", "case", "embedding", "value", [1.0] * 64, 3, 1.1, 1e-6, "label")
     return _rounded(out, prediction=5, distance=6)
 
 
@@ -648,7 +674,7 @@ def model_quantile_reg(spark, d):
 @_query()
 def model_logistic(spark, d):
     rows = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id").select("source", F.ln(F.col("n_chars") + 1.0).alias("size"), "quality")
-    return models.grouped_fit(rows, ["source"], ["size"], "quality", models.fit_logistic)
+    return models.logistic(rows, ["source"], ["size"], "quality")
 
 
 @_query()
@@ -657,10 +683,16 @@ def model_grouped_cv(spark, d):
     return models.cross_validated(rows, "fold", 5, ["l_quantity", "l_discount"], "l_extendedprice").withColumn("rmse", F.round("rmse", 4))
 
 
-@_query()
+@_query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 k FROM events), p AS (SELECT a.user_id, a.k // 2 rep, b.value / a.value ratio FROM r a JOIN r b ON a.user_id = b.user_id AND a.k % 2 = 0 AND b.k = a.k + 1 WHERE a.value <> 0),
+s AS (SELECT user_id, list(ratio ORDER BY rep) s, count(*) n FROM p WHERE ratio IS NOT NULL GROUP BY 1), d AS (SELECT user_id, n, s, unnest(range(1, 101)) d FROM s WHERE n >= 3),
+m AS (SELECT user_id, list_aggregate(list_transform(range(1, n + 1), lambda i: s[('0x' || substr(md5('7:' || d || ':' || i), 1, 12))::BIGINT % n + 1]), 'median') m FROM d), e AS (SELECT user_id, list(m ORDER BY m) m FROM m GROUP BY 1)
+SELECT user_id, n AS pairs, round(list_aggregate(s, 'median'), 9) AS ratio, round(m[3], 9) AS low, round(m[98], 9) AS high, CASE WHEN m[98] < 1 THEN 'FASTER' WHEN m[3] > 1 THEN 'SLOWER' ELSE 'INCONCLUSIVE' END AS verdict FROM s LEFT JOIN e USING (user_id)""")
 def ab_bootstrap(spark, d):
-    e = _t(spark, d, "events").select("event_type", "event_id", "value", (F.col("value") * (0.9 + (F.col("event_id") % 5) / 20.0)).alias("other"))
-    return models.bootstrap(e, ["event_type"], "other", "value", 200)
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    runs = _t(spark, d, "events").select("user_id", "value", k.alias("k"))
+    runs = runs.select("user_id", "value", F.floor(F.col("k") / 2).alias("rep"), F.when(F.col("k") % 2 == 0, "base").otherwise("new").alias("arm"))
+    pairs = models.paired(runs, ["user_id"], "arm", "base", "rep", "value")
+    return _rounded(models.bootstrap(pairs, ["user_id"], "ratio", ["rep"], 100), ratio=9, low=9, high=9)
 
 
 # Plans over priced ladders

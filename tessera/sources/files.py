@@ -10,7 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tessera.operators.order import prefix_sums
 
 # How a naked codestream and a container begin.
 CODESTREAM = bytes.fromhex("FF0A")
@@ -31,9 +32,9 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def offsets(df: DataFrame, by: Sequence[str], order: Sequence[str], length: str, name: str) -> DataFrame:
-    """Sum of the lengths before each section."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(length).over(w), F.lit(0)).cast("bigint"))
+    """Sum of the lengths before each section, in two levels: a file with very many sections is no single task."""
+    out = prefix_sums(df, by, [F.col(c) for c in order], {name: F.col(length)})
+    return out.withColumn(name, F.col(name).cast("bigint")).drop(f"{name}_all")
 
 
 def parse_boxes(data: bytes) -> list[tuple[int, str, int, bytes]]:
