@@ -174,6 +174,16 @@ def blend(mode: Column, old: Column, new: Column, old_alpha: Column, new_alpha:
     return F.when(mode == "replace", new).when(mode == "add", old + new).when(mode == "mul", old * unit(new)).when(mode == "muladd", old + a * new).when(mode == "blend", over)
 
 
+def patch_blend(mode: Column, old: Column, new: Column, alpha: Column) -> Column:
+    """none, replace, add, mul, and over and weighted sums with either of the two on top."""
+    over, under = old + alpha * (new - old), new + alpha * (old - new)
+    made = {"none": old, "replace": new, "add": old + new, "mul": old * new, "blend_above": over, "blend_below": under, "muladd_above": old + alpha * new, "muladd_below": new + alpha * old}
+    out = F.lit(None).cast("double")
+    for name, value in made.items():
+        out = F.when(mode == name, value).otherwise(out)
+    return out
+
+
 def orient(orientation: Column, x: Column, y: Column, width: Column, height: Column) -> tuple[Column, Column]:
     """Where a sample goes under the eight orientations 1 .. 8."""
     fx, fy = width - 1 - x, height - 1 - y

@@ -34,16 +34,26 @@ def crossing_state(df: DataFrame, by: Sequence[str], x: Sequence[str], score: st
     return out.select(*by, "points", state.alias("state"), F.col("h.x").alias("x"), F.col("h.s").alias("score"), F.col("h.px").alias("below_x"), F.col("h.ps").alias("below_score"))
 
 
-def log_loss_crossing(below_x: Column, below: Column, above_x: Column, above: Column, target: float, least: float = 1e-3) -> Column:
-    """x at which the straight line of ln x over ln loss meets the target's loss, kept between both points.
+def log_loss_crossing(below_x: Column, below: Column, above_x: Column, above: Column, target: float | Column, least: float = 1e-3) -> Column:
+    """x at which the straight line of ln loss over ln x meets the target's loss, kept between both points.
 
-    The loss is max(100 - score, 1e-3); if both losses are equal, the middle in ln x.
+    The loss is max(100 - score, 1e-3); where it does not fall from the first to the second point, the middle in ln x.
     """
     loss = lambda s: F.ln(F.greatest(F.lit(100.0) - s, F.lit(least)))
-    a, b, t = loss(below), loss(above), loss(F.lit(float(target)))
+    a, b, t = loss(below), loss(above), loss(target if isinstance(target, Column) else F.lit(float(target)))
     lx, hx = F.ln(below_x), F.ln(above_x)
-    at = F.when(F.abs(b - a) < 1e-12, (lx + hx) / 2).otherwise(lx + (hx - lx) * (t - a) / F.when(b != a, b - a))
-    return F.exp(F.greatest(F.least(at, F.greatest(lx, hx)), F.least(lx, hx)))
+    at = F.when((b >= a) | (hx <= lx), (lx + hx) / 2).otherwise(F.greatest(F.least(lx + (hx - lx) * (t - a) / F.when(b != a, b - a), hx), lx))
+    return F.exp(at)
+
+
+def inner_crossing(low_rung: Column, low_x: Column, low: Column, high_rung: Column, high_x: Column, high: Column, aim: Column, rung_of) -> Column:
+    """Rung at which the line of ln loss over ln x meets the aim, strictly between two rungs; null if they are neighbours
+    or the loss does not fall. rung_of gives the rung of an x."""
+    y0, y1, t = (F.ln(F.greatest(F.lit(100.0) - s, F.lit(1e-3))) for s in (low, high, aim))
+    x0, x1 = F.ln(low_x), F.ln(high_x)
+    ordered = (y1 < y0) & (x1 > x0) & (high_rung > low_rung + 1)
+    x = F.exp(x0 + (t - y0) * (x1 - x0) / F.when(y1 != y0, y1 - y0))
+    return F.when(ordered, F.least(F.greatest(rung_of(x), low_rung + 1), high_rung - 1))
 
 
 def brackets(df: DataFrame, by: Sequence[str], x: str, y: Sequence[str]) -> DataFrame:
@@ -101,6 +111,13 @@ def log_loss(score: Column, least: float = 1e-3) -> Column:
     return F.ln(F.greatest(F.lit(100.0) - score, F.lit(least)))
 
 
+def score_at(targets: DataFrame, curve: DataFrame, by: Sequence[str], target: str, x: str, score: str) -> DataFrame:
+    """targets with score_at: the curve's score at x on lines of ln loss over ln x, the end points' beyond them."""
+    lossy = curve.select(*by, x, log_loss(F.col(score)).alias("_l"))
+    out = as_of(targets, lossy, by, target, x, "_l")
+    return out.withColumn("score_at", 100 - F.exp("_l_at")).drop("_l_at")
+
+
 def segment_slopes(df: DataFrame, by: Sequence[str], x: str, score: str) -> DataFrame:
     """Differences of ln x over differences of ln loss of adjacent points of the curve's running maximum, where the loss differs."""
     w = Window.partitionBy(*by).orderBy(x)

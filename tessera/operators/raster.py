@@ -271,6 +271,62 @@ def palette_lookup(df: DataFrame, table: DataFrame, index: str, bits: int, colou
     return out.withColumn("value", value).drop("_i", "_c", "_value")
 
 
+# Weights of the middle, the sides and the corners of the low-frequency smoothing.
+SMOOTH_MIDDLE, SMOOTH_SIDE, SMOOTH_CORNER = 0.052262735, 0.2034514, 0.03348292
+
+
+def adaptive_smoothing(df: DataFrame, planes: Sequence[str], steps: Sequence[float]) -> DataFrame:
+    """Rows (image, x, y and planes) smoothed by a 3 x 3 mean where no plane moves by much against its step.
+
+    The share falls from 1 to 0 as the largest move grows from half a step to three quarters; samples at the border stay.
+    """
+    row, col = Window.partitionBy("image", "y").orderBy("x"), Window.partitionBy("image", "x").orderBy("y")
+    rows = whole_images(df).withColumns({p: F.col(p).cast("double") for p in planes})
+    rows = rows.withColumns({f"_h_{p}": F.lag(p).over(row) + F.lead(p).over(row) for p in planes})
+    mean = lambda p: SMOOTH_MIDDLE * F.col(p) + SMOOTH_SIDE * (F.col(f"_h_{p}") + F.lag(p).over(col) + F.lead(p).over(col)) + SMOOTH_CORNER * (F.lag(f"_h_{p}").over(col) + F.lead(f"_h_{p}").over(col))
+    rows = rows.withColumns({f"_m_{p}": mean(p) for p in planes})
+    gap = F.greatest(F.lit(0.5), *[F.abs(F.col(f"_m_{p}") - F.col(p)) / s for p, s in zip(planes, steps, strict=True)])
+    share = F.greatest(3 - 4 * gap, F.lit(0.0))
+    return rows.select("image", "x", "y", *[F.when(F.col(f"_m_{p}").isNull(), F.col(p)).otherwise((F.col(f"_m_{p}") - F.col(p)) * share + F.col(p)).alias(p) for p in planes])
+
+
+def plane_at(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (image, x, y) with v, 0 where the plane has no such sample."""
+    return wanted.join(df.select("image", "x", "y", "v"), ["image", "x", "y"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
+
+
+def interleave(df: DataFrame, channels: int) -> DataFrame:
+    """image and values: the samples (image, c, x, y, v) of all channels place after place."""
+    rows = df.where(F.col("c") < channels)
+    return rows.groupBy("image").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "c", "v"))), lambda e: e.v).alias("values"))
+
+
+def deinterleave(df: DataFrame, image: str, values: str, width: int, channels: int) -> DataFrame:
+    """image, c, x, y, v of arrays that hold the channels place after place."""
+    rows = df.select(F.col(image).alias("image"), F.posexplode(values).alias("_k", "v"))
+    place = F.floor(F.col("_k") / channels)
+    return rows.select("image", (F.col("_k") % channels).alias("c"), (place % width).cast("int").alias("x"), F.floor(place / width).cast("int").alias("y"), "v")
+
+
+def with_tile(df: DataFrame, tiles_: DataFrame, side: int, columns: Sequence[str]) -> DataFrame:
+    """Rows (image, x, y, ...) with columns of their tile (image, ty, tx); rows without one get nulls."""
+    keyed = df.withColumn("ty", F.floor(F.col("y") / side).cast("int")).withColumn("tx", F.floor(F.col("x") / side).cast("int"))
+    return keyed.join(tiles_.select("image", "ty", "tx", *columns), ["image", "ty", "tx"], "left").drop("ty", "tx")
+
+
+def apply_patches(canvas: DataFrame, reference: DataFrame, patches: DataFrame) -> DataFrame:
+    """Canvas rows (image, x, y, v) with patches blended onto them.
+
+    A patch (image, slot, x0, y0, width, height, at_x, at_y, mode, alpha) takes a rectangle of the reference (image, slot,
+    x, y, v) to a place. Patches of a layer do not overlap; layers are applied one after the other.
+    """
+    r = reference.select("image", "slot", F.col("x").alias("_rx"), F.col("y").alias("_ry"), F.col("v").alias("_new"))
+    moved = patches.join(r, ["image", "slot"]).where("_rx >= x0 and _rx < x0 + width and _ry >= y0 and _ry < y0 + height")
+    moved = moved.select("image", (F.col("_rx") - F.col("x0") + F.col("at_x")).alias("x"), (F.col("_ry") - F.col("y0") + F.col("at_y")).alias("y"), "_new", "mode", "alpha")
+    out = canvas.join(moved, ["image", "x", "y"], "left")
+    return out.select("image", "x", "y", F.when(F.col("_new").isNull(), F.col("v")).otherwise(pixel.patch_blend(F.col("mode"), F.col("v"), F.col("_new"), F.col("alpha"))).alias("v"))
+
+
 def composite(canvas: DataFrame, frame: DataFrame, mode: str, x: int, y: int) -> DataFrame:
     """A frame blended onto a canvas at a place; samples outside the frame keep the canvas', a missing one is 0."""
     moved = frame.select("image", (F.col("x") + x).alias("x"), (F.col("y") + y).alias("y"), F.col("v").alias("_new"), F.col("alpha").alias("_a"))

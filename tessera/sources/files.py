@@ -90,6 +90,54 @@ def codestreams(box_rows: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.aggregate(ordered, F.lit(bytearray(b"")), lambda a, b: F.concat(a, b)).alias("content"))
 
 
+def metadata(box_rows: DataFrame, kinds: Sequence[str] = ("Exif", "xml ", "jumb", "brob", "jxli", "jbrd")) -> DataFrame:
+    """path, position, type and body of metadata boxes: an Exif body without the four bytes of its offset, the inner type of
+    a compressed box in type_inside."""
+    rows = box_rows.where(F.col("type").isin(*kinds))
+    inner = F.when(F.col("type") == "brob", F.decode(F.substring("payload", 1, 4), "US-ASCII"))
+    skip = F.col("type").isin("Exif", "brob")
+    return rows.select("path", "position", "type", inner.alias("type_inside"), F.when(skip, F.expr("substring(payload, 5)")).otherwise(F.col("payload")).alias("body"))
+
+
+def section_kinds(frames: DataFrame, keys: Sequence[str], lf_groups: str = "lf_groups", groups: str = "groups", passes: str = "passes") -> DataFrame:
+    """keys, section, kind, number, pass of each section of a frame: one for all if it has one group and pass, else the
+    global one, the low-frequency groups, the global one of high frequencies, and the groups of each pass."""
+    lf, g, p = F.col(lf_groups), F.col(groups), F.col(passes)
+    single = (g == 1) & (p == 1)
+    rows = frames.select(*keys, lf.alias("_l"), g.alias("_g"), single.alias("_one"), F.explode(F.sequence(F.lit(0), F.when(single, 0).otherwise(1 + lf + g * p))).alias("section"))
+    at, l = F.col("section"), F.col("_l")
+    beyond = at - l - 2
+    kind = F.when(F.col("_one"), "everything").when(at == 0, "lf_global").when(at <= l, "lf_group").when(at == l + 1, "hf_global").otherwise("pass_group")
+    number = F.when(kind == "lf_group", at - 1).when(kind == "pass_group", beyond % F.col("_g"))
+    return rows.select(*keys, "section", kind.alias("kind"), number.alias("number"), F.when(kind == "pass_group", F.floor(beyond / F.col("_g"))).alias("pass"))
+
+
+def section_bytes(sections: DataFrame, by: Sequence[str], kind: str, length: str) -> DataFrame:
+    """by, kind, bytes: the sections' lengths by kind."""
+    return sections.groupBy(*by, kind).agg(F.sum(length).alias("bytes"))
+
+
+def group_rect(index: Column, width: Column, height: Column, side: int) -> Column:
+    """Struct x, y, width, height of a group of an image in raster order, cut off at its border; null beyond it."""
+    across = F.ceil(width / side)
+    x, y = (index % across) * side, F.floor(index / across) * side
+    return F.when((index >= 0) & (y < height), F.struct(x.alias("x"), y.alias("y"), F.least(width - x, F.lit(side)).alias("width"), F.least(height - y, F.lit(side)).alias("height")))
+
+
+def section_slice(content: Column, offset: Column, length: Column) -> Column:
+    """The bytes of a section; null if it reaches beyond the content."""
+    return F.when(offset + length <= F.octet_length(content), F.substr(content, (offset + 1).cast("int"), length.cast("int")))
+
+
+def profile_context(position: Column, before: Column, twice_before: Column) -> Column:
+    """Context of a byte of a colour profile: 0 up to position 128, then by the classes of the two bytes before."""
+    letter = lambda b: b.between(65, 90) | b.between(97, 122)
+    digit = lambda b: b.between(48, 57) | b.isin(44, 46)
+    first = F.when(letter(before), 0).when(digit(before), 1).when(before <= 1, 2 + before).when(before < 16, 4).when(before.between(241, 254), 5).when(before == 255, 6).otherwise(7)
+    second = F.when(letter(twice_before), 0).when(digit(twice_before), 1).when(twice_before < 16, 2).when(twice_before > 240, 3).otherwise(4)
+    return F.when(position <= 128, 0).otherwise(1 + first + 8 * second)
+
+
 def box(kind: str, payload: Column) -> Column:
     """A box around a payload."""
     return F.concat(F.unhex(F.lpad(F.hex(F.length(payload) + 8), 8, "0")), F.lit(bytearray(kind.encode("latin-1"))), payload)
