@@ -3,37 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import discard, new_path, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where that is unset in local mode, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage ends there, and a lost executor costs no earlier stage."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["broadcast_if_few", "discard", "new_path", "shared_dir", "skew_join", "small_batches", "stored"]
 
 
 @contextlib.contextmanager
@@ -70,13 +47,3 @@ def skew_join(left: DataFrame, right: DataFrame, on: str, n: str = "n", most: in
     marked = left.join(F.broadcast(right.where(hot).drop(n).withColumn("_hot", F.lit(True))), on, "left")
     rest = marked.where("_hot is null").select(*left.columns).join(right.where(~hot).drop(n), on, "left")
     return marked.where("_hot").drop("_hot").unionByName(rest)
-
-
-def discard(df: DataFrame) -> None:
-    """Removes the files of a table that stored() made and no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

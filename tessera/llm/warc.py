@@ -1,4 +1,4 @@
-"""WARC archives: a writer with revisit records and a reader that salvages damaged files."""
+"""WARC archives: a writer of .warc.gz files with revisit records, and a reader that salvages damaged files."""
 
 from __future__ import annotations
 
@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import new_path, stored
+from tessera.llm.shared import new_path, skew_join, stored
 
 VERSION = b"WARC/1.1"
 START = re.compile(rb"WARC/\d\.\d\r\n")
 MEMBER = b"\x1f\x8b\x08"
 #: Compressed bytes taken at once.
 STEP = 1 << 14
+#: Longest header of a record; a longer one is damage.
+MOST_HEADER = 1 << 20
 EMPTY_DIGEST = base64.b32encode(hashlib.sha1(b"").digest()).decode()
 
 #: Damage: what stands between two valid records, or a record that failed a check.
@@ -45,15 +47,16 @@ def with_record_types(pages: DataFrame, id_col: str = "page_id", url_col: str =
     The payload is the body in UTF-8, null is empty. Of rows with equal payloads of at least least bytes, the one with
     the smallest id is the response, and the others are revisits that refer to it; shorter payloads are all responses.
     Ids must be unique: of equal smallest ids, all are responses. A null id never is the smallest unless all are null.
-    Equal payloads are found by digest and length; their smallest id is pre-aggregated before the shuffle, and the
-    payloads themselves are not shuffled for it, so a page copied into a third of the rows is no hot group.
+    Equal payloads are found by digest and length; their smallest id is pre-aggregated before the shuffle. A page copied
+    into a third of the rows gets it by broadcast, so its payloads do not meet in one task. Other columns are not read; an
+    empty table stays empty.
     """
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("_sha", F.sha1("payload"))
-    first = rows.groupBy("_sha", "payload_bytes").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where((F.col("_n") > 1) & (F.col("payload_bytes") >= least))
-    # Only digests met twice or more are joined; stored, their size is known, and payloads move only if they are many.
-    out = rows.join(stored(first, "repeats"), ["_sha", "payload_bytes"], "left")
+    rows = rows.withColumn("_key", F.concat_ws(":", "_sha", "payload_bytes"))
+    first = rows.where(F.col("payload_bytes") >= least).groupBy("_key").agg(F.min("page_id").alias("_first"), F.count("*").alias("n")).where("n > 1")
+    out = skew_join(rows, stored(first, "repeats"), "_key")
     revisit = F.col("_first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("_first")))
     return out.select("page_id", "url", "payload", "payload_bytes", "_sha", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
 
@@ -62,41 +65,59 @@ def _base32(hexadecimal: str) -> str:
     return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
 
-def archive_files(typed: DataFrame, gzipped: bool = True, most: int = 64 << 20) -> DataFrame:
-    """typed (of with_record_types) as archive files of about most bytes: name, content.
+ARCHIVES = "name string, bytes bigint, records bigint"
 
-    Files are cut inside each partition; every record is a gzip member of its own if gzipped. Revisits carry no payload.
+
+def archive_files(typed: DataFrame, path: str, gzipped: bool = True, most: int = 64 << 20) -> DataFrame:
+    """Writes typed (of with_record_types) as archive files of about most bytes below path: name, bytes, records of each.
+
+    A task writes its files to a folder of its attempt and moves that to its own place when it is done, in place of what an
+    earlier attempt left; so a task that is run again leaves no record twice. Every record is a gzip member of its own if
+    gzipped. Revisits carry no payload. path is on a file system that pyarrow opens: local or mounted, HDFS, S3, GCS.
     """
 
     def files(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
         from pyspark import TaskContext
 
-        part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{made:05d}.warc{'.gz' * gzipped}"]), pa.array([b"".join(held)], pa.binary())], names=["name", "content"])
-
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        system, root = fs.FileSystem.from_uri(path)
+        own, done = f"{root}/_attempts/{part:05d}-{attempt}", f"{root}/part-{part:05d}"
+        made: list[tuple[str, int, int]] = []
+        out, size, records = None, 0, 0
         for batch in parts:
             for page, url, payload, sha, kind, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "_sha", "record_type", "refers_to")), strict=True):
                 record = _record(kind, "none" if page is None else str(page), url or "", _base32(sha), "" if refers is None else str(refers), payload if kind == "response" else b"")
-                held.append(gzip.compress(record, 4, mtime=0) if gzipped else record)
-                size += len(held[-1])
+                record = gzip.compress(record, 4, mtime=0) if gzipped else record
+                if out is None:
+                    system.create_dir(own, recursive=True)
+                    name = f"{len(made):05d}.warc{'.gz' * gzipped}"
+                    out, size, records = system.open_output_stream(f"{own}/{name}", compression=None), 0, 0
+                out.write(record)
+                size, records = size + len(record), records + 1
                 if size >= most:
-                    yield full()
-                    made, held, size = made + 1, [], 0
-        if held:
-            yield full()
+                    out.close()
+                    made.append((f"part-{part:05d}/{name}", size, records))
+                    out = None
+        if out is not None:
+            out.close()
+            made.append((f"part-{part:05d}/{name}", size, records))
+        if made:
+            if system.get_file_info(done).type != fs.FileType.NotFound:
+                system.delete_dir(done)
+            system.move(own, done)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True) if made else ([], [], []), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["name", "bytes", "records"])
 
-    return typed.select("page_id", "url", "payload", "_sha", "record_type", "refers_to").mapInArrow(files, "name string, content binary")
+    return typed.select("page_id", "url", "payload", "_sha", "record_type", "refers_to").mapInArrow(files, ARCHIVES)
 
 
 def write_archives(typed: DataFrame, path: str | None = None, gzipped: bool = True, most: int = 16 << 20) -> str:
-    """Writes the archives of typed to a folder that Spark's own file systems reach, and gives its path.
+    """Writes the archives of typed to a folder (a new one in the shared folder by default) and gives its path.
 
-    Each task writes its files through a table with a row for each file, so a task that is run again leaves no copy.
+    A list of the files is kept beside them, in _files.
     """
     path = path or new_path(typed.sparkSession, "warc")
-    archive_files(typed, gzipped, most).write.parquet(path)
+    archive_files(typed, path, gzipped, most).write.parquet(f"{path}/_files")
     return path
 
 
@@ -113,7 +134,7 @@ def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
     """The record at a place: where it ends, its fields and payload; or which check it failed."""
     if not START.match(data, at):
         return "no version line"
-    split = data.find(b"\r\n\r\n", at)
+    split = data.find(b"\r\n\r\n", at, at + MOST_HEADER)
     if split < 0:
         return "header without end"
     if START.search(data, at + 8, split):
@@ -217,8 +238,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str],
         yield gap, at - gap, why, {}, b""
 
 
-def read_archives(files: DataFrame, path_col: str = "name", content_col: str = "content") -> DataFrame:
-    """Records and quarantined gaps of archive files (one in a row, as of write_archives or Spark's binaryFile reader).
+def read_archives(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """Records and quarantined gaps of archive files, one in a row, as Spark's binaryFile reader gives them (2 GB at most).
 
     A gap has problem set and record columns null; a record has problem null. Null or empty contents give no rows.
     """
@@ -246,8 +267,9 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder that write_archives made."""
-    return spark.read.schema("name string, content binary").parquet(path)
+    """path and content of the archives below a folder, whoever made them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{warc,warc.gz}")
+    return files.load(path).select("path", "content")
 
 
 def resolved(records: DataFrame) -> DataFrame:
@@ -259,6 +281,7 @@ def resolved(records: DataFrame) -> DataFrame:
     whole = records.where(F.col("problem").isNull())
     sized = whole.select(F.expr("try_cast(record_id as bigint)").alias("page_id"), F.length("payload").cast("long").alias("_n"), "payload_digest", "record_type", F.expr("try_cast(refers_to as bigint)").alias("refers_to"))
     sized = stored(sized, "records")
-    met = sized.where("record_type = 'revisit'").select("payload_digest").distinct()
-    lengths = sized.where("record_type = 'response'").join(met, "payload_digest", "left_semi").groupBy("payload_digest").agg(F.max("_n").alias("_of"))
-    return sized.join(lengths, "payload_digest", "left").select("page_id", F.when(F.col("record_type") == "revisit", F.col("_of")).otherwise(F.col("_n")).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    # Revisits are joined to the lengths by digest; one that very many share is broadcast.
+    lengths = sized.groupBy("payload_digest").agg(F.max(F.when(F.col("record_type") == "response", F.col("_n"))).alias("_of"), F.count_if(F.col("record_type") == "revisit").alias("n")).where("n > 0 and _of is not null")
+    out = skew_join(sized, stored(lengths, "lengths"), "payload_digest")
+    return out.select("page_id", F.when(F.col("record_type") == "revisit", F.col("_of")).otherwise(F.col("_n")).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

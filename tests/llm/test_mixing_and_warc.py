@@ -57,6 +57,9 @@ def test_archives_come_back_whole(spark):
     d = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, payload string")
     for gz in (True, False):
         path = warc.write_archives(warc.with_record_types(d), gzipped=gz, most=4096)
+        names = [r.path for r in warc.read_folder(spark, path).select("path").collect()]
+        assert names and all(n.endswith(".warc.gz" if gz else ".warc") for n in names)
+        assert spark.read.parquet(f"{path}/_files").agg(F.sum("records")).first()[0] == len(pages) and spark.read.parquet(f"{path}/_files").count() == len(names)
         records = warc.read_archives(warc.read_folder(spark, path))
         assert records.where("problem is not null").count() == 0
         got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.resolved(records).collect()}
@@ -65,7 +68,8 @@ def test_archives_come_back_whole(spark):
         assert got == {i: (len((t or "").encode()), digest(t), "revisit" if i in refers else "response", refers.get(i)) for i, _, t in pages}
     least = warc.with_record_types(d, least=1)
     assert {r.page_id for r in least.where("record_type = 'revisit'").collect()} == {2}
-    assert warc.resolved(warc.read_archives(warc.read_folder(spark, warc.write_archives(warc.with_record_types(d.limit(0)))))).count() == 0
+    empty = warc.write_archives(warc.with_record_types(d.limit(0)))
+    assert warc.resolved(warc.read_archives(warc.read_folder(spark, empty))).count() == 0
 
 
 def test_salvage_recovers_what_follows_damage():
