@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Each curve orders the vectors by the Hilbert index of a few projected coordinates, shifted and quantised. A curve's
-order is cut into blocks of equal share; a query goes to its own block and to the blocks beside it, is compared with
-their vectors exactly, and the best of all curves are merged.
+Each curve orders the vectors by the Hilbert index of a few projected coordinates, shifted and quantised. Vectors are
+scaled by the largest norm and get one coordinate more, which brings them to one sphere, and queries are turned to length
+1 with 0 there: so the nearest by inner product are the nearest on the sphere, whatever their norms. A curve's order is
+numbered exactly, and cut into blocks by these numbers; a query goes to the blocks around its own place, is compared with
+their vectors exactly, and the best of all curves are merged. Numbers, and so the results, do not depend on the files'
+or partitions' layout.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.shared import stored
+from tessera.operators.order import prefix_sums
 
 #: Curves, projected coordinates of each, bits of a coordinate.
-CURVES, COORDINATES, BITS = 4, 4, 12
+CURVES, COORDINATES, BITS = 6, 4, 12
 #: Share of a curve's order that a query sees, its own place in the middle.
-SHARE = 0.36
-#: Rows in a block about, and blocks of a curve at least.
-BLOCK, LEAST_BLOCKS = 4096, 16
+SHARE = 0.24
+#: Rows in a block at most, and blocks of a curve at least.
+BLOCK, LEAST_BLOCKS = 4096, 64
 #: Rows that the shifts and scales are fitted on; each row is indexed.
 SAMPLE = 4096
 
@@ -71,29 +76,35 @@ class Curves:
         self.shift = rng.random(curves * coordinates) * 0.25
         self.scale = ((1 << bits) - 1) / (1.25 * width)
 
-    def keys(self, vectors: np.ndarray) -> np.ndarray:
-        """curves x vectors; only the direction of a vector counts."""
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    def keys(self, points: np.ndarray) -> np.ndarray:
+        """curves x points of the sphere."""
         span = ((1 << self.bits) - 1) / 1.25
-        cell = np.clip((unit @ self.axes - self.low) * self.scale + self.shift * span, 0, (1 << self.bits) - 1).astype(np.int64)
+        cell = np.clip((points @ self.axes - self.low) * self.scale + self.shift * span, 0, (1 << self.bits) - 1).astype(np.int64)
         return np.stack([hilbert_index(cell[:, c * self.coordinates : (c + 1) * self.coordinates], self.bits) for c in range(self.curves)])
 
 
+def lifted(vectors: np.ndarray, largest: float) -> np.ndarray:
+    """Vectors over the largest norm, with the coordinate that makes their length 1."""
+    x = vectors / largest
+    return np.c_[x, np.sqrt(np.maximum(1 - (x * x).sum(axis=1), 0))]
+
+
+def turned(queries: np.ndarray) -> np.ndarray:
+    return np.c_[queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros(len(queries))]
+
+
 def _usable(rows: DataFrame, dim: int) -> DataFrame:
     """id and vector (its doubles as bytes) of rows that take part."""
 
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if v.is_valid and i is not None and len(v.values) == dim and not v.values.null_count:
-                    x = np.asarray(v.values, np.float64)
-                    if np.isfinite(x).all() and x.any():
-                        ids.append(i)
-                        out.append((x + 0.0).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "v"])
+            x = np.asarray(batch.column(1).flatten(), np.float64) + 0.0
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (8 * dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(x.tobytes())])], names=["id", "v"])
 
-    return rows.mapInArrow(check, "id bigint, v binary")
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    kept = rows.where(F.col("id").isNotNull() & (F.size("vector") == dim)).where(finite & F.exists("vector", lambda x: x != 0))
+    return kept.select("id", "vector").mapInArrow(pack, "id bigint, v binary")
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -107,10 +118,10 @@ def nearest(vectors: DataFrame, k: int = 20, query: F.Column | None = None, shar
     smaller id. Rows with a null id or vector, a null or non-finite component, only zeros, or another length than the
     most common take no part. Ids should be unique; of rows that repeat an id with the same vector one takes part. Equal
     vectors are one class with its k + 1 smallest ids, which is all that can be asked of it: a vector that very many rows
-    share is indexed, and searched for, once.
+    share is indexed, and searched for, once. Other columns are not read; an empty table gives no rows.
 
-    A query is compared with the vectors in share of each curve's order about its own place, so the work grows with
-    queries x rows x share; the recall that a share gives depends on the vectors and not on their number.
+    A query is compared with the vectors in share of each curve's order about its own place (at least 4 (k + 1) of them, so
+    that it finds k, or all of a small table), so the work grows with queries x rows x share; the recall that a share gives depends on the vectors and not on their number.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), (F.lit(True) if query is None else query).alias("asked"))
@@ -128,26 +139,36 @@ def nearest(vectors: DataFrame, k: int = 20, query: F.Column | None = None, shar
     total = classes.count()
     if not total:
         return empty
-    picked = classes.select("v").orderBy(F.md5("v")).limit(SAMPLE).collect()
-    sample = _matrix(pa.array([r.v for r in picked], pa.binary()), dim)
-    index = Curves(sample / np.linalg.norm(sample, axis=1, keepdims=True), curves, coordinates)
 
-    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def norms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                for c, key in enumerate(index.keys(_matrix(batch.column(1), dim))):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), batch.column(0), batch.column(1)], names=["curve", "key", "cid", "v"])
-
-    cuts = curves * max(LEAST_BLOCKS, -(-total // block))
-    ordered = classes.select("cid", "v").mapInArrow(keyed, "curve int, key bigint, cid bigint, v binary").repartitionByRange(cuts, "curve", "key", "cid").withColumn("block", F.spark_partition_id())
-    ordered = stored(ordered, "curves")
-    # Blocks of each curve, a row for each curve.
-    ends = ordered.groupBy("curve").agg(F.min("block").alias("low"), F.max("block").alias("high"), F.countDistinct("block").alias("n"))
-    half = F.ceil((F.col("n") * share - 1) / 2).cast("int")
-    first = F.greatest("low", F.least(F.col("block") - half, F.col("high") - 2 * half))
-    last = F.least("high", F.greatest(F.col("block") + half, F.col("low") + 2 * half))
-    seekers = ordered.join(queries.select("cid").distinct(), "cid", "left_semi").join(F.broadcast(ends), "curve")
-    seekers = seekers.select(F.col("curve").alias("on"), F.col("cid").alias("qid"), F.col("v").alias("q"), F.explode(F.sequence(first, last)).alias("at"))
+                yield pa.RecordBatch.from_arrays([pa.array([float(np.linalg.norm(_matrix(batch.column(0), dim), axis=1).max())])], names=["norm"])
+
+    largest = classes.select("v").mapInArrow(norms, "norm double").agg(F.max("norm").alias("norm")).first().norm
+    picked = classes.select("v").orderBy(F.md5("v")).limit(SAMPLE).collect()
+    index = Curves(lifted(_matrix(pa.array([r.v for r in picked], pa.binary()), dim), largest), curves, coordinates)
+
+    def keyed(place: Callable[[np.ndarray], np.ndarray], candidate: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    for c, key in enumerate(index.keys(place(_matrix(batch.column(1), dim)))):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), pa.array(np.full(len(key), candidate, np.int32)), batch.column(0), batch.column(1)], names=["curve", "key", "candidate", "cid", "v"])
+
+        return run
+
+    schema = "curve int, key bigint, candidate int, cid bigint, v binary"
+    seeking = classes.join(queries.select("cid").distinct(), "cid", "left_semi").select("cid", "v")
+    both = classes.select("cid", "v").mapInArrow(keyed(lambda x: lifted(x, largest), 1), schema).unionAll(seeking.mapInArrow(keyed(turned, 0), schema))
+    # before: how many candidates a curve has in front of a row.
+    placed = prefix_sums(both, ["curve"], [F.col("key"), F.col("candidate"), F.col("cid")], {"before": F.col("candidate")})
+    ordered = stored(placed.select("curve", "candidate", "cid", "v", "before"), "curves")
+    size = min(block, -(-total // LEAST_BLOCKS))
+    width = min(total, max(math.ceil(total * share), 4 * (k + 1)))
+    low = F.least(F.greatest(F.col("before") - width // 2, F.lit(0)), F.lit(total - width))
+    span = F.sequence(F.floor(low / size).cast("int"), F.floor((low + width - 1) / size).cast("int"))
+    seekers = ordered.where("candidate = 0").select(F.col("curve").alias("on"), F.col("cid").alias("qid"), F.col("v").alias("q"), F.explode(span).alias("at"))
 
     def search(own: pa.Table, others: pa.Table) -> pa.Table:
         if not own.num_rows or not others.num_rows:
@@ -168,7 +189,7 @@ def nearest(vectors: DataFrame, k: int = 20, query: F.Column | None = None, shar
     # Queries of a block come in parts of bounded size; each part meets the block's vectors.
     parts = max(1, -(-int(queries.count() * share) // 20_000))
     seekers = seekers.withColumn("of", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int"))
-    blocks = ordered.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("curve", "block", "part", "cid", "v")
+    blocks = ordered.where("candidate = 1").select("curve", F.floor(F.col("before") / size).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "cid", "v")
     found = blocks.groupBy("curve", "block", "part").cogroup(seekers.groupBy("on", "at", "of")).applyInArrow(search, "qid bigint, cid bigint, score double")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
     merged = found.groupBy("qid", "cid").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
