@@ -43,8 +43,8 @@ FAN = 8
 MAP_WORDS, FOLDS = 32, 8
 #: A hash in more prefixes than this, and in more than one HOT_SHARE-th of all, comes last in the order: so fewer than HOT_SHARE do.
 HOT_DF, HOT_SHARE = 100, 1 << 18
-#: Leaves that one task of a frequent hash's tree begins with.
-ROOT = 4096
+#: Leaves that one task of a frequent hash's tree begins with, and sets under one leaf name that go to one task.
+ROOT, SPREAD = 4096, 1024
 #: Node pairs that a traversal holds at once.
 FRONTIER = 1 << 16
 
@@ -369,7 +369,10 @@ def _leaf_names(classes: DataFrame) -> DataFrame:
     """cls and leaf of each class (cls, keys): of its names the one that most classes have; its own if no other has one of them."""
     named = classes.select("cls", F.explode("keys").alias("key"))
     count = stored(named.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.col("c").alias("n"), "c"), "names")
-    popular = skew_join(named, count, "key").where("c is not null").groupBy("cls").agg(F.max(F.struct("c", "key"))["key"].alias("leaf"))
+    popular = skew_join(named, count, "key").where("c is not null").groupBy("cls").agg(F.max(F.struct("c", "key")).alias("_m"))
+    # A name that very many classes have is several: its leaves are of LEAF sets at most in any case.
+    part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("_m.c") / SPREAD))
+    popular = popular.select("cls", F.when(F.col("_m.c") > SPREAD, F.xxhash64("_m.key", part)).otherwise(F.col("_m.key")).alias("leaf"))
     return classes.select("cls").join(popular, "cls", "left").withColumn("leaf", F.coalesce("leaf", F.xxhash64("cls")))
 
 
