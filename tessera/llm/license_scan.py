@@ -23,9 +23,34 @@ SENTENCES = [
     ("bsd-source", "redistributions of source code must retain the above copyright notice *"),
     ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice *"),
     ("bsd-endorse", "neither the name of * may be used to endorse *"),
+    ("gpl-2-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license *"),
+    ("gpl-2-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 *"),
+    ("lgpl-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license *"),
+    ("lgpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license *"),
+    ("agpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license *"),
+    ("lgpl-warranty", "this library is distributed in the hope that it will be useful *"),
     ("gpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license *"),
     ("gpl-version", "* gnu general public license version 3 *"),
     ("gpl-warranty", "this program is distributed in the hope that it will be useful *"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license *"),
+    ("mpl-copy", "if a copy of the mpl was not distributed with this file you can obtain one at *"),
+    ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted *"),
+    ("isc-grant", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted *"),
+    ("isc-asis", "the software is provided as is and the author disclaims all warranties *"),
+    ("unlicense-free", "this is free and unencumbered software released into the public domain"),
+    ("unlicense-anyone", "anyone is free to copy modify publish use compile sell or distribute this software *"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications *"),
+    ("boost-grant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license *"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license *"),
+    ("bsd-advert", "all advertising materials mentioning features or use of this software must display the following acknowledgement *"),
+    ("cc0", "to the extent possible under law * has waived all copyright and related or neighboring rights to *"),
+    ("spdx-bsd-2", "spdx license identifier bsd 2 clause"),
+    ("spdx-gpl-2", "spdx license identifier gpl 2 0 *"),
+    ("spdx-lgpl", "spdx license identifier lgpl *"),
+    ("spdx-agpl-3", "spdx license identifier agpl 3 0 *"),
+    ("spdx-mpl-2", "spdx license identifier mpl 2 0"),
+    ("spdx-isc", "spdx license identifier isc"),
+    ("spdx-unlicense", "spdx license identifier unlicense"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-short", "licensed under cc by 4 0"),
     ("cc-by-nc-short", "licensed under cc by nc 4 0"),
@@ -36,6 +61,7 @@ SENTENCES = [
 
 # Ordered rules; the identifiers must follow each other in this order, others of the same licence text between.
 RULES = [
+    (0, "BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse"]),
     (1, "Apache-2.0", ["apache-grant", "apache-copy", "apache-asis"]),
     (2, "MIT", ["mit-grant", "mit-notice", "mit-asis"]),
     (3, "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
@@ -56,14 +82,34 @@ RULES = [
     (18, "CC-BY-4.0", ["spdx-cc-by-4"]),
     (19, "CC-BY-NC-4.0", ["cc-by-nc-short"]),
     (20, "AllRightsReserved", ["reserved"]),
+    (21, "GPL-2.0", ["gpl-2-free", "gpl-warranty"]),
+    (22, "GPL-2.0", ["gpl-2-free"]),
+    (23, "LGPL", ["lgpl-free", "lgpl-warranty"]),
+    (24, "LGPL", ["lgpl-free"]),
+    (25, "AGPL-3.0", ["agpl-free"]),
+    (26, "MPL-2.0", ["mpl-2", "mpl-copy"]),
+    (27, "MPL-2.0", ["mpl-2"]),
+    (28, "ISC", ["isc-grant", "isc-asis"]),
+    (29, "ISC", ["isc-grant"]),
+    (30, "Unlicense", ["unlicense-free"]),
+    (31, "Zlib", ["zlib-grant"]),
+    (32, "BSL-1.0", ["boost-grant"]),
+    (33, "EPL", ["epl-2"]),
+    (34, "CC0-1.0", ["cc0"]),
+    (35, "BSD-2-Clause", ["spdx-bsd-2"]),
+    (36, "GPL-2.0", ["spdx-gpl-2"]),
+    (37, "LGPL", ["spdx-lgpl"]),
+    (38, "AGPL-3.0", ["spdx-agpl-3"]),
+    (39, "MPL-2.0", ["spdx-mpl-2"]),
+    (40, "ISC", ["spdx-isc"]),
+    (41, "Unlicense", ["spdx-unlicense"]),
 ]
 
 # Grants of one sentence, which may have other words before and after them, but no "not" before.
 GRANTS = {"apache-grant", "mit-name", "cc-by", "cc-by-short", "cc-by-nc-short"}
 
-#: Of the SQL, which knows a licence sentence only where it has a line to itself: its lines and sentences, and the ones it looks up.
-BREAK = r"[\n\r]+|[.!?;][ \t\n\r]+"
-HINT = "licen|copyright|permission|redistribut|software|rights reserved|warranty|neither the name"
+#: Of the SQL, which knows a licence sentence only where it has a line to itself: what ends its lines and sentences.
+BREAK = r"[\n\r]+|[.!?][ \t\n\r]+"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between sentences of a normalised text; its words have a blank between them, or a line break.
@@ -78,12 +124,12 @@ def hint(sentences: list[tuple[str, str]]) -> str:
 def normalised(text: F.Column) -> F.Column:
     """A-Z lower-cased, anything but letters, digits and non-ASCII made one mark between words.
 
-    It is END after a mark [.!?;] before white space and at blank lines, else a line break where there was one, else a
+    It is END after a mark [.!?] before white space and at blank lines, else a line break where there was one, else a
     blank. What stands before a line's first word, such as a comment's marker, counts as white space.
     """
     out = F.regexp_replace(F.translate(text, UPPER + END, LOWER + " "), r"\r\n?", "\n")
     out = F.regexp_replace(out, r"(^|\n)[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", "$1")
-    out = F.regexp_replace(out, r"[.!?;](?=[ \t\n])|\n{2,}", END)
+    out = F.regexp_replace(out, r"[.!?](?=[ \t\n])|\n{2,}", END)
     out = F.regexp_replace(out, r"[\x00\x02-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \n]*\x01[ \n\x01]*", END), r" ?\n ?", "\n"))
 
@@ -146,7 +192,8 @@ def scan(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES, rules: l
 
     Rules are tried in order; a rule whose identifiers occur in its order uses them up and names its licence. The tables
     of sentences and rules are parameters of fixed size and part of the plan; no row leaves its task, so nothing is
-    shuffled and no licence line that many rows share makes a hot group. Null and empty texts have empty lists.
+    shuffled and no licence line that many rows share makes a hot group. Null and empty texts have empty lists; ids may be
+    null or repeat; other columns are not read; an empty table stays empty.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Most texts have none of the words; others are read whole.
@@ -165,9 +212,9 @@ def oracle_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     cases = " ".join(f"WHEN {'s = ' + quote(t) if '*' not in t else f'regexp_matches(s, {quote(sentence_pattern(t))})'} THEN {quote(n)}" for n, t in sorted(SENTENCES, key=lambda x: "*" in x[1]))
     norm = r"trim(regexp_replace(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ')"
-    sql = f"""WITH parts AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), {quote(BREAK)}), lambda p: regexp_matches(p, '(?i){HINT}'))) AS p,
-      generate_subscripts(list_filter(regexp_split_to_array(coalesce(text, ''), {quote(BREAK)}), lambda p: regexp_matches(p, '(?i){HINT}')), 1) AS k FROM documents),
-    named AS (SELECT doc_id, k, CASE {cases} END AS i FROM (SELECT doc_id, k, {norm} AS s FROM parts) WHERE regexp_matches(s, '{HINT}')),
+    sql = f"""WITH parts AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), {quote(BREAK)}), lambda p: regexp_matches(p, '(?i){hint(SENTENCES)}'))) AS p,
+      generate_subscripts(list_filter(regexp_split_to_array(coalesce(text, ''), {quote(BREAK)}), lambda p: regexp_matches(p, '(?i){hint(SENTENCES)}')), 1) AS k FROM documents),
+    named AS (SELECT doc_id, k, CASE {cases} END AS i FROM (SELECT doc_id, k, {norm} AS s FROM parts) WHERE regexp_matches(s, '{hint(SENTENCES)}')),
     lists AS (SELECT doc_id, string_agg(i, ',' ORDER BY k) AS ids FROM named WHERE i IS NOT NULL GROUP BY doc_id),
     s0 AS (SELECT doc_id, ids, ',' || ids || ',' AS l, []::VARCHAR[] AS n FROM lists)"""
     for k, (_, name, ids) in enumerate(sorted(RULES)):

@@ -163,6 +163,14 @@ def brute_judge(url):
     return host, path, best[1], best[2]
 
 
+def test_more_path_lengths_than_are_listed(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MOST_DEPTHS", 2)
+    urls = ["http://example.com/en/x", "http://b.net/es/", "http://a.com/", None]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(d, url_filter.rule_table(spark, RULES + [("block", "x.org", "/longer/path/")])).collect()}
+    assert got == {k: brute_judge(u) for k, u in enumerate(urls)}
+
+
 def test_url_rules_like_brute_force(spark):
     urls = [None, "", "x", "http://", "http://a.com", "HTTP://WWW.Example.COM/en/x?y#z", "http://example.com/en/", "http://example.com/en", "http://m.example.com/en/a", "http://notexample.com/en/a", "ftp://b.net/es/?q", "http://b.net?/es/", "http://b.net#/es/", "http://com/", "http://a.com//en/", "a://b://c.com/"]
     d = spark.createDataFrame([(k % 9 if k else None, u, "h") for k, u in enumerate(urls * 2)], "page_id long, url string, host string")
@@ -179,3 +187,45 @@ def test_bloom_filter_passes_every_key_and_few_others(spark):
     passes = lambda df: df.where(url_filter._passes(F.xxhash64("key"), table, len(blocks))).count()
     assert passes(rules) == 4000
     assert passes(spark.range(4000).select(F.concat(F.lit("other"), "id").alias("key"))) < 400
+
+
+KNOWN = {
+    "GPL-2.0": """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY.""",
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE.""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary.",
+    "CC0-1.0": "To the extent possible under law, Ann Person has waived all copyright and related or neighboring rights to this work.",
+    "BSD-2-Clause": "SPDX-License-Identifier: BSD-2-Clause",
+    "Zlib": "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it.",
+}
+
+
+def test_other_licences_and_odd_rows(spark):
+    rows = [(k, t, "x") for k, t in KNOWN.items()] + [(None, KNOWN["ISC"], None), ("ISC", KNOWN["ISC"], "y"), ("none", "word " * 300_000, "z")]
+    d = spark.createDataFrame(rows, "doc_id string, text string, identifiers string")
+    got = [(r.doc_id, tuple(r.licenses)) for r in license_scan.scan(d).collect()]
+    assert sorted(got, key=str) == sorted([*[(k, (k,)) for k in KNOWN], (None, ("ISC",)), ("ISC", ("ISC",)), ("none", ())], key=str)
+    assert license_scan.scan(d.limit(0)).count() == 0
+    own = [("pd", "this work is in the public domain")]
+    found = license_scan.scan(spark.createDataFrame([(1, "This work is in the public domain.")], "doc_id long, text string"), own, [(1, "PD", ["pd"])])
+    assert found.first().licenses == ["PD"]
