@@ -119,8 +119,15 @@ def normalised(counts: DataFrame, keys: Sequence[str], value: str, bits: int = 1
     places = F.transform(F.array_sort(F.transform("s", lambda e, k: F.struct((-((e.n * most) % F.col("t"))).alias("r"), k.alias("k")))), lambda x: x.k)
     first = F.slice(places, 1, F.greatest(F.col("short"), F.lit(1)).cast("int"))
     raised = F.transform("p", lambda x, k: x + F.when((F.col("short") > 0) & F.array_contains(first, k), 1).otherwise(0).cast("bigint"))
-    lower = lambda p, _: F.transform(p, lambda x, k: x - F.when(k == F.array_position(p, F.array_max(p)) - 1, 1).otherwise(0).cast("bigint"))
-    lowered = F.aggregate(F.sequence(F.lit(1).cast("bigint"), -F.col("short")), F.col("p"), lower)
+    # Taking from the heaviest leaves no share above a level, and the first of those at it one below.
+    cut = lambda level: F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + F.least(x, level))
+    half = lambda r: F.call_function("div", r.lo + r.hi, F.lit(2))
+    step = lambda r, _: F.when(cut(half(r)) >= most, F.struct(r.lo.alias("lo"), half(r).alias("hi"))).otherwise(F.struct((half(r) + 1).alias("lo"), r.hi.alias("hi")))
+    level = F.aggregate(F.sequence(F.lit(0), F.lit(bits)), F.struct(F.lit(1).cast("bigint").alias("lo"), most.alias("hi")), lambda r, k: F.when(r.lo < r.hi, step(r, k)).otherwise(r), lambda r: r.hi)
+    own = own.withColumn("level", F.when(F.col("short") < 0, level)).withColumn("over", F.when(F.col("short") < 0, cut(F.col("level")) - most))
+    at_level = F.filter(F.transform("p", lambda x, k: F.when(x >= F.col("level"), k)), lambda k: k.isNotNull())
+    own = own.withColumn("first", F.when(F.col("short") < 0, F.slice(at_level, 1, F.greatest(F.col("over"), F.lit(1)).cast("int"))))
+    lowered = F.transform("p", lambda x, k: F.least(x, F.col("level")) - F.when((F.col("over") > 0) & F.array_contains("first", k), 1).otherwise(0).cast("bigint"))
     done = F.when(F.col("short") < 0, lowered).otherwise(raised)
     rows = own.select(*keys, F.explode(F.arrays_zip(F.col("s"), done.alias("p"))).alias("e"))
     return rows.select(*keys, F.col("e.s.v").alias(value), F.col("e.s.n").alias("n"), F.col("e.p").alias("p"))
