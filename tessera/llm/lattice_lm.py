@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import skew_join, small_batches, stored
+from tessera.llm.shared import discard, skew_join, small_batches, stored
 from tessera.llm.words import SPACE, mix, word_chunks
 
 #: The vocabulary of the production query.
@@ -221,12 +221,12 @@ def fold(id_col: str = "doc_id", folds: int = 5) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-BLOCK = "block bigint, ids binary, named binary, held binary, words binary, text binary, ends binary, train binary, runs binary, doc binary, times binary"
+BLOCK = "block bigint, ids binary, named binary, held binary, words binary, text binary, sizes binary, train binary, runs binary, doc binary, times binary"
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Documents (id, held, text) in blocks: the documents' ids and numbers of words; the distinct words' text, ends and
-    training counts; and for each word in turn the documents that have it and how often."""
+    """Documents (id, held, text) in blocks: the documents' ids and numbers of words; the distinct words' text, sizes and
+    training counts; and for each word in turn the documents that have it and how often, in as few bytes as do."""
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -251,7 +251,14 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 start = w.start[order[first]]
                 size = w.end[order[first]] - start
                 at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-                columns = [ids[w.lo : w.hi].astype(np.int64), named[w.lo : w.hi], held[w.lo : w.hi], n.astype(np.int64), w.data[at], np.cumsum(size).astype(np.uint32), train.astype(np.uint32), runs.astype(np.uint32), doc, times.astype(np.uint32)]
+                # A count above a byte is several entries.
+                parts = -(-times // 255)
+                runs = np.add.reduceat(parts, np.cumsum(np.r_[0, runs[:-1]])) if len(first) else runs
+                last = np.cumsum(parts) - 1
+                doc, rest = np.repeat(doc, parts), times - 255 * (parts - 1)
+                times = np.full(len(doc), 255, np.uint8)
+                times[last] = rest
+                columns = [ids[w.lo : w.hi].astype(np.int64), named[w.lo : w.hi], held[w.lo : w.hi], n.astype(np.int64), w.data[at], size.astype(np.uint32), train.astype(np.uint32), runs.astype(np.uint32), doc.astype(np.uint16 if len(n) <= 1 << 16 else np.uint32), times]
                 yield pa.RecordBatch.from_arrays([pa.array([made]), *[pa.array([c.tobytes()], pa.binary()) for c in columns]], names=[f.split()[0] for f in BLOCK.split(", ")])
                 made += 1
                 release()
@@ -269,15 +276,15 @@ def _spelled(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, text, ends, train in zip(*batch.columns, strict=True):
-                ends = np.r_[np.uint32(0), _view(ends, np.uint32)]
-                n = len(ends) - 1
+            for block, text, sizes, train in zip(*batch.columns, strict=True):
                 # Offsets of 32 bits reach as far as one row of text can.
-                word = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), text.as_buffer()])
+                ends = np.cumsum(np.r_[np.uint32(0), _view(sizes, np.uint32)], dtype=np.int32)
+                n = len(ends) - 1
+                word = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), text.as_buffer()])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block.as_py())), pa.array(np.arange(n, dtype=np.int32)), word, pa.array(_view(train, np.uint32).astype(np.int64))], names=["block", "number", "word", "train"])
             release()
 
-    return blocks.select("block", "text", "ends", "train").mapInArrow(run, "block bigint, number int, word binary, train bigint")
+    return blocks.select("block", "text", "sizes", "train").mapInArrow(run, "block bigint, number int, word binary, train bigint")
 
 
 def _ended(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -329,8 +336,9 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, steps: int = 2, folds:
         blocks = stored(_blocks(docs), "blocks")
         size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held")).alias("ends")).first()
         tasks = max(4 * spark.sparkContext.defaultParallelism, (size.bytes or 0) // TASK_BYTES)
-        counted = _spelled(blocks).groupBy("word").agg(F.sum("train").alias("c"), F.count("*").alias("n"))
-        words = stored(counted.repartition(tasks, "word"), "words")
+        # A word comes once from each block; dealt first, it needs no second shuffle.
+        counted = _spelled(blocks).select("word", "train").repartition(tasks, "word").groupBy("word").agg(F.sum("train").alias("c"), F.count("*").alias("n"))
+        words = stored(counted, "words")
         total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
         n, v, ends = total.n + size.ends, total.v, size.ends
         pieces, log_weight = load_pieces(vocabulary)
@@ -348,20 +356,25 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, steps: int = 2, folds:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model)], names=["word", "c", "n", "model"])
 
         scored = stored(words.select("word", "c", "n").mapInArrow(likelihood, "word binary, c bigint, n bigint, model double"), "scored")
+        discard(words)
         found = skew_join(_spelled(blocks).select("block", "number", "word"), scored, "word").select("block", "number", "c", "model")
         end_base, end_model, scale = math.log10(ends + 0.5), math.log10(end), math.log10(n + 0.5 * (v + (ends > 0) + 1))
 
         def finish(own: pa.Table, block: pa.Table) -> pa.Table:
             order = np.argsort(own.column("number").to_numpy())
             c, model = own.column("c").to_numpy()[order], own.column("model").to_numpy()[order]
-            ids, named, held, words_, runs, doc, times = (_view(block.column(k)[0], t) for k, t in (("ids", np.int64), ("named", bool), ("held", bool), ("words", np.int64), ("runs", np.uint32), ("doc", np.uint32), ("times", np.uint32)))
+            ids, named, held, words_, runs, doc, times = (_view(block.column(k)[0], t) for k, t in (("ids", np.int64), ("named", bool), ("held", bool), ("words", np.int64), ("runs", np.uint32), ("doc", np.uint8), ("times", np.uint8)))
+            doc = doc.view(np.uint16 if len(doc) == 2 * len(times) else np.uint32)
             number = np.repeat(np.arange(len(c)), runs)
             base, model, known = (np.bincount(doc, times * x[number], len(ids)) for x in (np.log10(c + 0.5), model, c > 0))
             return pa.table({"doc_id": pa.array(ids, mask=~named), "held_out": pa.array(held), "n_tokens": words_ + 1, "n_known": known.round().astype(np.int64) + int(ends > 0), "train_tokens": np.full(len(ids), n, np.int64), "base_score": base + end_base - (words_ + 1) * scale, "score": model + end_model})
 
         pairs = blocks.select("block", "ids", "named", "held", "words", "runs", "doc", "times")
         out = found.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-        return stored(out, "scores")
+        out = stored(out, "scores")
+        discard(blocks)
+        discard(scored)
+        return out
 
 
 def reference_log_likelihood(word: bytes, pieces: list[bytes], log_weight: np.ndarray) -> float:
