@@ -10,7 +10,6 @@ import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -107,26 +106,33 @@ def squeeze_rows(df: DataFrame) -> DataFrame:
     return squeeze(df, "x")
 
 
+def unsqueeze_line(averages: list[int], residuals: list[int | None]) -> list[int]:
+    out: list[int] = []
+    for k, (average, residual) in enumerate(zip(averages, residuals, strict=True)):
+        if residual is None:
+            out.append(average)
+            continue
+        left = out[-1] if out else average
+        after = averages[k + 1] if k + 1 < len(averages) else average
+        d = residual + expected_residual(left, average, after)
+        first = average + int(d / 2)
+        out += [first, first - d]
+    return out
+
+
 def unsqueeze_rows(df: DataFrame) -> DataFrame:
-    """Inverse of squeeze_rows. Each sample needs the one before it, so a line is one group; lines are independent."""
-
-    def line(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        averages, residuals = pdf["average"].tolist(), pdf["residual"].tolist()
-        out: list[int] = []
-        for k, (average, residual) in enumerate(zip(averages, residuals, strict=True)):
-            if residual != residual or residual is None:
-                out.append(average)
-                continue
-            left = out[-1] if out else average
-            after = averages[k + 1] if k + 1 < len(averages) else average
-            d = int(residual) + expected_residual(left, average, after)
-            first = average + int(d / 2)
-            out += [first, first - d]
-        return pd.DataFrame({"image": pdf["image"].iloc[0], "x": range(len(out)), "y": pdf["y"].iloc[0], "v": out})
-
-    kind = dict(df.dtypes)["image"]
-    return df.groupBy("image", "y").applyInPandas(line, f"image {kind}, x int, y int, v bigint")
+    """Inverse of squeeze_rows. Each sample needs the one before it, so a line is one array; lines are independent."""
+    lines = df.groupBy("image", "y").agg(F.array_sort(F.collect_list(F.struct(F.col("x"), F.col("average").cast("bigint").alias("a"), F.col("residual").cast("bigint").alias("r")))).alias("s"))
+    lines = lines.select("image", "y", F.transform("s", lambda e: e.a).alias("a"), F.transform("s", lambda e: e.r).alias("r"))
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            made = [unsqueeze_line(a, r) for a, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int64()))], names=["image", "y", "v"])
+
+    kinds = dict(df.dtypes)
+    whole = lines.mapInArrow(run, f"image {kinds['image']}, y {kinds['y']}, v array<bigint>")
+    return whole.select("image", F.posexplode("v").alias("x", "v"), "y").select("image", "x", "y", "v")
 
 
 def expected_residual(a: int, b: int, c: int) -> int:
