@@ -180,19 +180,25 @@ def _shortest(bitmaps: list[bytes]) -> np.ndarray:
     return out
 
 
-NODE = "node bigint, docs array<bigint>, lo bigint, hi bigint, excess array<bigint>, bitmap binary, tokens array<bigint>"
+NODE = "node bigint, docs array<bigint>, lo bigint, hi bigint, excess array<bigint>, bitmap binary, tokens array<bigint>, places array<bigint>, late array<bigint>"
 
 
-def _nodes(sets: DataFrame) -> DataFrame:
-    """Leaves of the trees; a leaf's name is its smallest class."""
+def _nodes(sets: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Leaves of the trees; a leaf's name is its smallest class. places are the tokens' first places in its sets' prefixes,
+    late the frequent tokens, which come last there."""
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for run in _runs(batches, 0, LEAF):
             ids, sizes = run.column("id").to_pylist(), run.column("n").to_pylist()
-            tokens = np.unique(run.column("prefix").combine_chunks().flatten().to_numpy())
+            prefix = run.column("prefix").combine_chunks()
+            size = np.asarray(prefix.value_lengths())
+            tokens, token = np.unique(prefix.flatten().to_numpy(), return_inverse=True)
+            places = np.full(len(tokens), np.iinfo(np.int64).max)
+            np.minimum.at(places, token, np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size))
+            frequent = _is_in(tokens.view(np.uint64), hot)
             union = np.bitwise_or.reduce(_bitmap_matrix(run.column("bitmap").to_pylist()), axis=0)
-            out.append((min(ids), ids, min(sizes), max(sizes), np.max(run.column("excess").to_pylist(), axis=0).tolist(), union.tobytes(), tokens))
+            out.append((min(ids), ids, min(sizes), max(sizes), np.max(run.column("excess").to_pylist(), axis=0).tolist(), union.tobytes(), tokens[~frequent], places[~frequent], tokens[frequent]))
             if len(out) >= 2000:
                 yield _node_batch(out)
                 out = []
@@ -203,8 +209,8 @@ def _nodes(sets: DataFrame) -> DataFrame:
 
 
 def _node_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "docs", "lo", "hi", "excess", "bitmap", "tokens"])
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), *[pa.list_(pa.int64())] * 3]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "docs", "lo", "hi", "excess", "bitmap", "tokens", "places", "late"])
 
 
 def _may_link(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray, shared: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -244,9 +250,13 @@ def dual_traversal(lo: np.ndarray, hi: np.ndarray, excess: np.ndarray, bitmaps:
 
 
 def _pairs_under_hash(batches: Iterable[pa.RecordBatch], num: int, den: int, most: int = 4 * HOT_DF) -> Iterator[pa.RecordBatch]:
-    """Leaf pairs of compatible sizes under each hash; rows (token, lo, hi, node) sorted by token and lo."""
+    """Leaf pairs of compatible sizes under each hash; rows (token, lo, hi, node, place) sorted by token and lo.
+
+    Sets whose first common hash is at these places share no more than what is left of either from there on. Of similar
+    sets the pair passes at their first common hash, so it may fail at others.
+    """
     out, size = [], 0
-    held = np.zeros((0, 4), np.int64)
+    held = np.zeros((0, 5), np.int64)
 
     def emit() -> pa.RecordBatch:
         p = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
@@ -254,7 +264,8 @@ def _pairs_under_hash(batches: Iterable[pa.RecordBatch], num: int, den: int, mos
 
     for batch in batches:
         rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
-        token, lo, hi, node = rows.T
+        token, lo, hi, node, place = rows.T
+        rest = hi - place
         # Each row meets the later rows of its token whose sizes begin no higher than it reaches.
         step, live = 1, np.arange(len(rows))
         while len(live):
@@ -262,7 +273,8 @@ def _pairs_under_hash(batches: Iterable[pa.RecordBatch], num: int, den: int, mos
             other = live + step
             live = live[(token[live] == token[other]) & (lo[other] * num <= hi[live] * den)]
             other = live + step
-            fresh = other >= len(held)  # pairs within what was held have been made before
+            enough = np.minimum(rest[live], rest[other]) * (den + num) >= num * (lo[live] + lo[other])
+            fresh = enough & (other >= len(held))  # pairs within what was held have been made before
             a, b = node[live[fresh]], node[other[fresh]]
             if len(a):
                 out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
@@ -384,11 +396,10 @@ def links_between(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFram
     first = sets.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"))
     own = stored(sets.where("n > 0").select("id", "cls", "keys").join(first, ["id", "cls"]).dropDuplicates(["cls"]), "classes")
     chosen = own.select("id", "cls").join(_leaf_names(own), "cls")
-    nodes = stored(_nodes(sets.where("n > 0").join(chosen, ["id", "cls"]).dropDuplicates(["id", "cls"])), "nodes")
-    # Fewer than HOT_SHARE numbers, as one literal.
-    late = F.split(F.lit(",".join(map(str, hot.view(np.int64).tolist()))), ",").cast("array<bigint>") if len(hot) else F.array().cast("array<bigint>")
-    hot_tokens = stored(nodes.select("node", "lo", "hi", "excess", "bitmap", F.explode(F.array_intersect("tokens", late)).alias("token")), "hot")
-    plain = nodes.select(F.explode(F.array_except("tokens", late)).alias("token"), "lo", "hi", "node").repartition("token").sortWithinPartitions("token", "lo", "node")
+    nodes = stored(_nodes(sets.where("n > 0").join(chosen, ["id", "cls"]).dropDuplicates(["id", "cls"]), hot), "nodes")
+    hot_tokens = stored(nodes.select("node", "lo", "hi", "excess", "bitmap", F.explode("late").alias("token")), "hot")
+    plain = nodes.select(F.explode(F.arrays_zip("tokens", "places")).alias("t"), "lo", "hi", "node").select(F.col("t.tokens").alias("token"), "lo", "hi", "node", F.col("t.places").alias("place"))
+    plain = plain.repartition("token").sortWithinPartitions("token", "lo", "node")
     few = plain.mapInArrow(lambda it: _pairs_under_hash(it, num, den), "a bigint, b bigint").distinct()
     many = _hot_roots(hot_tokens).repartition("pair").sortWithinPartitions("pair", "lo", "node")
     many = many.mapInArrow(lambda it: _hot_pairs(it, num, den), "a bigint, b bigint")
