@@ -29,7 +29,7 @@ from tessera.llm.words import SPACE, mix, word_chunks
 #: The vocabulary of the production query.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that one block of documents holds, and of the whole text for each task that works on the distinct words.
-BLOCK_BYTES, TASK_BYTES = 4 << 20, 64 << 20
+BLOCK_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 #: Longest piece, in bytes.
 LONGEST = 24
 #: Words above this many bytes are worked on one at a time.
@@ -332,8 +332,9 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, steps: int = 2, folds:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), (fold(id_col, folds) == held_out).alias("held"), F.col(text_col).cast("string").alias("text"))
-    with small_batches(spark):
+    with small_batches(spark, f"{BLOCK_BYTES}b"):
         blocks = stored(_blocks(docs), "blocks")
+    with small_batches(spark):
         size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held")).alias("ends")).first()
         tasks = max(4 * spark.sparkContext.defaultParallelism, (size.bytes or 0) // TASK_BYTES)
         # A word comes once from each block; dealt first, it needs no second shuffle.
