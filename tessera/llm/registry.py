@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, hilbert_ann, lattice_lm, license_scan, mixing, ngram_join, sharding, toxicity, url_filter, warc
+from tessera.llm import decontamination, grammar_shards, hilbert_ann, lattice_lm, license_scan, mixing, ngram_join, sharding, toxicity, url_filter, warc
 
 SHARDS = [f"shard-{k:02d}" for k in range(16)]
 
+#: Id that ends a document in token files.
+END_ID = 2
+
 # Fixed values: (verdict, host, path).
 URL_RULES = [
     ("allow", "com", "/"),
@@ -70,6 +73,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), 4, 85, 100).select("doc_id", "n_shingles", "component_id")
 
 
+def op12_grammar_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    # This vocabulary drops white space before it looks for tokens.
+    listed = grammar_shards.write_shards(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"), END_ID, apart=True)
+    return grammar_shards.read_shards(listed).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 # A phrase is found by its words joined; a near run from the two words of its window that are rarest in the documents.
@@ -150,7 +161,7 @@ SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, 'allow') AS verd
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_sharding, op4_mixing, op5_warc, op6_hilbert_ann, op7_toxicity, op8_lattice_lm, op9_url_filter, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_sharding, op4_mixing, op5_warc, op6_hilbert_ann, op7_toxicity, op8_lattice_lm, op9_url_filter, op10_ngram_join, op12_grammar_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
