@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, grammar_shards, hilbert_ann, lattice_lm, license_scan, mixing, ngram_join, sharding, toxicity, url_filter, warc
+from tessera.llm import decontamination, grammar_shards, hilbert_ann, lattice_lm, license_scan, mixing, ngram_join, sharding, spelling_forms, toxicity, url_filter, warc
 
 SHARDS = [f"shard-{k:02d}" for k in range(16)]
 
@@ -81,6 +81,10 @@ def op12_grammar_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar_shards.read_shards(listed).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def op13_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms.spelling_forms(spelling_forms.counted_words(table(spark, sf_dir, "documents")))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 # A phrase is found by its words joined; a near run from the two words of its window that are rarest in the documents.
@@ -161,7 +165,7 @@ SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, 'allow') AS verd
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_sharding, op4_mixing, op5_warc, op6_hilbert_ann, op7_toxicity, op8_lattice_lm, op9_url_filter, op10_ngram_join, op12_grammar_shards)}
+    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_sharding, op4_mixing, op5_warc, op6_hilbert_ann, op7_toxicity, op8_lattice_lm, op9_url_filter, op10_ngram_join, op12_grammar_shards, op13_spelling_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
