@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, grammar_shards, hilbert_ann, lattice_lm, license_scan, mixing, ngram_join, sharding, spelling_forms, toxicity, url_filter, warc
+from tessera.llm import decontamination, grammar_shards, hard_negatives, hilbert_ann, lattice_lm, license_scan, mixing, ngram_join, sharding, spelling_forms, toxicity, url_filter, warc
 
 SHARDS = [f"shard-{k:02d}" for k in range(16)]
 
@@ -73,6 +73,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), 4, 85, 100).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op12_grammar_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -164,9 +169,21 @@ SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, 'allow') AS verd
 """
 
 
+# Every anchor with every row of its own label, then with every row of another.
+OP11_SQL = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS s FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a, p.b, p.s AS ps, s.b AS nb, s.s AS ns FROM p JOIN s ON s.a = p.a AND NOT s.same WHERE 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s)
+SELECT a AS anchor_id, b AS positive_id, (row_number() OVER (PARTITION BY a, b ORDER BY ns DESC, nb))::INT AS rank, nb AS negative_id, ps AS positive_score, ns AS negative_score FROM n
+QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY ns DESC, nb) <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_sharding, op4_mixing, op5_warc, op6_hilbert_ann, op7_toxicity, op8_lattice_lm, op9_url_filter, op10_ngram_join, op12_grammar_shards, op13_spelling_forms)}
+    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_sharding, op4_mixing, op5_warc, op6_hilbert_ann, op7_toxicity, op8_lattice_lm, op9_url_filter, op10_ngram_join, op11_hard_negatives, op12_grammar_shards, op13_spelling_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op4_mixing": OP4_SQL, "op2_license_scan": license_scan.oracle_sql(), "op3_sharding": op3_sql(), "op10_ngram_join": OP10_SQL, "op5_warc": OP5_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_mixing": OP4_SQL, "op2_license_scan": license_scan.oracle_sql(), "op3_sharding": op3_sql(), "op10_ngram_join": OP10_SQL, "op5_warc": OP5_SQL, "op11_hard_negatives": OP11_SQL, "op9_url_filter": OP9_SQL}
