@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera import queries_more
+from tessera import queries_held_out, queries_more
 from tessera.functions import pixel, text
 from tessera.operators import corpus, curves, entropy, metrics, models, raster, sequences, stats
 from tessera.plans import ladder
@@ -739,8 +739,8 @@ def stream_bursts(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | queries_more.QUERIES
+    return _QUERIES | queries_more.QUERIES | queries_held_out.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | queries_more.SQL
+    return _SQL | queries_more.SQL | queries_held_out.SQL
