@@ -28,7 +28,8 @@ BLOCK_WINDOWS = 100_000
 MOST_TERMS = 1 << 20
 
 INDEX = "shard string, doc_ids array<{key}>, n_words array<bigint>, terms array<bigint>, lengths array<int>, positions array<int>"
-SPANS = "shard string, ordinal int, doc_id {key}, n_words bigint, spans array<struct<start:bigint,end:bigint,item_id:bigint,kind:string>>"
+#: hit and near are runs of word numbers: words inside phrases, and words at which a phrase or a near run begins.
+FOUND = "shard string, ordinal int, doc_id {key}, n_words bigint, hit array<struct<start:bigint,end:bigint>>, near array<struct<start:bigint,end:bigint>>, items array<bigint>, spans array<struct<start:bigint,end:bigint,item_id:bigint,kind:string>>"
 WINDOWS = "window array<bigint>, item_id bigint"
 
 
@@ -159,17 +160,40 @@ def _near(words: list[tuple[int, np.ndarray]], width: int) -> tuple[np.ndarray,
     return start[keep], end[keep]
 
 
-def search(index: DataFrame, windows: dict[tuple[int, ...], list], slop: int | None = None, gap: int = 64, every: bool = True) -> DataFrame:
-    """A row for each indexed document (with every unset: each that holds a window), with the spans of the windows that it holds.
+def _runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of intervals as ascending runs that do not touch."""
+    if not len(start):
+        return start, end
+    order = np.argsort(start, kind="stable")
+    start, past = start[order], np.maximum.accumulate(end[order])
+    new = np.concatenate([[True], start[1:] > past[:-1]])
+    first = np.flatnonzero(new)
+    return start[first], past[np.append(first[1:], len(start)) - 1]
 
-    kind is 'exact' for a phrase (end is one past its last word), 'near' for other runs of at most len(window) + slop words
-    that begin with a word of the window and hold all of them, in any order; slop None asks for phrases alone.
+
+def _lists(of: np.ndarray, n: int, columns: list[pa.Array], names: list[str] | None) -> pa.Array:
+    """n lists: the values whose of is 0, 1, ...; of ascends."""
+    offsets = pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, names=names) if names else columns[0])
+
+
+def search(index: DataFrame, windows: dict[tuple[int, ...], list], slop: int | None = None, gap: int = 64, every: bool = True, spans: bool = True) -> DataFrame:
+    """A row for each indexed document (with every unset: each that holds a window), with what it holds of the windows.
+
+    hit: runs of the words inside phrases; near: runs of the words at which a phrase begins, or, with slop, another run of at
+    most len(window) + slop words that begins with a word of the window and holds all of them, in any order; items: those with
+    a phrase, without null. spans lists each match with its item: kind is 'exact' for a phrase (end is one past its last word),
+    'near' for others; there are as many as occurrences times items, so they are null unless asked for. The rest is merged in the
+    task and grows with the words at most.
     """
     vocabulary = np.array(sorted({h for w in windows for h in w}), np.uint64)
+    known_items = sorted({i for own in windows.values() for i in own if i is not None})
+    number = {i: k for k, i in enumerate(known_items)} | {None: -1}
     groups = []
     for n, own in groupby(sorted(windows, key=len), len):
         own = list(own)
-        groups.append((n, np.searchsorted(vocabulary, np.array(own, np.uint64)), [windows[w] for w in own]))
+        groups.append((n, np.searchsorted(vocabulary, np.array(own, np.uint64)), [np.array([number[i] for i in windows[w]], np.int64) for w in own]))
+    item_ids = np.array(known_items, np.int64)
     longest = max((n for n, *_ in groups), default=0)
     if longest + (slop or 0) > gap:
         raise ValueError(f"windows of {longest} words and slop {slop} need an index with a larger gap than {gap}")
@@ -194,60 +218,87 @@ def search(index: DataFrame, windows: dict[tuple[int, ...], list], slop: int | N
                     k = where[v]
                     return positions[ends[k] - lengths[k] : ends[k]]
 
-                spans: list[list] = [[] for _ in range(len(n_words))]
+                def doc_of(places: np.ndarray, base=base) -> np.ndarray:
+                    return np.searchsorted(base, places, side="right") - 1
+
+                none = np.zeros(0, np.int64)
+                phrase, begin, owned, listed = [(none, none)], [none], [np.zeros((0, 2), np.int64)], []
                 for n, members, items in groups:
                     df = count[members]
                     for k in np.flatnonzero((df > 0).all(axis=1)).tolist():
-                        starts = _exact([posting(v) for v in members[k]], np.argsort(df[k], kind="stable"))
-                        got = [(int(s), int(s) + n, "exact") for s in starts]
+                        starts = _exact([posting(v) for v in members[k]], np.argsort(df[k], kind="stable")).astype(np.int64)
+                        if len(starts):
+                            phrase.append((starts, starts + n))
+                            begin.append(starts)
+                            docs, own = np.unique(doc_of(starts)), items[k][items[k] >= 0]
+                            owned.append(np.stack([np.repeat(docs, len(own)), np.tile(own, len(docs))], axis=1))
+                        matches = [(starts, starts + n, "exact")]
                         if slop is not None:
-                            near = _near([(int(m), posting(v)) for v, m in zip(*np.unique(members[k], return_counts=True), strict=True)], n + slop)
-                            phrases = {s for s, *_ in got}
-                            got += [(a, b, "near") for a, b in zip(near[0].tolist(), near[1].tolist(), strict=True) if a not in phrases]
-                        for a, b, kind in got:
-                            d = int(np.searchsorted(base, a, side="right")) - 1
-                            spans[d] += [{"start": a - int(base[d]), "end": b - int(base[d]), "item_id": i, "kind": kind} for i in items[k]]
-                some = np.arange(len(n_words)) if every else np.flatnonzero([bool(x) for x in spans])
+                            a, b = _near([(int(m), posting(v)) for v, m in zip(*np.unique(members[k], return_counts=True), strict=True)], n + slop)
+                            begin.append(a.astype(np.int64))
+                            other = ~np.isin(a, starts)
+                            matches.append((a[other].astype(np.int64), b[other], "near"))
+                        if spans:
+                            listed += [(a, b, i, kind) for a, b, kind in matches for i in items[k].tolist() if len(a)]
+                lo, hi = _runs(np.concatenate([p[0] for p in phrase]), np.concatenate([p[1] for p in phrase]))
+                first = np.unique(np.concatenate(begin))
+                near_lo, near_hi = _runs(first, first + 1)
+                pairs = np.unique(np.concatenate(owned), axis=0)
+                touched = np.unique(np.concatenate([doc_of(lo), doc_of(near_lo)])) if len(near_lo) or len(lo) else none
+                some = np.arange(len(n_words)) if every else touched
+                # Documents that are left out have nothing.
+                at_doc = lambda d, some=some: np.searchsorted(some, d)
+                run = lambda a, b: _lists(at_doc(doc_of(a)), len(some), [pa.array(a - base[doc_of(a)]), pa.array(b - base[doc_of(a)])], ["start", "end"])  # noqa: E731, B023
+                columns = [pa.array([shard] * len(some), pa.string()), pa.array(some.astype(np.int32)), ids.take(pa.array(some)), pa.array(n_words[some], pa.int64()), run(lo, hi), run(near_lo, near_hi)]
+                columns.append(_lists(at_doc(pairs[:, 0]), len(some), [pa.array(item_ids[pairs[:, 1]])], None))
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string())]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(some), pa.string()), pa.array(some.astype(np.int32)), ids.take(pa.array(some)), pa.array(n_words[some], pa.int64()), pa.array([spans[k] for k in some], kind)],
-                    names=["shard", "ordinal", "doc_id", "n_words", "spans"],
-                )
+                if spans:
+                    a, b = (np.concatenate([x[c] for x in listed] or [none]) for c in (0, 1))
+                    item = np.concatenate([np.full(len(x[0]), x[2]) for x in listed] or [none])
+                    exact = np.concatenate([np.full(len(x[0]), x[3] == "exact") for x in listed] or [none.astype(bool)])
+                    d = doc_of(a)
+                    order = np.lexsort((item, b, a, d))
+                    a, b, item, exact, d = a[order], b[order], item[order], exact[order], d[order]
+                    named = pa.array(item_ids[np.maximum(item, 0)] if len(item_ids) else item, pa.int64(), mask=item < 0)
+                    columns.append(_lists(at_doc(d), len(some), [pa.array(a - base[d]), pa.array(b - base[d]), named, pa.array(np.where(exact, "exact", "near").tolist(), pa.string())], ["start", "end", "item_id", "kind"]))
+                else:
+                    columns.append(pa.nulls(len(some), kind))
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "ordinal", "doc_id", "n_words", "hit", "near", "items", "spans"])
 
     key = dict(index.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
-    return index.mapInArrow(found, SPANS.format(key=key))
+    return index.mapInArrow(found, FOUND.format(key=key))
 
 
-def covered(spans: F.Column) -> F.Column:
-    """Words inside any of the spans."""
+def covered(runs: F.Column) -> F.Column:
+    """Words inside any of the runs, which may overlap."""
     zero = F.struct(F.lit(0).cast("long").alias("past"), F.lit(0).cast("long").alias("n"))
     step = lambda a, s: F.struct(F.greatest(a.past, s.end).alias("past"), (a.n + F.greatest(F.lit(0), s.end - F.greatest(a.past, s.start))).alias("n"))
-    return F.aggregate(F.array_sort(F.array_distinct(F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))))), zero, step, lambda a: a.n)
+    return F.aggregate(F.array_sort(runs), zero, step, lambda a: a.n)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, slop: int | None = None, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", block: int = BLOCK_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, slop: int | None = None, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", block: int = BLOCK_WINDOWS, spans: bool = True) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_hit (words inside any phrase match), items (ascending ids), n_near, spans.
 
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased. Null and empty texts have none; an item
     without words has no window. With slop, n_near counts the words at which a phrase begins, or a run of at most slop words
     more than a window has that holds all of its words in any order; the latter are no hits. Items without an id count as item null, which appears in spans
-    but not in items. Empty inputs give no rows, or rows without hits; rows that repeat an id are kept each; other columns
+    but not in items; item ids are cast to long. Empty inputs give no rows, or rows without hits; rows that repeat an id are kept each; other columns
     are not read. The index is built and stored once; windows are searched for in blocks of about block, and beyond one
-    block the documents' spans are brought together by shard and ordinal of the stored index.
+    block what the blocks found of a document is brought together by shard and ordinal of the stored index. spans (null if
+    unset) lists every occurrence for every item; counts and items come from runs, which hold a document of many hits in few rows.
     """
     gap = width + (slop or 0) + 1
     windows = window_table(items, width, item_col, text_col)
     index = build_index(docs, window_terms(windows), gap, id_col, text_col)
-    parts = [search(index, own, slop, gap, every=not k) for k, own in enumerate(window_blocks(windows, block))]
+    parts = [search(index, own, slop, gap, every=not k, spans=spans) for k, own in enumerate(window_blocks(windows, block))]
     out = parts[0]
     if len(parts) > 1:
         for more in parts[1:]:
             out = out.unionAll(more)
-        out = out.groupBy("shard", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
-    exact = F.filter("spans", lambda s: s.kind == "exact")
-    ids = F.array_sort(F.array_distinct(F.transform(F.filter(exact, lambda s: s.item_id.isNotNull()), lambda s: s.item_id)))
-    places = F.array_distinct(F.transform("spans", lambda s: s.start))
-    return out.select("doc_id", "n_words", covered(exact).alias("n_hit"), ids.alias("items"), F.size(places).cast("long").alias("n_near"), "spans")
+        flat = [F.flatten(F.collect_list(c)).alias(c) for c in ("hit", "near", "items", "spans")]
+        out = out.groupBy("shard", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *flat)
+        out = out.withColumn("spans", F.col("spans") if spans else F.lit(None).cast(dict(parts[0].dtypes)["spans"])).withColumn("items", F.array_distinct("items"))
+    return out.select("doc_id", "n_words", covered(F.col("hit")).alias("n_hit"), F.array_sort("items").alias("items"), covered(F.col("near")).alias("n_near"), "spans")
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
