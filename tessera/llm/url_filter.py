@@ -11,7 +11,8 @@ from tessera.llm.shared import skew_join, stored
 
 #: Longest filter that is sent to every task, in 64-bit blocks (8 MB); more rules get more bits only up to this.
 MOST_BLOCKS = 1 << 20
-#: Rule path lengths that are listed in the plan; with more of them every prefix of a path is tried.
+#: Rule path lengths, and numbers of labels of rule hosts, that are listed in the plan; with more of them every prefix of a
+#: path, or every parent of a host, is tried.
 MOST_DEPTHS = 4096
 
 SEP = "\x1f"
@@ -75,10 +76,14 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     return rows.withColumn("key", F.concat("host", F.lit(SEP), "path"))
 
 
-def candidate_keys(host: F.Column, path: F.Column, depths: list[int] | None) -> F.Column:
-    """Keys of all rules that could fit: host and its parents, each with the path's prefixes of the rules' lengths (None: of all lengths)."""
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+def candidate_keys(host: F.Column, path: F.Column, depths: list[int] | None, widths: list[int] | None = None) -> F.Column:
+    """Keys of all rules that could fit: host and its parents, each with the path's prefixes of the rules' lengths (None: of all lengths).
+
+    widths are the numbers of labels that rules' hosts have (None: any): only parents of so many labels are spelled out.
+    """
+    labels = F.size(F.split(host, r"\."))
+    sizes = F.sequence(F.lit(1), labels) if widths is None else F.filter(F.lit(widths), lambda n: n <= labels)
+    hosts = F.transform(sizes, lambda n: F.call_function("substring_index", host, F.lit("."), -n))
     long_enough = F.sequence(F.lit(0), F.length(path)) if depths is None else F.filter(F.lit(depths), lambda n: n <= F.length(path))
     prefixes = F.transform(long_enough, lambda n: F.substring(path, F.lit(1), n))
     return F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit(SEP), p))))
@@ -95,9 +100,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     """
     rules = rules.where("key is not null").dropDuplicates(["key", "verdict"])
     depths = sorted({r.n for r in rules.select(F.length("path").alias("n")).distinct().limit(MOST_DEPTHS + 1).collect()}) or [0]
+    widths = sorted({r.n for r in rules.select(F.size(F.split("host", r"\.")).alias("n")).distinct().limit(MOST_DEPTHS + 1).collect()}) or [1]
     blocks = bloom_blocks(rules)
     held = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    keys = candidate_keys(F.col("host"), F.col("path"), depths if len(depths) <= MOST_DEPTHS else None)
+    keys = candidate_keys(F.col("host"), F.col("path"), depths if len(depths) <= MOST_DEPTHS else None, widths if len(widths) <= MOST_DEPTHS else None)
     # One literal that is folded to an array, whatever its length.
     table = F.split(F.lit(",".join(map(str, blocks))), ",").cast("array<bigint>")
     hit = F.filter(F.transform(keys, lambda k: F.struct(k.alias("key"), _hash(k).alias("h"))), lambda x: _passes(x.h, table, len(blocks)))
