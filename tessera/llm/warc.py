@@ -22,8 +22,6 @@ START = re.compile(rb"WARC/\d\.\d\r\n")
 MEMBER = b"\x1f\x8b\x08"
 #: Compressed bytes taken at once.
 STEP = 1 << 14
-#: Longest header of a record; a longer one is damage.
-MOST_HEADER = 1 << 20
 EMPTY_DIGEST = base64.b32encode(hashlib.sha1(b"").digest()).decode()
 
 #: Damage: what stands between two valid records, or a record that failed a check.
@@ -134,11 +132,11 @@ def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
     """The record at a place: where it ends, its fields and payload; or which check it failed."""
     if not START.match(data, at):
         return "no version line"
-    split = data.find(b"\r\n\r\n", at, at + MOST_HEADER)
+    # A header may be of any length, but ends before the next version line.
+    following = START.search(data, at + 8)
+    split = data.find(b"\r\n\r\n", at, following.start() if following else len(data))
     if split < 0:
-        return "header without end"
-    if START.search(data, at + 8, split):
-        return "header runs into another record"
+        return "header runs into another record" if following else "header without end"
     fields = _fields(data[at:split])
     if not re.fullmatch(r"\d{1,15}", fields.get("content-length", "")):
         return "no content length"
@@ -205,6 +203,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str],
     inflated before; they have its offset, the length that was read, and the file's gap for the damage begins there too.
     """
     at, gap, why = 0, None, ""
+    ahead = {b"WARC/": -1, MEMBER: -1}
     while at < len(data):
         if data[at : at + 1] == b"W":
             got = _parse(data, at)
@@ -232,8 +231,9 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str],
             continue
         if gap is None:
             gap, why = at, broken or (held[0][2] if held else "gzip member without record")
-        nexts = [x for x in (data.find(b"WARC/", at + 1), data.find(MEMBER, at + 1)) if x >= 0]
-        at = min(nexts, default=len(data))
+        # Each mark is looked for again only when it has been passed.
+        ahead = {m: place if place > at else data.find(m, at + 1) % (len(data) + 1) for m, place in ahead.items()}
+        at = min(ahead.values())
     if gap is not None:
         yield gap, at - gap, why, {}, b""
 
