@@ -269,16 +269,20 @@ def _calibrated(top: np.ndarray, windows: np.ndarray, y: np.ndarray) -> np.ndarr
 
 
 def sample(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> tuple[list[str | None], list[int]]:
-    """At most rows labelled texts of each class in an order drawn from the id, of at most SAMPLE_BYTES bytes each."""
+    """At most rows labelled texts of each class in an order drawn from the id, of at most SAMPLE_BYTES bytes each.
+
+    An id gives one text, the smallest of its rows': rows that repeat an id, however many, are reduced before they come to the
+    driver, which so gets at most 2 * rows * SAMPLE_BYTES bytes. Null texts, and ids of both classes' labels but the larger, are left out.
+    """
     known = labels.where(F.col(target).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(target).alias("_y"))
     text = docs.where(F.octet_length(F.col(text_col)) <= SAMPLE_BYTES).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     order = F.md5(F.concat(F.lit("toxicity"), F.col("_id").cast("string")))
     texts, y = [], []
     # The ids are chosen before any text moves.
-    ids = text.select("_id").join(known, "_id")
+    ids = text.select("_id").distinct().join(known, "_id")
     for label in (0, 1):
         chosen = [r["_id"] for r in ids.where(F.col("_y") == label).select("_id", order.alias("_o")).orderBy("_o", "_id").limit(rows).collect()]
-        got = text.where(F.col("_id").isin(chosen)).orderBy("_id", "_text").collect() if chosen else []
+        got = text.where(F.col("_id").isin(chosen)).groupBy("_id").agg(F.min("_text").alias("_text")).orderBy("_id").collect() if chosen else []
         texts += [r["_text"] for r in got]
         y += [label] * len(got)
     return texts, y
