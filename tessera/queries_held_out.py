@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import labels, reduction, training
+from tessera.operators import labels, raster, reduction, stencils, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,3 +116,60 @@ def colour_counts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def raster_median_cut(spark, d):
     pixels, colours = colour_counts(spark, d)
     return reduction.remapped(pixels, reduction.median_cut(colours, ["picture"], "n", 12), ["picture"])
+
+
+# Stencils in tiles. Taps and patches are joins of the mirrored image with itself.
+
+_PIX = "p AS (SELECT vec_id AS image, pos % 8 AS x, pos // 8 AS y, v FROM (SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings))"
+_AROUND = "(SELECT o AS {0}, CASE WHEN o < 0 THEN -1 - o WHEN o > 7 THEN 15 - o ELSE o END AS f{0} FROM range(-{1}, 8 + {1}) t(o)) m{0}"
+
+
+def _step_sql(source: str, name: str, taps, cross: bool, slope: float) -> str:
+    """One step over source(image, x, y, v, w, u, sigma, edge); a mirrored image is a list of 14 x 14 for each plane."""
+    at = lambda ix, iy, tap: f"[(y + {3 + iy}) * 14 + x + {4 + ix}{' + dy * 14 + dx' if tap else ''}]"
+    apart = " + ".join(f"{s} * abs(m{c}{at(ix, iy, False)} - m{c}{at(ix, iy, True)})" for c, s in zip("vwu", stencils.PLANE_SCALES, strict=True) for ix, iy in (stencils.CROSS if cross else ((0, 0),)))
+    return f"""
+{name}q AS (SELECT image, {", ".join(f"list({c} ORDER BY my.y, mx.x) AS m{c}" for c in "vwu")} FROM {source} p JOIN {_AROUND.format("x", 3)} ON mx.fx = p.x JOIN {_AROUND.format("y", 3)} ON my.fy = p.y GROUP BY image),
+{name}d AS (SELECT p.*, dx, dy, {", ".join(f"m{c}{at(0, 0, True)} AS t{c}" for c in "vwu")}, {apart} AS d FROM {source} p JOIN {name}q USING (image), (VALUES {", ".join(map(str, taps))}) k(dx, dy)),
+{name}w AS (SELECT *, CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE greatest(0, 1 - d * CASE WHEN edge THEN 2.0::DOUBLE / 3 ELSE 1 END * {slope}::DOUBLE * 4 * (1 - sqrt(0.5::DOUBLE)) / sigma) END AS g FROM {name}d),
+{name} AS (SELECT image, x, y, {", ".join(f"CASE WHEN any_value(sigma) < 0.3 THEN any_value({c}) ELSE sum(g * t{c}) / sum(g) END AS {c}" for c in "vwu")}, any_value(sigma) AS sigma, any_value(edge) AS edge FROM {name}w GROUP BY image, x, y)"""
+
+
+_EPF = f"""WITH {_PIX}, z AS (SELECT image, x, y, v, v * 2 AS w, v * v AS u, (image % 5) * 2.0::DOUBLE AS sigma, (x % 8 IN (0, 7) OR y % 8 IN (0, 7)) AS edge FROM p WHERE image % 10 < 7),
+{_step_sql("z", "s0", stencils.DIAMOND, True, 1.65 * 0.9)},
+{_step_sql("s0", "s1", stencils.CROSS, True, 1.65)},
+{_step_sql("s1", "s2", stencils.CROSS, False, 1.65 * 6.5)}
+SELECT image, x::INT AS x, y::INT AS y, {", ".join(f"round({c}, 7) + 0.0 AS {c}" for c in "vwu")} FROM s2"""
+
+
+@_query(_EPF)
+def raster_edge_preserving(spark, d):
+    rows = raster.from_blocks(_t(spark, d, "embeddings"), "vec_id", "embedding", 8, F.col("value").cast("double")).where("image % 10 < 7")
+    rows = rows.withColumns({"w": F.col("v") * 2, "u": F.col("v") * F.col("v"), "sigma": (F.col("image") % 5) * 2.0})
+    out = stencils.edge_preserving(rows, ["v", "w", "u"], "sigma", side=5)
+    return out.select("image", "x", "y", *[(F.round(c, 7) + 0.0).alias(c) for c in "vwu"])
+
+
+def _up_sql(factor: int, weights) -> str:
+    kernel = stencils.phase_weights(weights, factor)
+    rows = ", ".join(f"({a}, {b}, [{', '.join(repr(float(c)) for c in kernel[a, b].ravel())}]::DOUBLE[])" for a in range(factor) for b in range(factor))
+    window = "[" + ", ".join(f"m[(y + {i}) * 12 + x + {j + 1}]" for i in range(5) for j in range(5)) + "]"
+    return f"""WITH {_PIX}, k(a, b, c) AS (VALUES {rows}),
+q AS (SELECT image, list(v ORDER BY my.y, mx.x) AS m FROM p JOIN {_AROUND.format("x", 2)} ON mx.fx = p.x JOIN {_AROUND.format("y", 2)} ON my.fy = p.y GROUP BY image),
+n AS (SELECT image, x, y, {window} AS n FROM p JOIN q USING (image))
+SELECT image, (x * {factor} + b)::INT AS x, (y * {factor} + a)::INT AS y, round(least(greatest(list_inner_product(n, c), list_min(n)), list_max(n)), 7) + 0.0 AS v FROM n, k"""
+
+
+def _upsampled(spark, d, factor):
+    rows = raster.from_blocks(_t(spark, d, "embeddings"), "vec_id", "embedding", 8, F.col("value").cast("double"))
+    return stencils.upsample(rows, factor, side=5).withColumn("v", F.round("v", 7) + 0.0)
+
+
+@_query(_up_sql(2, stencils.UP2))
+def raster_upsample2(spark, d):
+    return _upsampled(spark, d, 2)
+
+
+@_query(_up_sql(4, stencils.UP4))
+def raster_upsample4(spark, d):
+    return _upsampled(spark, d, 4)
