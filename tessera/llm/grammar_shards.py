@@ -9,11 +9,13 @@ or a stretch of ids, is decoded without the rest. No pair crosses the end of a d
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +30,11 @@ HEADER = struct.Struct("<8sQQQQQQI")
 #: Ids in a shard, from which it is closed (a document is never split).
 SHARD_IDS = 1 << 20
 #: Occurrences that a pair needs for a rule, and rounds of replacement.
-LEAST_COUNT, ROUNDS = 4, 8
+LEAST_COUNT, ROUNDS = 4, 6
 #: A round takes pairs at least this part of the most frequent one's count, so that frequent pairs go first.
 ROUND_SHARE = 64
-#: Chunks of text that a worker remembers the ids of.
-REMEMBERED = 600_000
+#: Chunks of text that a worker remembers the ids of, and plain words and marks apart.
+REMEMBERED, PIECES = 800_000, 200_000
 
 
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -42,11 +44,19 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+#: A lower-case word, in UTF-8, with the marks behind it.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:;=?@\[-`{}~]*)")
+#: Rules of the tokenizers whose plain words and marks are tokens apart.
+PLAIN_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Encoder:
     """Texts to ids with the tokenizers library; of tokenizers that drop white space, each chunk between ASCII white space once.
 
     apart says that no token reaches over white space and that white space itself gives none, so that a text's ids are its
-    chunks' ids in a row. Chunks are remembered up to a fixed number, then forgotten together.
+    chunks' ids in a row. Chunks are remembered up to a fixed number, then forgotten together. If the file's own rules lower-case
+    and part letters from marks, a plain word and the marks behind it go to the library's model directly.
     """
 
     def __init__(self, path: str, apart: bool):
@@ -54,35 +64,71 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.apart = Tokenizer.from_file(path), apart
+        rules = json.loads(self.tokenizer.to_str())
+        kinds = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+        steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        same = len(steps) == 2 and steps[0].get("pattern") == {"Regex": PLAIN_PATTERN} and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"]
+        self.plain = self.tokenizer.model if same and kinds == PLAIN_NORMALIZERS else None
+        if self.plain:
+            from tokenizers.pre_tokenizers import ByteLevel
+
+            spelled = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            # The two characters of each letter of two bytes.
+            self.letters = {k: spelled(chr(k))[0][0] for k in range(0xDF, 0x100) if k != 0xF7}
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.pieces: dict[bytes, list[int]] = {b"": []}
         self.ids, self.first, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
 
-    def _encoded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum())), lengths
+    def _encoded(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[bytes]) -> list[list[int]]:
+        """Ids of chunks without white space."""
+        if not self.plain:
+            return self._encoded(chunks)
+        out: list[list[int] | None] = []
+        if len(self.pieces) > PIECES:
+            self.pieces = {b"": []}
+        pieces, tokenize = self.pieces, self.plain.tokenize
+        for chunk in chunks:
+            found = PLAIN.fullmatch(chunk.lower())
+            if found is None:
+                out.append(None)
+                continue
+            for piece in found.groups():
+                if piece not in pieces:
+                    pieces[piece] = [t.id for t in tokenize(piece.decode().translate(self.letters))]
+            out.append(pieces[found[1]] + pieces[found[2]])
+        rest = iter(self._encoded([c for c, ids in zip(chunks, out, strict=True) if ids is None]))
+        return [next(rest) if ids is None else ids for ids in out]
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
         if not self.apart:
-            return self._encoded(texts)
+            got = self._encoded(texts)
+            lengths = np.fromiter(map(len, got), np.int64, len(got))
+            return np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum())), lengths
         if len(self.known) > REMEMBERED or self.used > 8 * REMEMBERED:
             self._forget()
         chunks = [t.split() for t in texts]
         flat = list(chain.from_iterable(chunks))
-        fresh = list({c for c in flat if c not in self.known})
-        if fresh:
-            ids, lengths = self._encoded(fresh)
+        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            fresh = list(dict.fromkeys(map(flat.__getitem__, missing.tolist())))
+            got = self._chunks(fresh)
+            lengths = np.fromiter(map(len, got), np.int64, len(got))
+            ids = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
             if self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used, len(ids)) + len(ids), np.uint32)])
             self.ids[self.used : self.used + len(ids)] = ids
             self.known.update(zip(fresh, range(len(self.first) - 1, len(self.first) - 1 + len(fresh)), strict=True))
             self.first = np.concatenate([self.first, self.used + np.cumsum(lengths)])
             self.used += len(ids)
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+            at[missing] = np.fromiter((self.known[flat[k]] for k in missing.tolist()), np.int64, len(missing))
         lengths = self.first[at + 1] - self.first[at]
         per_text = np.fromiter(map(len, chunks), np.int64, len(chunks))
         sums = np.concatenate([[0], np.cumsum(lengths)])
@@ -313,7 +359,8 @@ def read_shards(listed: DataFrame) -> DataFrame:
     """doc_id (as text), start, n_tokens, ids_crc32 of every document in the listed files, decoded from them.
 
     start counts from the first file of the list; ids_crc32 is that of the ids as little-endian unsigned 32-bit integers, the
-    end id included. A file that is missing or damaged raises an error. A task reads one file at a time.
+    end id included. A file that is missing or damaged raises an error. A task reads one file at a time,
+    and files are dealt to tasks of about 16 each, 10,000 tasks at most.
     """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,4 +377,4 @@ def read_shards(listed: DataFrame) -> DataFrame:
                 starts = np.array(edges[:-1], np.int64) + base
                 yield pa.RecordBatch.from_arrays([pa.array(shard.names, pa.string()), pa.array(starts), pa.array(np.diff(shard.doc_tokens)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return listed.select("name", "base").repartition("name").mapInArrow(rows, "doc_id string, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return listed.select("name", "base").repartition(max(1, min(-(-listed.count() // 16), 10_000))).mapInArrow(rows, "doc_id string, start bigint, n_tokens bigint, ids_crc32 bigint")
