@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import labels, raster, reduction, stencils, training
+from tessera.functions import draws
+from tessera.operators import labels, raster, reduction, sketches, stencils, training
+from tessera.plans import regions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -173,3 +175,98 @@ def raster_upsample2(spark, d):
 @_query(_up_sql(4, stencils.UP4))
 def raster_upsample4(spark, d):
     return _upsampled(spark, d, 4)
+
+
+# Sketches
+
+
+@_query("""
+WITH b AS (SELECT l_returnflag, floor(greatest(least((ln(l_extendedprice * l_discount + 1e-30) + 46) / 0.125, 511), 0))::INT AS bin, count(*) AS n FROM lineitem GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY l_returnflag ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY l_returnflag) AS total FROM b)
+SELECT l_returnflag, min(-46 + (bin + 0.5) * 0.125::DOUBLE) FILTER (seen > floor(least(0.5 * total, total - 1))) AS q50, min(-46 + (bin + 0.5) * 0.125::DOUBLE) FILTER (seen > floor(least(0.99::DOUBLE * total, total - 1))) AS q99 FROM c GROUP BY 1
+""")
+def stat_log_sketch(spark, d):
+    rows = _t(spark, d, "lineitem")
+    ln = F.ln(F.col("l_extendedprice") * F.col("l_discount") + 1e-30)
+    halves = [sketches.log_sketch(rows.where(F.col("l_linenumber") % 2 == k), ["l_returnflag"], ln) for k in (0, 1)]
+    return sketches.sketch_quantiles(sketches.merged(halves, ["l_returnflag"]), ["l_returnflag"], {"q50": 0.5, "q99": 0.99})
+
+
+_COEFFICIENTS = "b AS (SELECT u, x, CASE WHEN u = 0 THEN 1.0::DOUBLE ELSE sqrt(2.0::DOUBLE) END * cos((2 * x + 1) * u * pi() / 16) / 8 AS c FROM range(8) t(u), range(8) s(x)), k AS (SELECT image, r.u AS col, q.u AS row, sum(v * r.c * q.c) AS v FROM p JOIN b r ON r.x = p.x JOIN b q ON q.x = p.y GROUP BY ALL)"
+
+
+@_query(f"""WITH {_PIX}, {_COEFFICIENTS},
+e AS (SELECT image, sum(v * v) FILTER (row + col > 0) AS y, sum(v * v) FILTER (row + col BETWEEN 1 AND 2) AS low, sum(v * v) FILTER (greatest(row, col) >= 4) AS high, sum(v * v) FILTER (row > col) AS r, sum(v * v) FILTER (col > row) AS c,
+  sum(v * v / 4 + v * v * v * v) FILTER (row + col > 0) AS xb, count(*) FILTER (row + col > 0 AND abs(v) < 1e-3) AS n3, count(*) FILTER (row + col > 0 AND abs(v) < 1e-2) AS n2, max(v) FILTER (row + col = 0) AS dc FROM k GROUP BY image),
+h AS (SELECT image % 4 AS picture, floor(greatest(least((ln(y + 1e-30) + 46) / 0.125, 511), 0))::INT AS bin, count(*) AS n FROM e GROUP BY ALL),
+s AS (SELECT *, sum(n) OVER (PARTITION BY picture ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY picture) AS total FROM h),
+q AS (SELECT picture, {", ".join(f"min(-46 + (bin + 0.5) * 0.125::DOUBLE) FILTER (seen > floor(least({q} * total, total - 1))) AS ln_ac_y_q{round(q * 100)}" for q in (0.5, 0.9, 0.99))} FROM s GROUP BY 1)
+SELECT image % 4 AS picture, count(*) AS blocks, round(ln(sum(y) / count(*) + 1e-30), 7) AS ln_ac_y_mean, any_value(ln_ac_y_q50) AS ln_ac_y_q50, any_value(ln_ac_y_q90) AS ln_ac_y_q90, any_value(ln_ac_y_q99) AS ln_ac_y_q99, round(sum(high) / (sum(low) + 1e-30), 7) AS high_low_ratio,
+round(abs(sum(r) - sum(c)) / (sum(r) + sum(c) + 1e-30), 7) AS directional_asymmetry, round(sum(xb) / (sum(y) + 1e-30), 7) AS chroma_ac_ratio, round(sum(n3) / (count(*) * 63), 9) AS near_zero_frac_1e3, round(sum(n2) / (count(*) * 63), 9) AS near_zero_frac_1e2, round(greatest(avg(dc * dc) - avg(dc) * avg(dc), 0), 9) AS dc_variance_y
+FROM e JOIN q ON q.picture = e.image % 4 GROUP BY image % 4""")
+def summary_transform(spark, d):
+    basis = raster.dct_basis(8)
+    rows = raster.separable(_t(spark, d, "embeddings").withColumn("picture", F.col("vec_id") % 4), "embedding", basis, basis, ["picture", "vec_id"])
+    blocks = rows.select("picture", F.col("values").alias("y"), F.transform("values", lambda v: v / 2).alias("x"), F.transform("values", lambda v: v * v).alias("b"))
+    out = sketches.transform_summary(sketches.transform_partials(blocks, ["picture"], "y", "x", "b"), ["picture"])
+    seven = ("ln_ac_y_mean", "high_low_ratio", "directional_asymmetry", "chroma_ac_ratio")
+    return out.withColumns({c: F.round(c, 7) for c in seven} | {c: F.round(c, 9) for c in ("near_zero_frac_1e3", "near_zero_frac_1e2", "dc_variance_y")})
+
+
+# Seeded draws
+
+_NOISE_SEED = (3 << 32) + 1
+
+
+@_query()
+def pixel_noise(spark, d):
+    key = F.col("l_partkey")
+    groups = _t(spark, d, "lineitem").where(key % 40 == 1).select(key).distinct().select(key.alias("part"), ((key % 50) * 32).alias("x0"), ((key % 7) * 8).alias("y0"), (5 + key % 17).alias("width"), (1 + key % 5).alias("height"))
+    return draws.noise_field(groups, _NOISE_SEED).select("part", "channel", "x", "y", "v")
+
+
+@_query("""
+WITH c AS (SELECT p_brand, p_size % 16 AS symbol, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT p_brand, sum(n) AS t FROM c GROUP BY 1),
+m AS (SELECT t.p_brand, s.symbol, coalesce(n, 0) * 4096 // t AS mass FROM t CROSS JOIN range(16) s(symbol) LEFT JOIN c ON c.p_brand = t.p_brand AND c.symbol = s.symbol)
+SELECT p_brand, symbol::INT AS symbol, (mass + CASE WHEN symbol = 0 THEN 4096 - sum(mass) OVER (PARTITION BY p_brand) ELSE 0 END)::BIGINT AS slots, (mass + CASE WHEN symbol = 0 THEN 4096 - sum(mass) OVER (PARTITION BY p_brand) ELSE 0 END)::BIGINT AS offsets FROM m
+""")
+def entropy_alias(spark, d):
+    """Every slot of every brand's table: how many a symbol has, and how many different offsets."""
+    counts = _t(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("t"), *[F.count_if(F.col("p_size") % 16 == k).alias(f"c{k}") for k in range(16)])
+    mass = F.array(*[F.floor(F.col(f"c{k}") * 4096 / F.col("t")) for k in range(16)])
+    spare = 4096 - F.aggregate(mass, F.lit(0).cast("bigint"), lambda a, m: a + m)
+    tables = counts.select("p_brand", F.transform(mass, lambda m, k: m + F.when(k == 0, spare).otherwise(0)).alias("mass")).withColumn("table", draws.alias_table(F.col("mass")))
+    slots = tables.select("p_brand", "mass", F.explode(F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda s: draws.alias_symbol(F.col("table"), s))).alias("e"))
+    seen = slots.groupBy("p_brand", F.col("e.symbol").alias("symbol")).agg(F.count("*").alias("slots"), F.countDistinct("e.offset").alias("offsets"))
+    every = tables.select("p_brand", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("symbol"))
+    return every.join(seen, ["p_brand", "symbol"], "left").na.fill(0, ["slots", "offsets"])
+
+
+# Regions. A picture of 8 x 8 is three levels of parts.
+
+_LEVEL = lambda name, below, side, cells: f"{name} AS (SELECT image, x // {side} AS x, y // {side} AS y, sum(cost) AS split_cost, 0.95::DOUBLE * sqrt(sum(e) * {cells}) AS single_cost, sum(e) AS e, least(sum(cost), 0.95::DOUBLE * sqrt(sum(e) * {cells})) AS cost FROM {below} GROUP BY ALL)"
+
+
+@_query(f"""WITH {_PIX}, l3 AS (SELECT image, x, y, abs(v) AS cost, v * v AS e FROM p),
+{_LEVEL("l2", "l3", 2, 4)}, {_LEVEL("l1", "l2", 2, 16)}, {_LEVEL("l0", "l1", 2, 64)},
+a AS (SELECT 2 AS depth, * FROM l2 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 0, * FROM l0)
+SELECT image, depth, count(*) AS nodes, count(*) FILTER (single_cost < split_cost) AS merged, count(*) FILTER (single_cost < split_cost * 1.02) AS chosen, round(sum(CASE WHEN single_cost < split_cost * 1.02 THEN single_cost ELSE split_cost END - cost), 7) + 0.0 AS regret FROM a GROUP BY ALL""")
+def plan_regions(spark, d):
+    out = decided_regions(spark, d)[0]
+    return out.groupBy("image", F.length("path").alias("depth")).agg(F.count("*").alias("nodes"), F.count_if("merged").alias("merged"), F.count_if("chosen").alias("chosen"), (F.round(F.sum("regret"), 7) + 0.0).alias("regret"))
+
+
+def decided_regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    pixels = raster.from_blocks(_t(spark, d, "embeddings"), "vec_id", "embedding", 8, F.col("value").cast("double"))
+    digit = lambda k: (F.shiftright(F.col("y").cast("int"), k).bitwiseAND(F.lit(1)) * 2 + F.shiftright(F.col("x").cast("int"), k).bitwiseAND(F.lit(1))).cast("string")
+    leaves = pixels.select("image", F.concat(digit(2), digit(1), digit(0)).alias("path"), F.abs("v").alias("cost"), (F.col("v") * F.col("v")).alias("e"))
+    heads = leaves.select("image", F.explode(F.array(*[F.substring("path", 1, n) for n in range(3)])).alias("path"), "e")
+    singles = heads.groupBy("image", "path").agg((0.95 * F.sqrt(F.sum("e") * F.pow(F.lit(4.0), 3 - F.length("path")))).alias("single"))
+    return regions.region_decisions(leaves, singles, ["image"], "path", "cost", "single", lambda split, whole: whole < split * 1.02), leaves
+
+
+@_query()
+def plan_cover_agreement(spark, d):
+    made, leaves = decided_regions(spark, d)
+    both = [regions.cover(made, leaves, ["image"], "path", c) for c in ("merged", "chosen")]
+    return regions.covered_agreement(*both, ["image"]).select("image", F.round("same", 9).alias("same"), F.round("area", 9).alias("area"))
