@@ -33,17 +33,34 @@ def broadcast_if_few(df: DataFrame, most: int = 1 << 20) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: str, n: str = "n", most: int = 100_000) -> DataFrame:
+#: Bytes of a table, written out, up to which it is broadcast, and copies of hot rows beyond.
+MOST_BYTES, SALTS = 64 << 20, 64
+
+
+def _sized(df: DataFrame) -> F.Column:
+    """Bytes of a table, as its rows are written out."""
+    return F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("bytes")
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: str, n: str = "n", most: int = 100_000, most_bytes: int = MOST_BYTES) -> DataFrame:
     """left with the columns of right (but n), a stored table of one row for each key with the number n of left rows that have it.
 
-    A left join, so null keys and keys that right lacks get nulls. right is broadcast if it has at most most rows. Else
-    its keys with more than one most-th of all rows are, of which there are fewer than most; no other key is a large
-    group in the shuffle that takes the rest.
+    A left join, so null keys and keys that right lacks get nulls. right is broadcast if it has at most most rows and
+    most_bytes bytes. Else its keys with more than one most-th of all rows are hot, of which there are fewer than most; rows
+    are told apart by the hashes of these keys, which are broadcast, so no other key is a large group in the shuffle that
+    takes the rest. The hot rows of right are broadcast if they have at most most_bytes bytes, else copied SALTS times, and the
+    left rows of a hot key are dealt to the copies.
     """
-    size = right.agg(F.count("*").alias("rows"), F.coalesce(F.sum(n), F.lit(0)).alias("all")).first()
-    if size.rows <= most:
+    size = right.agg(F.count("*").alias("rows"), F.coalesce(F.sum(n), F.lit(0)).alias("all"), _sized(right)).first()
+    if size.rows <= most and size.bytes <= most_bytes:
         return left.join(F.broadcast(right.drop(n)), on, "left")
-    hot = F.col(n) > size["all"] / most
-    marked = left.join(F.broadcast(right.where(hot).drop(n).withColumn("_hot", F.lit(True))), on, "left")
-    rest = marked.where("_hot is null").select(*left.columns).join(right.where(~hot).drop(n), on, "left")
-    return marked.where("_hot").drop("_hot").unionByName(rest)
+    hashes = right.where((F.col(n) > size["all"] / most) & F.col(on).isNotNull()).select(F.xxhash64(on).alias("_h")).distinct().withColumn("_hot", F.lit(True))
+    marked = lambda df: df.withColumn("_h", F.xxhash64(on)).join(F.broadcast(hashes), "_h", "left").drop("_h")
+    mine, theirs = marked(left), marked(right.drop(n))
+    rest = mine.where("_hot is null").drop("_hot").join(theirs.where("_hot is null").drop("_hot"), on, "left")
+    hot_left, hot_right = mine.where("_hot").drop("_hot"), theirs.where("_hot").drop("_hot")
+    if hot_right.agg(_sized(hot_right)).first().bytes <= most_bytes:
+        return hot_left.join(F.broadcast(hot_right), on, "left").unionByName(rest)
+    dealt = hot_left.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    copied = hot_right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copied, [on, "_salt"], "left").drop("_salt").unionByName(rest)
