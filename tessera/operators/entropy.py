@@ -77,8 +77,8 @@ def huffman_lengths(counts: DataFrame, keys: Sequence[str], value: str, limit: i
 
     def lengths(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values(["n", value], ignore_index=True)
-        unit = np.eye(len(own), dtype=np.int64)
-        coins = [(int(n), unit[k]) for k, n in enumerate(own["n"])]
+        # A package is the list of its symbols, so a level holds about two numbers for each symbol.
+        coins = [(int(n), np.array([k])) for k, n in enumerate(own["n"])]
         bits = np.zeros(len(own), np.int64)
         if len(own) == 1:
             bits += 1
@@ -87,10 +87,9 @@ def huffman_lengths(counts: DataFrame, keys: Sequence[str], value: str, limit: i
         else:
             row = coins
             for _ in range(limit - 1):
-                made = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(row[::2], row[1::2], strict=False)]
+                made = [(a[0] + b[0], np.concatenate([a[1], b[1]])) for a, b in zip(row[::2], row[1::2], strict=False)]
                 row = sorted([*coins, *made], key=lambda c: c[0])
-            for _, members in row[: 2 * len(own) - 2]:
-                bits += members
+            bits += np.bincount(np.concatenate([members for _, members in row[: 2 * len(own) - 2]]), minlength=len(own))
         return own[[*keys, value, "n"]].assign(length=bits)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in counts.select(*keys, value, "n").dtypes) + ", length int"

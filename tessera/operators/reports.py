@@ -89,7 +89,7 @@ def image_summary(targets: DataFrame, image: str, key: str, rivals: Sequence[str
 
 def corpus_aggregate(targets: DataFrame, images: DataFrame, rivals: Sequence[str]) -> DataFrame:
     """One row over all target rows and image summaries: counts, median and largest score error, coverage and geometric
-    mean ratio for each rival, statuses counted, and whether all images are monotone."""
+    mean ratio for each rival, and whether all images are monotone; `status_counts` has the statuses."""
     errors = targets.select(F.abs("overshoot").alias("_e"))
     middle = order_statistics(errors, [], "_e", {"_l": lambda n: F.floor((n - 1) / 2), "_h": lambda n: F.ceil((n - 1) / 2)})
     per = []
@@ -102,6 +102,12 @@ def corpus_aggregate(targets: DataFrame, images: DataFrame, rivals: Sequence[str
     return whole.crossJoin(middle.select(((F.col("_l") + F.col("_h")) / 2).alias("median_abs_score_error"))).crossJoin(flags)
 
 
+def status_counts(targets: DataFrame, rivals: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """by, rival, status, n: how often each status of each rival occurs; null is the text 'null'. No targets, no rows."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rival"), F.coalesce(F.col(f"status_{r}").cast("string"), F.lit("null")).alias("status")) for r in rivals]))
+    return targets.select(*by, pairs.alias("_s")).select(*by, "_s.*").groupBy(*by, "rival", "status").agg(F.count("*").alias("n"))
+
+
 def timing_summary(runs: DataFrame, by: Sequence[str], setting: Column, valid: Column, wall: str, cpu: str, rss: str) -> DataFrame:
     """by, setting (as JSON or text), valid_runs, the five numbers of wall and cpu times and peak_rss of valid runs."""
     kept = runs.where(valid).select(*by, setting.alias("setting"), wall, cpu, rss)

@@ -139,8 +139,9 @@ def robust_scale(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def family_weight(df: DataFrame, family: str, name: str = "weight") -> DataFrame:
-    """One over the rows of the family: each family has a total weight of 1."""
-    return df.withColumn(name, F.lit(1.0) / F.count("*").over(Window.partitionBy(family)))
+    """One over the rows of the family: each family has a total weight of 1. Families are counted and joined back, so a large one is no task's."""
+    sizes = df.groupBy(F.col(family).alias("_family")).agg((F.lit(1.0) / F.count("*")).alias(name))
+    return df.join(sizes, df[family].eqNullSafe(sizes["_family"])).drop("_family")
 
 
 def leave_one_out(df: DataFrame, by: Sequence[str], value: str, fallback: Column, name: str = "expected") -> DataFrame:

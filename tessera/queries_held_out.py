@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import draws
 from tessera.operators import labels, raster, reduction, sketches, stencils, training
 from tessera.plans import regions
+from tessera.sources import curves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -270,3 +271,24 @@ def plan_cover_agreement(spark, d):
     made, leaves = decided_regions(spark, d)
     both = [regions.cover(made, leaves, ["image"], "path", c) for c in ("merged", "chosen")]
     return regions.covered_agreement(*both, ["image"]).select("image", F.round("same", 9).alias("same"), F.round("area", 9).alias("area"))
+
+
+# Files of curves, as Spark writes them, through the data source.
+
+_CURVE_VERSION = "curve/1"
+
+
+@_query("""
+WITH c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rung, value / 5.0::DOUBLE AS score FROM events)
+SELECT user_id::VARCHAR AS image_id, 'f' || user_id % 6 AS family_id, rung::INT AS rung, rung * 10.0::DOUBLE AS scale, score, CASE WHEN rung % 4 <> 0 THEN 1000 + 7 * rung END AS bytes FROM c WHERE user_id % 5 <> 3
+""")
+def src_curves(spark, d):
+    from tessera.queries_more import _points
+    from tessera.sources.shared import new_path
+
+    point = F.struct("rung", F.col("scale").alias("effective_scale"), "score", F.col("bytes").cast("bigint").alias("bytes"))
+    curves_ = _points(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    image = F.struct(F.col("user_id").cast("string").alias("id"), F.concat(F.lit("f"), F.col("user_id") % 6).alias("family_id"))
+    path = new_path(spark, "curves")
+    curves_.select(F.to_json(F.struct(F.lit(_CURVE_VERSION).alias("schema"), image.alias("image"), "points")).alias("value")).write.text(path)
+    return curves.read(spark, path, "curves", _CURVE_VERSION).where("image_id % 5 <> 3").select("image_id", "family_id", "rung", "scale", "score", "bytes")

@@ -209,6 +209,11 @@ def report_corpus(spark, d):
     return _round(_round(out, 9, "max_abs_score_error", "coverage_rate", "coverage_rival", "median_abs_score_error"), 7, "geomean_rate", "geomean_rival")
 
 
+@_query(_IMAGES + """ SELECT rival, status, count(*) AS n FROM (SELECT unnest([struct_pack(rival := 'rate', status := coalesce(status_rate, 'null')), struct_pack(rival := 'rival', status := coalesce(status_rival, 'null'))], recursive := true) FROM t) GROUP BY ALL""")
+def report_statuses(spark, d):
+    return reports.status_counts(_target_rows(spark, d), ["rate", "rival"])
+
+
 @_query("""WITH v AS (SELECT l_suppkey, l_returnflag, '{"status":"' || l_linestatus || '"}' AS setting, l_extendedprice w, CASE WHEN l_discount > 0.01 THEN l_quantity END c, l_partkey FROM lineitem WHERE l_tax < 0.07)
 SELECT l_suppkey, l_returnflag, setting, count(*) AS valid_runs, max(l_partkey) AS peak_rss, min(w) AS wall_min, round(quantile_cont(w, 0.5), 6) AS wall_median, quantile_disc(w, 0.95) AS wall_p95, quantile_disc(w, 0.99) AS wall_p99, max(w) AS wall_max,
 min(c) AS cpu_min, round(quantile_cont(c, 0.5), 6) AS cpu_median, quantile_disc(c, 0.95) AS cpu_p95, quantile_disc(c, 0.99) AS cpu_p99, max(c) AS cpu_max FROM v GROUP BY ALL""")
