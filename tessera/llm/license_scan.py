@@ -19,17 +19,25 @@ SENTENCES = [
     ("mit-notice", "the above copyright notice and this permission notice shall be included in all copies *"),
     ("mit-asis", "the software is provided as is without warranty of any kind *"),
     ("mit-name", "released under the mit license"),
+    ("mit-name", "licensed under the mit license"),
+    ("mit-name", "distributed under the mit license"),
     ("bsd-grant", "redistribution and use in source and binary forms *"),
     ("bsd-source", "redistributions of source code must retain the above copyright notice *"),
     ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice *"),
     ("bsd-endorse", "neither the name of * may be used to endorse *"),
     ("gpl-2-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license *"),
     ("gpl-2-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 *"),
+    ("gpl-2-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license *"),
+    ("gpl-1-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 1 *"),
+    ("gpl-1-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 1 of the license *"),
+    ("gpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license *"),
+    ("gpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license *"),
+    ("gpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 *"),
     ("lgpl-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license *"),
     ("lgpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license *"),
     ("agpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license *"),
     ("lgpl-warranty", "this library is distributed in the hope that it will be useful *"),
-    ("gpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license *"),
+    ("gpl-any-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license *"),
     ("gpl-version", "* gnu general public license version 3 *"),
     ("gpl-warranty", "this program is distributed in the hope that it will be useful *"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license *"),
@@ -54,6 +62,9 @@ SENTENCES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-short", "licensed under cc by 4 0"),
     ("cc-by-nc-short", "licensed under cc by nc 4 0"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-sa-short", "licensed under cc by sa 4 0"),
+    ("spdx-bsl-1", "spdx license identifier bsl 1 0"),
     ("reserved", "all rights reserved"),
     ("reserved", "* all rights reserved"),
     ("copyright", "copyright *"),
@@ -70,7 +81,7 @@ RULES = [
     (6, "Apache-2.0", ["apache-grant"]),
     (7, "MIT", ["mit-grant"]),
     (8, "BSD", ["bsd-grant"]),
-    (9, "GPL", ["gpl-free"]),
+    (9, "GPL-3.0", ["gpl-free"]),
     (10, "GPL-3.0", ["gpl-version"]),
     (11, "CC-BY-4.0", ["cc-by"]),
     (12, "CC-BY-4.0", ["cc-by-short"]),
@@ -103,10 +114,17 @@ RULES = [
     (39, "MPL-2.0", ["spdx-mpl-2"]),
     (40, "ISC", ["spdx-isc"]),
     (41, "Unlicense", ["spdx-unlicense"]),
+    (42, "GPL-1.0", ["gpl-1-free", "gpl-warranty"]),
+    (43, "GPL-1.0", ["gpl-1-free"]),
+    (44, "GPL", ["gpl-any-free", "gpl-warranty"]),
+    (45, "GPL", ["gpl-any-free"]),
+    (46, "CC-BY-SA-4.0", ["cc-by-sa"]),
+    (47, "CC-BY-SA-4.0", ["cc-by-sa-short"]),
+    (48, "BSL-1.0", ["spdx-bsl-1"]),
 ]
 
 # Grants of one sentence, which may have other words before and after them, but no "not" before.
-GRANTS = {"apache-grant", "mit-name", "cc-by", "cc-by-short", "cc-by-nc-short"}
+GRANTS = {"apache-grant", "mit-name", "cc-by", "cc-by-short", "cc-by-nc-short", "cc-by-sa", "cc-by-sa-short"}
 
 #: Of the SQL, which knows a licence sentence only where it has a line to itself: what ends its lines and sentences.
 BREAK = r"[\n\r]+|[.!?][ \t\n\r]+"
