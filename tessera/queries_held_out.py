@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import draws
+from tessera.functions import draws, ladder
 from tessera.operators import labels, raster, reduction, sketches, stencils, training
-from tessera.plans import regions
+from tessera.plans import bounded, regions
 from tessera.sources import curves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -292,3 +292,43 @@ def src_curves(spark, d):
     path = new_path(spark, "curves")
     curves_.select(F.to_json(F.struct(F.lit(_CURVE_VERSION).alias("schema"), image.alias("image"), "points")).alias("value")).write.text(path)
     return curves.read(spark, path, "curves", _CURVE_VERSION).where("image_id % 5 <> 3").select("image_id", "family_id", "rung", "scale", "score", "bytes")
+
+
+_PARTS = [("b0", "c0"), ("b1", "c1"), ("b2", "c2")]
+
+
+@_query("""
+WITH p AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity * 0.75 AS b0, l_quantity AS c0, l_extendedprice / 4096 AS b1, l_extendedprice / 2048 AS c1, l_tax * 64 AS b2, l_tax * 128 AS c2 FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_tax FROM lineitem)),
+k AS (SELECT *, 0.5 + b0 + b1 + b2 AS s0, 0.5 + c0 + b1 + b2 AS s1, 0.5 + c0 + c1 + b2 AS s2, 0.5 + c0 + c1 + c2 AS s3 FROM p),
+c AS (SELECT *, min(s3) OVER (PARTITION BY l_orderkey ORDER BY s0, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_tax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cut FROM (SELECT k.*, c0 AS l_quantity, c1 AS l_extendedprice, c2 AS l_tax FROM k)),
+d AS (SELECT *, CASE WHEN s0 >= cut THEN 0 WHEN s1 >= cut THEN 1 WHEN s2 >= cut THEN 2 ELSE 3 END AS done FROM c)
+SELECT l_orderkey, count(*) AS candidates, round(min(s3), 7) AS best, sum(done)::BIGINT AS parts_done, (count(*) * 3 - sum(done))::BIGINT AS skipped, 0::BIGINT AS unsafe FROM d GROUP BY 1
+""")
+def plan_bounded_cost(spark, d):
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax").distinct()
+    rows = rows.withColumns({"b0": F.col("l_quantity") * 0.75, "c0": F.col("l_quantity"), "b1": F.col("l_extendedprice") / 4096, "c1": F.col("l_extendedprice") / 2048, "b2": F.col("l_tax") * 64, "c2": F.col("l_tax") * 128})
+    made = bounded.bounded_costs(rows, ["l_orderkey"], ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax"], _PARTS, F.lit(0.5))
+    return bounded.bounded_summary(made, ["l_orderkey"], 3).withColumn("best", F.round("best", 7))
+
+
+@_query(f"""
+WITH g AS (SELECT k, (k - 1) * {ladder.MOST_SCALE} // k + 1 AS first, coalesce(sum({ladder.MOST_SCALE} - ((k - 1) * {ladder.MOST_SCALE} // k + 1) + 1) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM range(1, {ladder.MOST_FACTOR} + 1) t(k)),
+s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity * 2 AS target, least((l_partkey * 37 + l_suppkey * 101)::BIGINT, {ladder.RUNGS} - 1) AS r, round(greatest(least(l_extendedprice * 3.7::DOUBLE, {ladder.MOST_SCALE * ladder.MOST_FACTOR}), 1))::BIGINT AS z FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity FROM lineitem))
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, ((g.first + r - g.start) * g.k)::BIGINT AS effective, (h.start + greatest(z // h.k - h.first, -1))::BIGINT AS rung, greatest(1.0::DOUBLE, 2 * 0.02::DOUBLE * greatest(100 - target, 1e-3)) AS band
+FROM s ASOF JOIN g ON s.r >= g.start JOIN g h ON h.k = ceil(z / {ladder.MOST_SCALE})
+""")
+def curve_ladder(spark, d):
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity").distinct()
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", ladder.effective_scale(F.col("l_partkey") * 37 + F.col("l_suppkey") * 101).alias("effective"), ladder.rung_for_scale(F.col("l_extendedprice") * 3.7).alias("rung"), ladder.met_band(F.col("l_quantity") * 2, 0.02, 2.0).alias("band"))
+
+
+@_query("""
+SELECT 'rate' AS source, user_id, count(*) AS n, count(bytes) AS priced, NULL::BIGINT AS quality FROM (SELECT user_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) % 4 <> 0 THEN 1 END AS bytes FROM events) GROUP BY user_id
+UNION ALL SELECT 'quality', user_id, count(*), 0, sum(event_id)::BIGINT FROM events WHERE event_type <> 'click' GROUP BY user_id
+""")
+def curve_records(spark, d):
+    from tessera.queries_more import _points
+
+    quality = _t(spark, d, "events").where("event_type <> 'click'").select("user_id", F.col("event_id").alias("requested"))
+    both = ladder.curve_union({"rate": _points(spark, d), "quality": quality})
+    return both.groupBy("source", "user_id").agg(F.count("*").alias("n"), F.count("bytes").alias("priced"), F.sum("requested").alias("quality"))
