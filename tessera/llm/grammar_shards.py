@@ -14,7 +14,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain, repeat
 
 import numpy as np
@@ -30,9 +30,9 @@ HEADER = struct.Struct("<8sQQQQQQI")
 #: Ids in a shard, from which it is closed (a document is never split).
 SHARD_IDS = 1 << 20
 #: Occurrences that a pair needs for a rule, and rounds of replacement.
-LEAST_COUNT, ROUNDS = 4, 6
+LEAST_COUNT, ROUNDS = 4, 5
 #: A round takes pairs at least this part of the most frequent one's count, so that frequent pairs go first.
-ROUND_SHARE = 64
+ROUND_SHARE = 1000
 #: Chunks of text that a worker remembers the ids of, and plain words and marks apart.
 REMEMBERED, PIECES = 800_000, 200_000
 
@@ -79,19 +79,19 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.pieces: dict[bytes, list[int]] = {b"": []}
+        self.pieces: dict[bytes, tuple[int, ...]] = {b"": ()}
         self.ids, self.first, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
 
     def _encoded(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
-    def _chunks(self, chunks: list[bytes]) -> list[list[int]]:
+    def _chunks(self, chunks: list[bytes]) -> list[Sequence[int]]:
         """Ids of chunks without white space."""
         if not self.plain:
             return self._encoded(chunks)
-        out: list[list[int] | None] = []
+        out: list[Sequence[int] | None] = []
         if len(self.pieces) > PIECES:
-            self.pieces = {b"": []}
+            self.pieces = {b"": ()}
         pieces, tokenize = self.pieces, self.plain.tokenize
         for chunk in chunks:
             found = PLAIN.fullmatch(chunk.lower())
@@ -100,7 +100,7 @@ class Encoder:
                 continue
             for piece in found.groups():
                 if piece not in pieces:
-                    pieces[piece] = [t.id for t in tokenize(piece.decode().translate(self.letters))]
+                    pieces[piece] = tuple([t.id for t in tokenize(piece.decode().translate(self.letters))])
             out.append(pieces[found[1]] + pieces[found[2]])
         rest = iter(self._encoded([c for c, ids in zip(chunks, out, strict=True) if ids is None]))
         return [next(rest) if ids is None else ids for ids in out]
@@ -297,7 +297,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int, path: str | None =
 
     Gives the files' list, a stored table: part and k (their order), name (whole path), docs, tokens, bytes, base (ids of all
     earlier files). Null texts are empty and have the end id alone; null ids come first; rows of one id are ordered by their
-    text's digest and then by their place in the input, so an id that very many rows have is spread over tasks. Other columns are
+    text's hash and then by their place in the input, so an id that very many rows have is spread over tasks. Other columns are
     not read; an empty table gives no files. A task writes each file under a name of its attempt and then renames it to its
     own, so a task that is run again replaces its files; a file that is not in the list counts for nothing. A task holds one
     shard: shard_ids ids, or one document. path is on a file system that pyarrow opens.
@@ -305,7 +305,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int, path: str | None =
     spark = docs.sparkSession
     path = path or new_path(spark, "token-shards")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_place", F.monotonically_increasing_id())
-    rows = rows.withColumn("_sum", F.md5("_text"))
+    rows = rows.withColumn("_sum", F.xxhash64("_text"))
     order = [F.col("_id").asc_nulls_first(), F.col("_sum"), F.col("_place")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("_id").cast("string"), F.col("_text").cast("binary"))
 
