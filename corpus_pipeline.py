@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, mixing, ngram_join, sharding, toxicity
 from tessera.llm.registry import SHARDS
-from tessera.llm.shared import broadcast_if_few, skew_join, stored
+from tessera.llm.shared import broadcast_if_few, skew_join, small_batches, stored
 
 #: Score from which a document is rejected as toxic.
 TOXIC = 0.3
@@ -34,10 +34,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     named = docs.select(held, key.alias("_key"))
     keys = docs.select("doc_id", key.alias("_key"), "text").where("_key is not null")
-    found = ngram_join.ngram_components(keys, id_col="_key").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_of"))
     ids = keys.groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     # Most components have one document; only the others, and rows that repeat an id and its text, are joined to the rows.
-    groups = stored(found.distinct().join(ids, "_key"), "groups")
+    with small_batches(spark):
+        found = ngram_join.ngram_components(keys, id_col="_key").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_of"))
+        groups = stored(found.distinct().join(ids, "_key"), "groups")
     least = stored(groups.groupBy("_of").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_first"), F.count("*").alias("n")).where("n > 1"), "least")
     others = stored(skew_join(groups.select("_key", "_of"), least, "_of").where("_key <> _first").select("_key"), "copies")
     again = broadcast_if_few(stored(groups.where("n > 1").select("_key"), "repeats"))
@@ -54,8 +55,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"))
-    found = decontamination.decontaminate(docs.select(key.alias("_key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key")
-    hit = stored(found.where("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    with small_batches(spark):
+        found = decontamination.decontaminate(docs.select(key.alias("_key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key")
+        hit = stored(found.where("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
     return named.join(broadcast_if_few(hit), "_key", "left_anti").select("_row.*")
 
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +59,8 @@ def place(docs: DataFrame, shards: list[str], slots: int = SLOTS, key: str = "do
     shard_col (in any case, as Spark compares names) are replaced; all others stay as they are.
     """
     owner = lookup_table(shards, slots)
-    table = docs.sparkSession.createDataFrame(pd.DataFrame({"_slot": np.arange(slots, dtype=np.int32), "_shard": np.array(shards, dtype=object)[owner]}), "_slot int, _shard string")
+    # An Arrow table is read by the JVM; rows of Python would start workers of another kind, which stay for a minute.
+    table = docs.sparkSession.createDataFrame(pa.table({"_slot": pa.array(range(slots), pa.int32()), "_shard": pa.array(shards, pa.string()).take(pa.array(owner))}))
     # The rows travel as one value, so that no column of theirs can clash with the table's.
     made = {slot_col.lower(), shard_col.lower()}
     kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in made]

@@ -22,6 +22,8 @@ WINDOW, STRIDE = 32, 16
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN = 1 << 17, 1 << 13, 8, 8
 #: Labelled documents of each class that training may take, and the longest text of them in bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 1200, 100_000
+#: Bytes of text that below() scores and returns at once: whole rows come back, and two workers share an executor's memory.
+PIECE = 1 << 20
 #: Windows in a training step, and steps of a round at least.
 BATCH, STEPS = 128, 60
 
@@ -321,21 +323,23 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
 
 def below(docs: DataFrame, net: Network, threshold: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below threshold."""
+    """The rows of docs, with all their columns, whose text scores below threshold.
+
+    A batch's rows go back in pieces of about PIECE bytes of text, so neither the worker nor the JVM holds a batch twice.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [np.zeros(0, bool)]
-            for w in word_chunks(batch.column(place), NON_WORD):
+            for w in word_chunks(batch.column(place), NON_WORD, PIECE):
                 x = chunk_inputs(w)
                 index, row, _ = window_matrix(x.words, x.bounds)
                 top = np.full(w.hi - w.lo, -np.inf)
                 if len(index):
                     np.maximum.at(top, row, shared.value.logits(shared.value.embed(x), index))
-                keep.append(shared.value.score(np.maximum(top, -1e30), np.bincount(row, minlength=w.hi - w.lo)) < threshold)
-            yield batch.filter(pa.array(np.concatenate(keep)))
+                keep = shared.value.score(np.maximum(top, -1e30), np.bincount(row, minlength=w.hi - w.lo)) < threshold
+                yield batch.slice(w.lo, w.hi - w.lo).filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 
