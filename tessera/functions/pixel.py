@@ -146,10 +146,11 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return 0.2126 * r + 0.7152 * g + 0.0722 * b
 
 
-def quantize_sample(v: Column, most: int) -> Column:
-    """Scaled, rounded half away from zero, kept in 0 .. most; 0 if not finite."""
+def quantize_sample(v: Column, most: int, clamp: bool = True) -> Column:
+    """Scaled, rounded half away from zero, with clamp kept in 0 .. most; 0 if not finite."""
     s = v * most
-    return F.when(F.isnan(s) | (F.abs(s) == float("inf")) | s.isNull(), 0).otherwise(F.least(F.greatest(F.round(s), F.lit(0.0)), F.lit(float(most))).cast("int"))
+    whole = F.least(F.greatest(F.round(s), F.lit(0.0)), F.lit(float(most))) if clamp else F.round(s)
+    return F.when(F.isnan(s) | (F.abs(s) == float("inf")) | s.isNull(), 0).otherwise(whole.cast("int"))
 
 
 def bias_adjust(q: Column, bias: float, numerator: float) -> Column:
@@ -250,9 +251,9 @@ def unassociate_alpha(v: Column, alpha: Column, most: int) -> Column:
     return F.when(alpha == 0, F.lit(0).cast("bigint")).otherwise(F.least(truncated(v * most + truncated(alpha, 2), F.when(alpha != 0, alpha)), F.lit(most).cast("bigint")))
 
 
-def depth_quantize(v: Column, bits: int) -> Column:
-    """A sample in 0 .. 1 on the integers of so many bits."""
-    return quantize_sample(v, (1 << bits) - 1)
+def depth_quantize(v: Column, bits: int, clamp: bool = True) -> Column:
+    """A sample on the integers of so many bits; clamp keeps one outside 0 .. 1 in their range."""
+    return quantize_sample(v, (1 << bits) - 1, clamp)
 
 
 def noise_strength(v: Column, table: list[float]) -> Column:
