@@ -3,7 +3,8 @@
 A document is the set of 64-bit hashes of its distinct n-grams. Equal sets are one class, named by 64 bits of the set's
 digest. The classes are put into leaves of at most LEAF sets, by size. A leaf is named by a pair of a set's smallest hashes in
 KEYS orders; of its pairs a set takes the one that most sets have, so a large group of near copies has few leaves, and
-unrelated sets that share a passage seldom have a leaf in common. A node of
+unrelated sets that share a passage seldom have a leaf in common; where they would, it is split, since a leaf of unlike
+sets sets most bits and is not pruned. A node of
 the tree holds the OR of the bitmaps of the sets below it, their smallest and largest size, and the largest excess of a
 set (its size less the bits it sets). No two sets below nodes A and B share more than
 popcount(OR_A & OR_B) + min(excess_A, excess_B) hashes, which prunes pairs of nodes. Larger sets have longer bitmaps; a
@@ -12,16 +13,20 @@ leaf has sets of one length, and of two lengths the longer is folded.
 One tree over the whole corpus would start from all pairs. Sets as similar as asked share a hash among the first
 size - ceil(t size) + 1 of each in any common order, so leaves meet only under a hash of such a prefix: the hash is the
 root of a tree over the leaves that have it. Hashes that very many prefixes hold come last in the order, which keeps
-passages that many documents share out of the prefixes; what is left of them is traversed with inner nodes. Surviving
+passages that many documents share out of the prefixes. What is left of them, and any other hash of more than FLAT
+leaves, is traversed with inner nodes, so that pairs under it are pruned before they become rows. Surviving
 leaf pairs are verified on their whole sets: first each leaf and its largest neighbour, then the pairs that this has not
 put into one component. A name, class or hash that very many sets have is counted first and its table broadcast, or
 split over tasks: hot ones are at most a fixed number, since each holds a fixed share of all rows.
+
+Each step's table and shuffle files go when no later step reads them.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.components import components
-from tessera.llm.shared import broadcast_if_few, skew_join, stored
+from tessera.llm.shared import broadcast_if_few, discard, discarding_shuffles, skew_join, stored
 from tessera.llm.words import SPACE, mix, plain_words, release, word_chunks
 
 #: Sets in a leaf at most, and the orders whose smallest hashes, in pairs, name leaves.
@@ -43,6 +48,8 @@ FAN = 8
 MAP_WORDS, FOLDS = 32, 8
 #: A hash in more prefixes than this, and in more than one HOT_SHARE-th of all, comes last in the order: so fewer than HOT_SHARE do.
 HOT_DF, HOT_SHARE = 100, 1 << 18
+#: Leaves that meet each by each under a hash; under a hash of more they meet as a tree.
+FLAT = 32
 #: Leaves that one task of a frequent hash's tree begins with, and sets under one leaf name that go to one task.
 ROOT, SPREAD = 4096, 1024
 #: Node pairs that a traversal holds at once.
@@ -180,16 +187,29 @@ def _shortest(bitmaps: list[bytes]) -> np.ndarray:
     return out
 
 
-NODE = "node bigint, docs array<bigint>, lo bigint, hi bigint, excess array<bigint>, bitmap binary, tokens array<bigint>, places array<bigint>, late array<bigint>"
+NODE = "node bigint, docs array<bigint>, lo bigint, hi bigint, excess array<bigint>, bitmap binary, tokens array<bigint>, places array<bigint>, late array<bigint>, short binary"
+
 
+def _tight(rows: pa.Table, num: int, den: int) -> Iterator[pa.Table]:
+    """The sets of a name (n, bitmap, excess) in leaves: each takes the first set left over and those that may be similar to it."""
+    size, bitmaps = rows.column("n").to_numpy(), _bitmap_matrix(rows.column("bitmap").to_pylist())
+    over = np.array([e[-1] for e in rows.column("excess").to_pylist()])
+    left = np.arange(len(size))
+    while len(left):
+        first = left[0]
+        shared = np.bitwise_count(bitmaps[left] & bitmaps[first]).sum(axis=1, dtype=np.int64) + np.minimum(over[left], over[first])
+        own = _may_link(size[left], size[left], size[first], size[first], shared, num, den)
+        yield rows if own.all() and len(left) == len(size) else rows.take(left[own])
+        left = left[~own]
 
-def _nodes(sets: DataFrame, hot: np.ndarray) -> DataFrame:
+
+def _nodes(sets: DataFrame, hot: np.ndarray, num: int, den: int) -> DataFrame:
     """Leaves of the trees; a leaf's name is its smallest class. places are the tokens' first places in its sets' prefixes,
-    late the frequent tokens, which come last there."""
+    late the frequent tokens, which come last there; short is the bitmap folded to the shortest length, null if it has that."""
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for run in _runs(batches, 0, LEAF):
+        for run in (leaf for rows in _runs(batches, 0, LEAF) for leaf in _tight(rows, num, den)):
             ids, sizes = run.column("id").to_pylist(), run.column("n").to_pylist()
             prefix = run.column("prefix").combine_chunks()
             size = np.asarray(prefix.value_lengths())
@@ -198,7 +218,7 @@ def _nodes(sets: DataFrame, hot: np.ndarray) -> DataFrame:
             np.minimum.at(places, token, np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size))
             frequent = _is_in(tokens.view(np.uint64), hot)
             union = np.bitwise_or.reduce(_bitmap_matrix(run.column("bitmap").to_pylist()), axis=0)
-            out.append((min(ids), ids, min(sizes), max(sizes), np.max(run.column("excess").to_pylist(), axis=0).tolist(), union.tobytes(), tokens[~frequent], places[~frequent], tokens[frequent]))
+            out.append((min(ids), ids, min(sizes), max(sizes), np.max(run.column("excess").to_pylist(), axis=0).tolist(), union.tobytes(), tokens[~frequent], places[~frequent], tokens[frequent], None if len(union) == MAP_WORDS else folded(union[None], MAP_WORDS).tobytes()))
             if len(out) >= 2000:
                 yield _node_batch(out)
                 out = []
@@ -209,8 +229,8 @@ def _nodes(sets: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def _node_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), *[pa.list_(pa.int64())] * 3]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "docs", "lo", "hi", "excess", "bitmap", "tokens", "places", "late"])
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "docs", "lo", "hi", "excess", "bitmap", "tokens", "places", "late", "short"])
 
 
 def _may_link(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray, shared: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -249,21 +269,33 @@ def dual_traversal(lo: np.ndarray, hi: np.ndarray, excess: np.ndarray, bitmaps:
             stack.append((level - 1, a[ok], b[ok]))
 
 
-def _pairs_under_hash(batches: Iterable[pa.RecordBatch], num: int, den: int, most: int = 4 * HOT_DF) -> Iterator[pa.RecordBatch]:
-    """Leaf pairs of compatible sizes under each hash; rows (token, lo, hi, node, place) sorted by token and lo.
+def _pairs_under_hash(batches: Iterable[pa.RecordBatch], num: int, den: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Leaf pairs of compatible sizes under each hash of at most most leaves, and a row (hash, null) for each other hash;
+    rows (token, lo, hi, node, place) sorted by token and lo.
 
     Sets whose first common hash is at these places share no more than what is left of either from there on. Of similar
     sets the pair passes at their first common hash, so it may fail at others.
     """
-    out, size = [], 0
+    out, often, size = [], [], 0
     held = np.zeros((0, 5), np.int64)
 
     def emit() -> pa.RecordBatch:
         p = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
-
-    for batch in batches:
-        rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[:, 0], np.array(often, np.int64)])), pa.concat_arrays([pa.array(p[:, 1]), pa.nulls(len(often), pa.int64())])], names=["a", "b"])
+
+    for batch in chain(batches, [None]):
+        rows = held
+        if batch is not None:
+            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+            # The last token may go on in the next batch; that it has too many leaves is known from one more than most.
+            last = rows[:, 0] == rows[-1, 0] if len(rows) else np.zeros(0, bool)
+            held, rows = rows[last][: most + 1], rows[~last]
+        if not len(rows):
+            continue
+        starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        count = np.diff(np.r_[starts, len(rows)])
+        often += rows[starts[count > most], 0].tolist()
+        rows = rows[np.repeat(count <= most, count)]
         token, lo, hi, node, place = rows.T
         rest = hi - place
         # Each row meets the later rows of its token whose sizes begin no higher than it reaches.
@@ -274,18 +306,14 @@ def _pairs_under_hash(batches: Iterable[pa.RecordBatch], num: int, den: int, mos
             live = live[(token[live] == token[other]) & (lo[other] * num <= hi[live] * den)]
             other = live + step
             enough = np.minimum(rest[live], rest[other]) * (den + num) >= num * (lo[live] + lo[other])
-            fresh = enough & (other >= len(held))  # pairs within what was held have been made before
-            a, b = node[live[fresh]], node[other[fresh]]
+            a, b = node[live[enough]], node[other[enough]]
             if len(a):
                 out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
                 size += len(a)
-            if size > 1 << 20:
-                yield emit()
-                out, size = [], 0
             step += 1
-        if len(rows):
-            # What later rows can still meet: the last token's rows.
-            held = rows[token == token[-1]]
+        if size > 1 << 20:
+            yield emit()
+            out, often, size = [], [], 0
     yield emit()
 
 
@@ -310,7 +338,7 @@ def _hot_roots(tokens: DataFrame) -> DataFrame:
     """Rows (token, lo, hi, excess, node, bitmap) dealt to tasks: a hash with at most ROOT leaves is one; of another each
     pair of its parts of about ROOT leaves is, so that no task holds more than two parts, however many leaves there are."""
     count = stored(tokens.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > ROOT).select("token", F.ceil(F.col("c") / ROOT).alias("parts")), "roots")
-    dealt = tokens.join(F.broadcast(count), "token", "left")  # fewer than HOT_SHARE rows
+    dealt = tokens.join(F.broadcast(count), "token", "left")  # fewer than a ROOT-th of all rows
     parts = F.coalesce("parts", F.lit(1))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
     return dealt.select(F.xxhash64("token", F.least("part", "with"), F.greatest("part", "with")).alias("pair"), "part", "lo", "hi", "excess", "node", "bitmap")
@@ -396,21 +424,33 @@ def links_between(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFram
     first = sets.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"))
     own = stored(sets.where("n > 0").select("id", "cls", "keys").join(first, ["id", "cls"]).dropDuplicates(["cls"]), "classes")
     chosen = own.select("id", "cls").join(_leaf_names(own), "cls")
-    nodes = stored(_nodes(sets.where("n > 0").join(chosen, ["id", "cls"]).dropDuplicates(["id", "cls"]), hot), "nodes")
-    hot_tokens = stored(nodes.select("node", "lo", "hi", "excess", "bitmap", F.explode("late").alias("token")), "hot")
+    nodes = stored(_nodes(sets.where("n > 0").join(chosen, ["id", "cls"]).dropDuplicates(["id", "cls"]), hot, num, den), "nodes")
+    whole_sets, sets = sets, stored(sets.select("id", "n", "cls"), "sizes")
+    discard(whole_sets)
     plain = nodes.select(F.explode(F.arrays_zip("tokens", "places")).alias("t"), "lo", "hi", "node").select(F.col("t.tokens").alias("token"), "lo", "hi", "node", F.col("t.places").alias("place"))
     plain = plain.repartition("token").sortWithinPartitions("token", "lo", "node")
-    few = plain.mapInArrow(lambda it: _pairs_under_hash(it, num, den), "a bigint, b bigint").distinct()
+    flat = FLAT
+    few = stored(plain.mapInArrow(lambda it: _pairs_under_hash(it, num, den, flat), "a bigint, b bigint").distinct(), "flat")
+    often = broadcast_if_few(few.where("b is null").select(F.col("a").alias("token")))
+    often = nodes.select("node", F.explode("tokens").alias("token")).join(often, "token", "left_semi")
+    late = nodes.select("node", F.explode("late").alias("token"))
+    hot_tokens = stored(late.unionByName(often).join(nodes.select("node", "lo", "hi", F.slice("excess", 1, 1).alias("excess"), F.coalesce("short", "bitmap").alias("bitmap")), "node"), "hot")
     many = _hot_roots(hot_tokens).repartition("pair").sortWithinPartitions("pair", "lo", "node")
     many = many.mapInArrow(lambda it: _hot_pairs(it, num, den), "a bigint, b bigint")
     side = lambda s: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("lo", "hi", "excess", "bitmap")])
-    met = few.unionAll(many).where("a <> b").distinct()
+    met = few.where("b is not null").unionAll(many).where("a <> b").distinct()
     pruned = met.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _surviving(it, num, den), "a bigint, b bigint")
     pairs = stored(pruned, "pairs")
-    alone = nodes.where(F.size("docs") > 1).select(F.col("node").alias("a"), F.col("node").alias("b"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(alone.select("a")).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select(F.explode("docs").alias("cls"))
-    ids = stored(own.select("cls", "id").join(wanted, "cls", "left_semi").select("id").distinct(), "ids")
+    discard(hot_tokens)
+    discard(few)
+    # Leaves that are verified: those of pairs, and those of several sets.
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("met", F.lit(True))
+    size = nodes.select("node", F.size("docs").alias("size"), "docs").join(ends, "node", "left").where("met or size > 1").drop("met")
+    size = stored(size, "members")
+    discard(nodes)
+    alone = size.where("size > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    ids = stored(own.select("cls", "id").join(size.select(F.explode("docs").alias("cls")), "cls", "left_semi").select("id").distinct(), "ids")
+    discard(own)
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -421,8 +461,6 @@ def links_between(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFram
     texts = docs.join(broadcast_if_few(ids), "id", "left_semi").select("text")
     met = stored(texts.mapInArrow(whole, "id bigint, set binary").dropDuplicates(["id"]), "met")
 
-    size = stored(nodes.join(ends, "node", "left_semi").select("node", F.size("docs").alias("size"), "docs"), "members")
-
     def verify(some: DataFrame) -> DataFrame:
         """Links of leaf pairs (a, b); the leaves b of an a come in groups of about GROUP sets, each with a."""
         before = Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
@@ -437,13 +475,16 @@ def links_between(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFram
     star = both.join(size.select(F.col("node").alias("a"), "size"), "a").groupBy("b").agg(F.max(F.struct("size", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
     star = stored(star, "star")
     links = verify(star.unionAll(alone))
-    label = size.select("node", F.explode("docs").alias("id")).join(components(links).withColumnRenamed("node", "id"), "id", "left")
-    label = stored(label.groupBy("node").agg(F.min(F.coalesce("component", "id")).alias("low"), F.max(F.coalesce("component", "id")).alias("high")), "labels")
-    side = lambda s: label.select(F.col("node").alias(s), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"))
-    left = pairs.join(side("a"), "a").join(side("b"), "b").where("least(low_a, low_b) <> greatest(high_a, high_b)").select("a", "b")
+    label = size.select("node", "size", F.explode("docs").alias("id")).join(components(links).withColumnRenamed("node", "id"), "id", "left")
+    label = stored(label.groupBy("node", "size").agg(F.min(F.coalesce("component", "id")).alias("low"), F.max(F.coalesce("component", "id")).alias("high")), "labels")
+    side = lambda s: label.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "low", "high")])
+    left = pairs.join(side("a"), "a").join(side("b"), "b").where("least(low_a, low_b) <> greatest(high_a, high_b)")
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionAll(verify(left.join(done, ["a", "b"], "left_anti")))
-    return sets.select("id", "n", "cls"), links
+    left = left.join(done, ["a", "b"], "left_anti").withColumn("swap", F.expr("size_a < size_b"))
+    # The larger leaf of a pair is the one that its group holds once.
+    links = links.unionAll(verify(left.select(F.when(F.col("swap"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("swap"), F.col("a")).otherwise(F.col("b")).alias("b"))))
+    discard(met)
+    return sets, links
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -456,14 +497,15 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     64-bit hashes are, and sets if 64 bits of their digests are. Extra columns are not read; an empty table stays empty.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets, links = links_between(docs.where("id is not null"), n, num, den)
-    classes = sets.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    # Classes of more than one row, and linked ones; all other rows are alone. The smallest id of a component is that of its classes.
-    near = components(links).select(F.col("node").alias("cls"), F.col("component").alias("_of"))
-    known = classes.join(near, "cls", "left").where("n > 1 or _of is not null")
-    known = stored(known.withColumn("_of", F.coalesce("_of", "cls")), "known")
-    least = stored(known.groupBy("_of").agg(F.min("rep").alias("component"), F.count("*").alias("n")), "least")
-    whole = stored(skew_join(known.withColumnRenamed("n", "rows"), least, "_of").select("cls", "rep", "component", F.col("rows").alias("n")), "whole")
+    with discarding_shuffles(docs.sparkSession):
+        sets, links = links_between(docs.where("id is not null"), n, num, den)
+        classes = sets.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+        # Classes of more than one row, and linked ones; all other rows are alone. The smallest id of a component is that of its classes.
+        near = components(links).select(F.col("node").alias("cls"), F.col("component").alias("_of"))
+        known = classes.join(near, "cls", "left").where("n > 1 or _of is not null")
+        known = stored(known.withColumn("_of", F.coalesce("_of", "cls")), "known")
+        least = stored(known.groupBy("_of").agg(F.min("rep").alias("component"), F.count("*").alias("n")), "least")
+        whole = stored(skew_join(known.withColumnRenamed("n", "rows"), least, "_of").select("cls", "rep", "component", F.col("rows").alias("n")), "whole")
     out = skew_join(sets.withColumnRenamed("n", "size"), whole, "cls")
     out = out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("rep", "id").alias("rep"), F.coalesce("component", "id").alias("component_id"))
     nameless = _sets(docs.where("id is null"), n, num, den, np.zeros(0, np.uint64))

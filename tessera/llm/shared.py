@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 
 from tessera.sources.shared import discard, new_path, shared_dir, stored
 
-__all__ = ["broadcast_if_few", "discard", "new_path", "shared_dir", "skew_join", "small_batches", "stored"]
+__all__ = ["broadcast_if_few", "discard", "discarding_shuffles", "new_path", "shared_dir", "skew_join", "small_batches", "stored"]
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
-    """Within it, Python gets Arrow batches of about size bytes, however long the rows are."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
-    spark.conf.set(name, size)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -28,6 +26,19 @@ def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> contextlib.AbstractContextManager[None]:
+    """Within it, Python gets Arrow batches of about size bytes, however long the rows are."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def discarding_shuffles(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Within it, shuffle files go when the action that wrote them ends, not when the driver collects its garbage.
+
+    For steps whose results are stored: a DataFrame on which a second action is run would be shuffled again.
+    """
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def broadcast_if_few(df: DataFrame, most: int = 1 << 20) -> DataFrame:
     """df, a stored table of narrow rows, marked for broadcast if it has been counted to at most most rows; else as it is."""
     return F.broadcast(df) if df.count() <= most else df
